@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import Words, arrow_map, bounded_batches, cut, drop_cut, texts_of, windows
 
 WINDOW = 50
+#: Past the end of any document.
+_END = 1 << 30
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -32,21 +34,25 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     from and remove nothing. Rows of one doc_id are each judged against smaller ids (were
     their texts to differ, each by itself). Other columns are ignored.
 
-    Level 1: of the windows of half the length within each full window, the one with the smallest hash stands for it. Equal
+    Of rows with equal texts all but those of the smallest doc_id lose every word, if there are as many as a window has, and need no windows of
+    their own. Level 1: of the windows of half the length within each full window, the one with the smallest hash stands for it. Equal
     windows choose alike, wherever they are, so a full window can only be repeated if its choice is; and as neighbours mostly choose the same,
-    there are 13 times fewer choices than windows. Choices that one document alone has end here. Next level, twice as long: windows around the
+    there are 13 times fewer choices than windows. Choices that only one text has end here. Next level, twice as long: windows around the
     choices that are left are hashed in full (128 bits), and the smallest doc_id of each is found. Longer windows than 50 go through more levels,
     each of which keeps only windows whose two halves are repeated. Groups are aggregated before they are shuffled; and joins back are by hash, which Spark may split.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    # rows of one doc_id are told apart by a hash of their texts
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("_t"))
+    # equal texts, and rows of one doc_id, are told apart by a hash of their texts
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_t"))
     steps = levels(window)
-    ranges = _level_one(rows.where("doc_id is not null"), steps)
+    of_text = rows.where("doc_id is not null").select("doc_id", "_t", F.md5("text").alias("_md5")).distinct()
+    first = of_text.groupBy("_md5").agg(F.min("doc_id").alias("_first"))
+    copies = cut(of_text.join(first, "_md5").where("doc_id > _first").select("doc_id", "_t"), "copies")
+    ranges = _level_one(rows.where("doc_id is not null"), steps).join(copies, ["doc_id", "_t"], "left_anti")
     for length in steps[1:]:
         ranges = _level(rows, ranges, length, last=length == window)
-    covered = ranges.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
+    covered = ranges.unionByName(copies.select("doc_id", "_t", F.array(F.struct(F.lit(0).alias("first"), F.lit(_END).alias("last"))).alias("_ranges")))
 
     def cutting(batch):
         n, gone, sha, kept, same = [], [], [], [], []
@@ -54,7 +60,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             words = t.split()
             off = np.zeros(len(words) + 1, np.int32)
             for r in ranges_:
-                if r["first"] < len(words):
+                if r["first"] + window <= len(words):
                     off[r["first"]] += 1
                     off[min(len(words), r["last"] + window)] -= 1
             dead = np.cumsum(off)[:-1] > 0
@@ -90,7 +96,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _level_one(rows: DataFrame, steps: list[int]) -> DataFrame:
-    """doc_id, first, last: starts of windows of steps[1] words whose chosen part is repeated in another document."""
+    """doc_id, _t, _ranges: starts of windows of steps[1] words whose chosen part is in another text too."""
     half, full = steps[0], steps[1]
 
     def choose(batch):
@@ -109,9 +115,9 @@ def _level_one(rows: DataFrame, steps: list[int]) -> DataFrame:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         return {"key": h[at[new]].view(np.int64), "doc_id": ids[doc], "_t": batch.column("_t").to_numpy()[doc], "first": (starts[new] - w.first[doc]).astype(np.int32), "last": (starts[end] - w.first[doc]).astype(np.int32)}
 
-    chosen = cut(arrow_map(rows, choose, "key long, doc_id long, _t int, first int, last int", pieces=1 << 20), "choices")
-    repeated = chosen.groupBy("key").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("key")
-    out = cut(chosen.join(repeated, "key", "left_semi").select("doc_id", "_t", "first", "last"), "ranges")
+    chosen = cut(arrow_map(rows, choose, "key long, doc_id long, _t long, first int, last int", pieces=1 << 20), "choices")
+    repeated = chosen.groupBy("key").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b")).where("_a < _b").select("key")
+    out = cut(chosen.join(repeated, "key", "left_semi").groupBy("doc_id", "_t").agg(F.collect_set(F.struct("first", "last")).alias("_ranges")), "ranges")
     drop_cut(chosen)
     return out
 
@@ -130,11 +136,7 @@ def _argmin(h: np.ndarray, span: int) -> np.ndarray:
 
 
 def _level(rows: DataFrame, ranges: DataFrame, length: int, last: bool) -> DataFrame:
-    """Ranges of starts of windows of ``length`` that are repeated: at the last level those that a smaller doc_id has, before it those that any other has.
-
-    ``ranges`` are the candidates: at the last level of a 50-word window all starts around repeated choices.
-    """
-    by_doc = ranges.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
+    """doc_id, _t, _ranges: of the candidates ``ranges``, the starts of windows of ``length`` that are repeated: at the last level those that a smaller doc_id has, before it those that any other doc_id has."""
 
     def hash_all(batch):
         w = Words(texts_of(batch))
@@ -152,17 +154,20 @@ def _level(rows: DataFrame, ranges: DataFrame, length: int, last: bool) -> DataF
             starts.append(s + w.first[i])
             owner.append(np.full(len(s), i))
         s, o = np.concatenate(starts).astype(np.int64), np.concatenate(owner).astype(np.int64)
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        return {"a": a[s].view(np.int64), "b": b[s].view(np.int64), "doc_id": ids[o], "_t": batch.column("_t").to_numpy()[o], "start": (s - w.first[o]).astype(np.int32)}
-
-    hashed = cut(arrow_map(rows.join(by_doc, ["doc_id", "_t"]), hash_all, "a long, b long, doc_id long, _t int, start int", pieces=1 << 20), "windows")
-    seen = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where("_least < _most")
-    kept = hashed.join(seen, ["a", "b"])
-    kept = (kept.where(F.col("doc_id") > F.col("_least")) if last else kept).select("doc_id", "_t", "start")
-
-    # starts to runs: a run's starts less their rank are equal
-    runs = kept.distinct().groupBy("doc_id", "_t").agg(F.array_sort(F.collect_list("start")).alias("_s"))
-    ranked = runs.select("doc_id", "_t", F.explode(F.arrays_zip(F.col("_s").alias("s"), F.sequence(F.lit(0), F.size("_s") - 1).alias("k"))).alias("_x")).select("doc_id", "_t", F.col("_x.s").alias("s"), (F.col("_x.s") - F.col("_x.k")).alias("run"))
-    out = cut(ranked.groupBy("doc_id", "_t", "run").agg(F.min("s").cast("int").alias("first"), F.max("s").cast("int").alias("last")).select("doc_id", "_t", "first", "last"), "ranges")
+        ids, t = batch.column("doc_id").to_numpy(), batch.column("_t").to_numpy()
+        # half of the text's hash and the start in one number
+        return {"a": a[s].view(np.int64), "b": b[s].view(np.int64), "doc_id": ids[o], "at": (t[o] << 32) | (s - w.first[o])}
+
+    hashed = cut(arrow_map(rows.join(ranges, ["doc_id", "_t"]), hash_all, "a long, b long, doc_id long, at long", pieces=1 << 20), "windows")
+    if last:
+        seen = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("_least"))
+        kept = hashed.join(seen, ["a", "b"]).where("doc_id > _least")
+    else:
+        seen = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("a", "b")
+        kept = hashed.join(seen, ["a", "b"], "left_semi")
+    start = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
+    found = kept.groupBy("doc_id", F.shiftright("at", 32).alias("_half")).agg(F.collect_set(F.struct(start.alias("first"), start.alias("last"))).alias("_ranges"))
+    named = ranges.select("doc_id", "_t", F.shiftright(F.shiftleft("_t", 32), 32).alias("_half"))
+    out = cut(found.join(named, ["doc_id", "_half"]).select("doc_id", "_t", "_ranges"), "ranges")
     drop_cut(hashed)
     return out
