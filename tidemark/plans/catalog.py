@@ -1,4 +1,10 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, area by area."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from . import derived, jobs, records, samples, texts, upkeep
+
+QUERIES, ORACLE = {}, {}
+for _area in (samples, records, jobs, derived, texts, upkeep):
+    QUERIES |= _area.QUERIES
+    ORACLE |= _area.ORACLE
