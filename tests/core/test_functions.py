@@ -34,6 +34,7 @@ def test_words_for_times_and_sizes():
     assert text.fold("one two three", 7) == ["one two", "three"] and text.fold("abcdefghij", 4) == ["abcd", "efgh", "ij"]
 
 
+# Command lines and what is kept of them.
 @pytest.mark.parametrize(
     "line, kept",
     [
@@ -57,6 +58,7 @@ def test_command_lines_are_cut_between_characters():
     assert text.command_line("é" * 10, 5) == "éé…"
 
 
+# Names of units and what they are reported under.
 @pytest.mark.parametrize(
     "full, shared",
     [
