@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import says
+from ..sources.shared import cut
 
 
 def jobs(spans: DataFrame, since=None, until=None, host=None, text: str = "", fields=("name",), n: int | None = None, start="start_s", duration="duration_s", cpu=None) -> DataFrame:
@@ -56,19 +57,19 @@ def tree_rows(spans: DataFrame, most: int | None = None, start="start_s", deepes
     """Each span with its depth, its place in the order in which its trace's tree is drawn, and whether it is the last of its siblings.
 
     A root has no parent in its trace. Siblings are in order of start, then id. Levels are joined one after the other, by (trace, parent), until one is empty;
-    a place is the row number by the path of sibling ranks. most: of each trace only so many rows, with what is left out in ``more``.
+    a place is the row number by the path of sibling ranks. Each level is written to the shared folder, so that the next is one join and no more. most: of each trace only so many rows, with what is left out in ``more``.
     """
     by = Window.partitionBy("trace", "_up").orderBy(start, "span")
     ids = spans.select(F.col("trace"), F.col("span").alias("_up"))
     known = spans.join(ids.distinct().withColumn("_known", F.lit(True)), (spans["trace"] == ids["trace"]) & (spans["parent"] == ids["_up"]), "left").select(spans["*"], F.when(F.col("_known"), F.col("parent")).alias("_up"))
-    ranked = known.withColumn("_rank", F.row_number().over(by)).withColumn("last_sibling", F.lead("span").over(by).isNull())
+    ranked = cut(known.withColumn("_rank", F.row_number().over(by)).withColumn("last_sibling", F.lead("span").over(by).isNull()))
     step = F.lpad(F.conv(F.col("_rank").cast("string"), 10, 36), 6, "0")
     level = ranked.where("_up is null").withColumn("depth", F.lit(0)).withColumn("_path", step)
     out, depth = level, 0
     while depth < deepest:
         depth += 1
         above = level.select(F.col("trace"), F.col("span").alias("_up"), F.col("_path").alias("_above"))
-        level = ranked.where("_up is not null").join(above, ["trace", "_up"]).withColumn("depth", F.lit(depth)).withColumn("_path", F.concat("_above", step)).select(*out.columns)
+        level = cut(ranked.where("_up is not null").join(above, ["trace", "_up"]).withColumn("depth", F.lit(depth)).withColumn("_path", F.concat("_above", step)).select(*out.columns))
         if level.isEmpty():
             break
         out = out.unionByName(level)
