@@ -26,3 +26,32 @@ def test_rules(spark):
 
 def test_empty(spark):
     assert scan_licenses(frame(spark, [])).count() == 0
+
+
+def test_wrapped(spark):
+    import textwrap
+
+    joined = lambda *keys: ". ".join(SENTENCES[k].rstrip(":") for k in keys) + "."
+    texts = {
+        "apache-2.0-header": SENTENCES["apache-notice-define"] + ". " + SENTENCES["apache-obtain"] + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + joined("apache-unless", "apache-see"),
+        "mit-text": "Copyright (c) 2020 Somebody\n\n" + joined("mit-grant", "mit-condition", "mit-as-is") + " IN NO EVENT SHALL",
+        "gpl-3.0-header": joined("gpl-free", "gpl-hope", "gpl-see"),
+        "bsd-2-clause-text": SENTENCES["bsd-grant"] + "\n\n 1. " + SENTENCES["bsd-source"] + ".\n 2. " + SENTENCES["bsd-binary"] + ".",
+    }
+    rows, want = [], {}
+    for rule, text in texts.items():
+        for leader, width, end in (("", 72, "\n"), ("# ", 72, "\n"), (" * ", 60, "\r\n"), ("// ", 40, "\n"), (";; ", 72, "\n"), ("dnl ", 72, "\n"), ("", 30, "\r")):
+            lines = [x for part in text.split("\n") for x in textwrap.wrap(part, width) or [""]]
+            rows.append((len(rows), end.join([leader + "first line", leader, *[leader + x for x in lines]]), "s"))
+            want[len(rows) - 1, rule] = 1
+    # a notice on a line of its own needs no full stop; a blank line ends a sentence; the longest of two counts
+    rows += [(100, "Some words\nReleased under the MIT License\nmore words", "s"), (101, "Released under\n\nthe MIT License", "s"), (102, SENTENCES["apache-notice-define"].replace(" (the", "\n# (the"), "s")]
+    want[100, "mit-notice"] = 1
+    assert scan(spark, rows) == want
+
+
+def test_rows_by_themselves(spark):
+    keys = ("mit-grant", "mit-condition", "mit-as-is")
+    mit = "Words. " * 3 + ". ".join(SENTENCES[k].rstrip(":") for k in keys) + "."
+    rows = [(None, mit, "s"), (None, mit, "s"), (1, mit, "s"), (1, mit, "s"), (2, SENTENCES["mit-grant"], "s"), (2, "x. " + ". ".join(SENTENCES[k] for k in keys[1:]), "s")]
+    assert scan(spark, rows) == {(None, "mit-text"): 2, (1, "mit-text"): 2}

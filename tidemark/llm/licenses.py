@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sentences of public licences and licence notices, each with an identifier.
@@ -72,33 +74,58 @@ def _rule_ids(ids, sentences=None) -> list[str]:
     return [known[normal(p)] for key in ids for p in re.split(END, (sentences or SENTENCES)[key]) if normal(p)]
 
 
+def _matcher(sentences=None) -> str:
+    """Any known sentence between two breaks, the longest first; a line may end at each of its spaces. Breaks are as _flat writes them."""
+    parts = sorted((p for p, _ in known_sentences(sentences)), key=len, reverse=True)
+    return "[AB](" + "|".join(p.replace(" ", "[ B]") for p in parts) + ")(?=[AB])"
+
+
+def _marks(sentences=None) -> list[str]:
+    """A few words of which each known sentence holds one; lines don't end within words, so a text without any of them holds no sentence."""
+    left, out = [p for p, _ in known_sentences(sentences)], []
+    while left:
+        words = {max(p.split(), key=len) for p in left} | {w for p in left for w in p.split() if len(w) >= 7}
+        out.append(max(sorted(words), key=lambda w: (sum(w in p for p in left), len(w))))
+        left = [p for p in left if out[-1] not in p]
+    return out
+
+
+def _flat(text):
+    """The text in small letters and digits. Between words stands A where a sentence must end (. ! ? ; or : before white space, or a blank line), B where a line ends, else a space.
+
+    What is neither letter nor digit goes, and with it comment leaders; one that begins a line ends no sentence, whatever its signs, and a line of nothing else is blank.
+    """
+    low = F.regexp_replace(F.lower(text), "(?<=[\\x0A-\\x0D])[\\x20\\x09]*(?:@?rem|dnl)(?=[\\x20\\x09\\x0A-\\x0D])", "")
+    # each run of other characters is tried once, from its beginning
+    line, noise = "(?>\\x0D\\x0A|[\\x0A-\\x0D])", "[^a-z0-9\\x0A-\\x0D]*"
+    hard = F.regexp_replace(low, f"(?<![^a-z0-9])(?:{noise}[.!?;:][\\x20\\x09-\\x0D]|{noise}+{line}{noise}+{line})[^a-z0-9]*+", "A")
+    soft = F.regexp_replace(hard, f"(?<![^a-z0-9A])[^a-z0-9A\\x0A-\\x0D]*+{line}[^a-z0-9A]*+", "B")
+    return F.concat(F.lit("A"), F.trim(F.regexp_replace(soft, "[^a-z0-9AB]+", " ")), F.lit("A"))
+
+
 def scan_licenses(docs: DataFrame, sentences=None, rules=None) -> DataFrame:
     """-> doc_id, rule, license, n_found: a row per rule whose identifiers stand in order in the document.
 
-    Texts are cut into sentences, normalised, and joined with the known sentences (a table of fixed size, broadcast).
+    A known sentence is found where it begins and ends at a break (a line's end, or the end of a sentence); between its words lines may
+    end, with comment leaders, so wrapped texts are found like unwrapped ones. Of known sentences that begin at one place the longest counts.
     What is not known leaves no identifier, so other lines may stand between the sentences of a rule. The identifiers
-    of a document, in order, are matched against each rule; a rule that only repeats part of a longer one counts by itself.
+    of a row, in order, are matched against each rule; a rule that only repeats part of a longer one counts by itself.
 
-    Null, empty and unlicensed texts give no row. Repeated doc_ids are one document whose findings add up, in
-    no order between the rows; a null doc_id is one too. Other columns are ignored.
+    Null, empty and unlicensed texts give no row. Each row is matched by itself; the findings of rows that repeat a doc_id,
+    or have none, add up. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    known = spark.createDataFrame(known_sentences(sentences), "_sentence string, _id string")
-    lines = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), END)).alias("_at", "_line"))
-    #: no known sentence is shorter or far longer; this saves normalising the rest
-    lengths = [len(p) for p, _ in known_sentences(sentences)]
-    near = lines.where(F.length("_line").between(min(lengths), 4 * max(lengths)) | (F.length("_line") > 4 * max(lengths)))
-    marked = near.select("doc_id", "_at", F.trim(F.regexp_replace("_line", "[^a-z0-9]+", " ")).alias("_sentence"))
-    found = marked.join(F.broadcast(known), "_sentence").select("doc_id", "_at", "_id")
-    runs = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_id"))).alias("_run"))
-    text = F.concat(F.lit("|"), F.array_join(F.transform("_run", lambda x: x["_id"]), "|"), F.lit("|"))
+    names = F.create_map(*[F.lit(x) for pair in known_sentences(sentences) for x in pair])
+    marked = docs.where(reduce(Column.__or__, [F.contains(F.lower("text"), F.lit(w)) for w in _marks(sentences)]))
+    found = marked.select("doc_id", F.regexp_extract_all(_flat(F.col("text")), F.lit(_matcher(sentences)), F.lit(1)).alias("_found")).where(F.size("_found") > 0)
+    runs = found.select("doc_id", F.transform("_found", lambda x: names[F.replace(x, F.lit("B"), F.lit(" "))]).alias("_run"))
+    text = F.concat(F.lit("|"), F.array_join("_run", "|"), F.lit("|"))
     table = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(lic).alias("license"), F.lit("|" + "|".join(_rule_ids(ids, sentences)) + "|").alias("ids")) for n, lic, ids in (rules or RULES)])
     each = runs.select("doc_id", text.alias("_text"), F.explode(table).alias("_r"))
     # identifiers share their bars, so bars are doubled for counting
     wide = F.replace(F.col("_text"), F.lit("|"), F.lit("||"))
     ids = F.concat(F.lit("|"), F.replace(F.expr("substring(_r.ids, 2, length(_r.ids) - 2)"), F.lit("|"), F.lit("||")), F.lit("|"))
     n = ((F.length(wide) - F.length(F.replace(wide, ids, F.lit("")))) / F.length(ids)).cast("long")
-    return each.select("doc_id", F.col("_r.rule").alias("rule"), F.col("_r.license").alias("license"), n.alias("n_found")).where("n_found > 0")
+    return each.select("doc_id", F.col("_r.rule").alias("rule"), F.col("_r.license").alias("license"), n.alias("_n")).where("_n > 0").groupBy("doc_id", "rule", "license").agg(F.sum("_n").alias("n_found"))
 
 
 def _q(text: str) -> str:
