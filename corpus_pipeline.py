@@ -12,23 +12,39 @@ from tidemark.llm import decontam, mixing, near_dup, quality, secrets
 from tidemark.llm.common import cut
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents with an own key _row, their _row as doc_id and the rest), from a table in the shared folder, so that a row keeps its key."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return rows, rows.withColumn("doc_id", F.col("_row")).drop("_row")
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose key is not in ``gone``, without their key."""
+    return rows.join(gone.select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. Rows of one doc_id go if any of them is rejected; those with a null doc_id stay."""
+    """Documents that the classifier does not reject, each row by itself, whatever its doc_id."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = quality.score_quality(docs, model).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    rows, own = keyed(docs)
+    return without(rows, quality.score_quality(own, model).where("predicted = 0")).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id. Rows with a null doc_id stay."""
-    gone = near_dup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates, the one with the smallest doc_id; rows without one come last. Each row is a document, whatever its doc_id."""
+    rows, own = keyed(docs)
+    classes = near_dup.near_duplicates(own).where("n_class > 1").select(F.col("doc_id").alias("_row"), "class_id")
+    named = classes.join(rows.select("_row", "doc_id"), "_row")
+    kept = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"))
+    gone = classes.join(kept, "_row", "left_anti").select(F.col("_row").alias("doc_id"))
+    return without(rows, gone).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item, each row by itself, whatever its doc_id."""
+    rows, own = keyed(docs)
+    leaks = decontam.find_leaks(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(rows, leaks.select("doc_id").distinct()).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,3 +26,25 @@ def test_stages(spark):
 def test_registered():
     assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_rows_by_themselves(spark):
+    """Rows that share a doc_id, or have none, are judged one by one."""
+    from .data import frame
+
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("length(text) > 150").first()["text"]
+    clean = "quite other words that no item holds and no other row repeats"
+    rows = [(None, f"before {item} after", "s"), (None, clean, "s"), (5, f"well {item} there", "s"), (5, clean + " at all", "s")]
+    got = corpus_pipeline.decontamination_stage(spark, frame(spark, rows), FOLDER).collect()
+    assert sorted(r.text for r in got) == [clean, clean + " at all"]
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, long, "s"), (None, long, "s"), (9, long, "s"), (4, long + " end", "s"), (4, "one of its own", "s"), (None, "alone", "s"), (None, None, "s")]
+    got = corpus_pipeline.near_dup_stage(spark, frame(spark, rows), FOLDER).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted([("4", long + " end"), ("4", "one of its own"), ("None", "alone"), ("None", "None")])
+    docs = spark.read.parquet(TEXTS)
+    want = {r.text for r in corpus_pipeline.quality_stage(spark, docs, FOLDER).collect()}
+    from tidemark.llm import quality
+
+    model = quality.fit_quality(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    scored = quality.score_quality(docs, model).where("predicted = 1").select("doc_id")
+    assert want == {r.text for r in docs.join(scored, "doc_id").collect()}
