@@ -117,6 +117,15 @@ def test_trees(spark):
     assert [r.more for r in traces.tree_rows(spans, most=2).collect()] == [3, 3]
 
 
+def test_trees_of_any_depth(spark):
+    schema = "trace long, span long, parent long, start_s long"
+    chain = spark.createDataFrame([(1, i, i - 1 if i else None, i) for i in range(70)], schema)
+    assert sorted((r.span, r.depth, r.place) for r in traces.tree_rows(chain).collect()) == [(i, i, i + 1) for i in range(70)]
+    cycle = spark.createDataFrame([(1, 0, None, 0), (1, 1, 0, 1), (1, 2, 1, 2), (1, 1, 2, 3)], schema)
+    with pytest.raises(ValueError, match="cycle"):
+        traces.tree_rows(cycle, deepest=3)
+
+
 def test_paging_finds_each_record_once(spark):
     records = spark.createDataFrame([(i // 7, i) for i in range(100)], "ts_us bigint, pid bigint")
     seen, cursor = set(), None

@@ -53,11 +53,12 @@ def trees(spans: DataFrame, least: int = 2, n: int = 5, failed: bool = False, co
     return figures.where(F.col("matched").isNotNull() & (F.col("processes") >= least)).orderBy(F.col("matched").desc(), F.col("trace").desc()).limit(n)
 
 
-def tree_rows(spans: DataFrame, most: int | None = None, start="start_s", deepest: int = 64) -> DataFrame:
+def tree_rows(spans: DataFrame, most: int | None = None, start="start_s", deepest: int | None = None) -> DataFrame:
     """Each span with its depth, its place in the order in which its trace's tree is drawn, and whether it is the last of its siblings.
 
     A root has no parent in its trace. Siblings are in order of start, then id. Levels are joined one after the other, by (trace, parent), until one is empty;
     a place is the row number by the path of sibling ranks. Each level is written to the shared folder, so that the next is one join and no more. most: of each trace only so many rows, with what is left out in ``more``.
+    Trees may have any depth. A level below ``deepest``, by default the different spans of the largest trace, is an error: then repeated spans make a cycle.
     """
     by = Window.partitionBy("trace", "_up").orderBy(start, "span")
     ids = spans.select(F.col("trace"), F.col("span").alias("_up"))
@@ -66,13 +67,19 @@ def tree_rows(spans: DataFrame, most: int | None = None, start="start_s", deepes
     step = F.lpad(F.conv(F.col("_rank").cast("string"), 10, 36), 6, "0")
     level = ranked.where("_up is null").withColumn("depth", F.lit(0)).withColumn("_path", step)
     out, depth = level, 0
-    while depth < deepest:
+    while True:
         depth += 1
         above = level.select(F.col("trace"), F.col("span").alias("_up"), F.col("_path").alias("_above"))
         level = cut(ranked.where("_up is not null").join(above, ["trace", "_up"]).withColumn("depth", F.lit(depth)).withColumn("_path", F.concat("_above", step)).select(*out.columns))
         if level.isEmpty():
             break
+        if deepest is None and depth % 64 == 0:
+            deepest = ranked.groupBy("trace").agg(F.count_distinct("span").alias("n")).agg(F.max("n")).first()[0]
+        if deepest is not None and depth > deepest:
+            raise ValueError(f"spans below depth {deepest}: a cycle, or a deeper tree than was asked for")
         out = out.unionByName(level)
+        if depth % 64 == 0:
+            out = cut(out)
     drawn = out.withColumn("place", F.row_number().over(Window.partitionBy("trace").orderBy("_path"))).drop("_path", "_rank", "_up")
     if most is not None:
         drawn = drawn.withColumn("more", F.greatest(F.lit(0), F.count("*").over(Window.partitionBy("trace")) - most)).where(F.col("place") <= most)
