@@ -45,9 +45,7 @@ def op7_personal_data(spark, sf_dir):
 
 
 def op8_source_mix(spark, sf_dir):
-    """Words of each document in the mix, over its copies."""
-    served = mixing.mix_sources(_read(spark, sf_dir, "documents"))
-    return served.groupBy("doc_id").agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("taken").alias("taken"))
+    return mixing.mixed_words(_read(spark, sf_dir, "documents"))
 
 
 def op9_quality(spark, sf_dir):
