@@ -1,7 +1,10 @@
 import random
+import time
 
 import duckdb
+import pytest
 
+from tidemark.llm import decontam
 from tidemark.llm.decontam import Index, codes_of, find_leaks, normalised
 
 from .data import TEXTS, frame, odd_rows
@@ -39,6 +42,70 @@ def test_regions_are_those_within_the_budget():
         assert (got == true) if true <= k else got is None
 
 
+def edited(rng, text, n):
+    chars = list(text)
+    for _ in range(n):
+        at, op = rng.randrange(len(chars)), rng.random()
+        if op < 0.3:
+            chars[at] = "q"
+        elif op < 0.6:
+            del chars[at]
+        else:
+            chars.insert(at, "z")
+    return "".join(chars)
+
+
+@pytest.mark.parametrize("counted", [decontam.COUNTED, 40])
+def test_items_of_any_length(monkeypatch, counted):
+    """Each item, from one character up, against all texts by a full alignment; also where texts are searched in many small stretches."""
+    monkeypatch.setattr(decontam, "COUNTED", counted)
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(n))
+    items = [(k, words(25)[:m].strip()) for k, m in enumerate([1, 2, 3, 4, 5, 7, 8, 11, 15, 16, 18, 20, 23, 31, 32, 39, 40, 47, 60, 63, 64, 79, 80, 99])] + [(None, "what is 2+2?"), (-1, "capital of peru"), (98, "?!"), (99, "")]
+    items = [(i, t) for i, t in items if t or i == 99]
+    texts = [words(rng.randint(0, 20)) + " " + edited(rng, t, rng.choice([0, 0, 1, 2, 3])) + " " + words(rng.randint(0, 20)) if t else "" for _, t in items for _ in range(3)]
+    got = {}
+    for d, i, _, _, cost in Index(items).search(texts):
+        got[d, i] = min(cost, got.get((d, i), 99))
+    want = {}
+    for i, t in items:
+        p = normalised(codes_of(t))[0].tolist()
+        p = "".join(map(chr, p)).strip()
+        for d, text in enumerate(texts):
+            n = " " + "".join(map(chr, normalised(codes_of(text))[0])).strip() + " "
+            if p and len(p) < 16 and f" {p} " in n:
+                want[d, i] = 0
+            elif len(p) >= 16 and (cost := nearest(p, n[1:-1])) <= int(0.05 * len(p)):
+                want[d, i] = cost
+    assert got == want and sum(v > 0 for v in want.values()) > 5
+
+
+def test_templates():
+    """Thousands of items that share most of their text: those that are there are found, and the others cost little."""
+    rng = random.Random(1)
+    about = "Answer the following question about the city that is named at the end of it: what is the capital of "
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(24))
+    items = [(k, about + name()) for k in range(5_000)]
+    index = Index(items)
+    texts = [f"{about} nowhere that we know of, as it was written here" for _ in range(5)] + [f"so {items[77][1]} and"]
+    began = time.monotonic()
+    found = index.search(texts)
+    assert [x[:2] for x in found] == [(5, 77)] and time.monotonic() - began < 60
+
+
+def test_a_text_that_repeats_an_item_many_times():
+    item = "the passage that comes again and again in one long text of repeats"
+    found = Index([(1, item)]).search([(item + " . ") * 300])
+    assert len(found) == 300 and all(x[4] == 0 for x in found)
+
+
+def test_blocks(spark, monkeypatch):
+    docs, bench = spark.read.parquet(TEXTS), spark.read.parquet(TEXTS.replace("documents", "benchmark"))
+    whole = sorted(map(tuple, find_leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK", 20_000)
+    assert sorted(map(tuple, find_leaks(docs, bench).collect())) == whole and whole
+
+
 def test_table_holds_all_verbatim_leaks(spark):
     folder = TEXTS.rpartition("/")[0].replace("sf0.001", "sf0.01")
     got = {(r.doc_id, r.item_id) for r in find_leaks(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")).collect()}
@@ -53,9 +120,9 @@ def test_table_holds_all_verbatim_leaks(spark):
 def test_odd_rows(spark):
     item = "a passage that a benchmark asks about and that nobody should learn by heart"
     rows = [*odd_rows(), (9, "Before. A passage, that a benchmark asks about\nand that nobody should learn by heart", "a"), (None, item, "a")]
-    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "short")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "short"), (None, "null id, here!")], "item_id long, text string")
     got = find_leaks(frame(spark, rows, clashing=True), bench).collect()
-    assert sorted((str(r.doc_id), r.item_id, r.n_edits) for r in got) == [("9", 1, 0), ("None", 1, 0)]
+    assert sorted((str(r.doc_id), str(r.item_id), r.n_edits) for r in got) == [("9", "1", 0), ("None", "1", 0), ("None", "None", 0)]
     assert next(r for r in got if r.doc_id == 9).start == 8
     assert find_leaks(frame(spark, []), bench).count() == 0
     assert find_leaks(frame(spark, rows), bench.limit(0)).count() == 0

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, count_pieces
+from .common import arrow_map, count_pieces, cut
 
+#: Characters of a q-gram, at most; a power of 2. Items that are too short for it take shorter ones.
 Q = 16
+#: Items of fewer compared characters are looked for as whole words, without edits.
+SHORT = 16
 #: Edits allowed, as a share of the item's characters.
 EDITS = 0.05
 #: Characters of benchmark items that are searched for in one pass over the documents.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Shared q-grams that are counted at a time.
+COUNTED = 2 << 20
+#: Short q-grams by which regions are looked at once more, and the bits of their hashes.
+FINE, FINE_BITS = 4, 16
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -54,32 +63,32 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-class Index:
-    """The q-grams of a block of items, with the places where each occurs."""
+def short_grams(codes: np.ndarray) -> np.ndarray:
+    """The q-grams of FINE characters as numbers of FINE_BITS bits; equal ones have the same number."""
+    return (grams(codes, FINE) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FINE_BITS)).astype(np.uint16)
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: float = EDITS):
-        self.q, self.items = q, []
-        codes, owner, place = [], [], []
-        for item_id, text in items:
-            c = normalised(codes_of(text))[0]
-            c = c[(c != 32).argmax() if len(c) else 0 :]
-            c = c[:-1] if len(c) and c[-1] == 32 else c
-            m = len(c)
-            if m < q:
-                continue
-            # the lemma: with k edits, m - q + 1 - k q of the q-grams are left; k is cut so that some are
-            k = min(int(edits * m), (m - q) // q)
-            self.items.append((item_id, c, k, m - q + 1 - k * q))
-            g = grams(c, q)
-            codes.append(g)
-            owner.append(np.full(len(g), len(self.items) - 1))
-            place.append(np.arange(len(g)))
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-        g, owner, place = cat(codes, np.uint64), cat(owner, np.int64), cat(place, np.int64)
-        order = np.argsort(g, kind="stable")
-        self.g, self.owner, self.place = g[order], owner[order], place[order]
-        self.width = np.array([max(8, 2 * k) for _, _, k, _ in self.items] or [8], np.int64)
-        self.least = np.array([t for *_, t in self.items] or [1], np.int64)
+
+def ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1 and so on, sizes[0] of them, then those of first[1] and so on."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Grams:
+    """q-grams of some items, sorted, with the item (its number) and the place of each."""
+
+    def __init__(self, q: int, numbers: list[int], codes: list[np.ndarray], rarest: bool):
+        g = [grams(c, q) for c in codes]
+        n = np.array([len(x) for x in g], np.int64)
+        all_, owner = np.concatenate(g), np.repeat(np.array(numbers, np.int32), n)
+        place = ragged(np.zeros(len(n), np.int64), n).astype(np.int32)
+        if rarest:
+            # one for each item, that which the fewest items have
+            _, code, count = np.unique(all_, return_inverse=True, return_counts=True)
+            first = np.cumsum(n) - n
+            best = np.lexsort((place, count[code], np.repeat(np.arange(len(n)), n)))[first]
+            all_, owner, place = all_[best], owner[best], place[best]
+        order = np.argsort(all_, kind="stable")
+        self.q, self.g, self.owner, self.place = q, all_[order], owner[order], place[order]
         self.bits = 22
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.slot(self.g)] = True
@@ -87,51 +96,206 @@ class Index:
     def slot(self, g: np.ndarray) -> np.ndarray:
         return (g * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)
 
-    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item_id, start, end, edits): the regions within each item's edit budget, the best one of those that overlap."""
-        if not len(self.g):
-            return []
-        parts = [codes_of(t + "\n\n\n") for t in texts]
-        codes, at = normalised(np.concatenate(parts)) if parts else (np.empty(0, np.uint32), np.empty(0, np.int64))
-        bounds = np.cumsum([0, *map(len, parts)])
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the text, where their q-gram stands first in the sorted ones, how often it does)."""
         g = grams(codes, self.q)
         hit = np.flatnonzero(self.seen[self.slot(g)])
         lo, hi = np.searchsorted(self.g, g[hit], "left"), np.searchsorted(self.g, g[hit], "right")
-        n = hi - lo
-        pos, n, lo = hit[n > 0], n[n > 0], lo[n > 0]
-        if not len(pos):
+        real = hi > lo
+        return hit[real], lo[real], (hi - lo)[real]
+
+
+def pieces(n: np.ndarray, most: int):
+    """(a, b): runs of n of about ``most`` in sum."""
+    upto, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+class Index:
+    """A block of items to search for: those that allow edits by counts of shared q-grams, the others by their rarest q-gram."""
+
+    def __init__(self, items: list[tuple[int | None, str]], q: int = Q, edits: float = EDITS):
+        self.items: list[tuple[int | None, np.ndarray, int, int]] = []
+        of: dict[tuple[int, bool], list[int]] = {}
+        for item_id, text in items:
+            c = normalised(codes_of(text))[0]
+            c = c[(c != 32).argmax() if len(c) else 0 :]
+            c = c[:-1] if len(c) and c[-1] == 32 else c
+            m = len(c)
+            if not m:
+                continue
+            k, size = int(edits * m), q
+            while size * (k + 1) > m:
+                size //= 2
+            # the lemma: of m - size + 1 q-grams, k edits leave all but k * size
+            of.setdefault((size, k == 0), []).append(len(self.items))
+            self.items.append((item_id, c, k, m - size + 1 - k * size))
+        self.grams = [(exact, Grams(size, numbers, [self.items[i][1] for i in numbers], exact)) for (size, exact), numbers in sorted(of.items())]
+        column = lambda k, none: np.array([i[k] for i in self.items] or [none], np.int64)
+        self.k, self.least = column(2, 0), column(3, 1)
+        self.length = np.array([len(i[1]) for i in self.items] or [1], np.int64)
+        self.half = np.maximum(4, self.k)
+        fine = [short_grams(c) for _, c, _, _ in self.items]
+        self.n_fine = np.array([len(f) for f in fine] or [0], np.int64)
+        self.first_fine, self.fine = np.cumsum(self.n_fine) - self.n_fine, np.concatenate([*fine, np.empty(0, np.uint16)])
+
+    def search(self, texts: list[str]) -> list[tuple[int, int | None, int, int, int]]:
+        """(text, item_id, start, end, edits): the regions within each item's edit budget, the best one of those that overlap."""
+        if not self.grams or not texts:
             return []
-        take = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, diagonal = self.owner[take], np.repeat(pos, n) - self.place[take]
-        # bands of a width that holds all diagonals of a match, each overlapping half of the next
-        half = self.width[item] // 2
-        band = diagonal // half
+        parts = [codes_of(t + "\n\n\n") for t in texts]
+        codes, at = normalised(np.concatenate(parts))
+        bounds = np.cumsum([0, *map(len, parts)])
         starts = np.searchsorted(at, bounds)
-        doc = np.searchsorted(starts, np.repeat(pos, n), "right") - 1
-        item, band, doc = np.r_[item, item], np.r_[band, band - 1], np.r_[doc, doc]
-        order = np.lexsort((band, item, doc))
-        a, b, c = item[order], band[order], doc[order]
-        new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
-        counts = np.diff(np.r_[new, len(a)])
-        found = counts >= self.least[a[new]]
-        out: list[tuple[int, int, int, int, int]] = []
-        for i, d, doc in zip(a[new][found].tolist(), b[new][found].tolist(), c[new][found].tolist()):
-            item_id, pattern, k, _ = self.items[i]
-            h = int(self.width[i]) // 2
-            left, right = max(d * h - k, int(starts[doc])), min(int(starts[doc + 1]) - 1, d * h + 2 * h + len(pattern) + k)
-            hits = aligned(pattern, codes[left:right], k)
-            if hits is None:
+        found = []
+        for exact, part in self.grams:
+            found += self._exact(part, codes, starts) if exact else self._banded(part, codes, starts)
+        return [(d, self.items[i][0], int(at[s] - bounds[d]), int(at[e - 1] - bounds[d]) + 1, cost) for d, i, s, e, cost in best(found)]
+
+    def _exact(self, part: Grams, codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        pos, lo, n = part.hits(codes)
+        out = []
+        for a, b in pieces(n, COUNTED // 8):
+            take = ragged(lo[a:b], n[a:b])
+            item, begin = part.owner[take], np.repeat(pos[a:b], n[a:b]) - part.place[take]
+            doc = np.searchsorted(starts, np.repeat(pos[a:b], n[a:b]), "right") - 1
+            size = self.length[item]
+            inside = (begin >= starts[doc]) & (begin + size < starts[doc + 1])
+            # short items begin and end where words do
+            inside[inside] &= (size[inside] >= SHORT) | (((begin[inside] == 0) | (codes[begin[inside] - 1] == 32)) & (codes[(begin + size)[inside]] == 32))
+            item, begin, doc, size = item[inside], begin[inside], doc[inside], size[inside]
+            for m in np.unique(size).tolist():
+                mine = np.flatnonzero(size == m)
+                same = (codes[begin[mine, None] + np.arange(m)] == np.array([self.items[i][1] for i in item[mine].tolist()])).all(1)
+                out += [(d, i, s, s + m, 0) for d, i, s in zip(doc[mine][same].tolist(), item[mine][same].tolist(), begin[mine][same].tolist())]
+        return out
+
+    def _banded(self, part: Grams, codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        pos, lo, n = part.hits(codes)
+        reach = int((self.length + 2 * self.half)[np.unique(part.owner)].max())
+        out, i, upto = [], 0, np.cumsum(n)
+        while i < len(pos):
+            # a stretch of the text; the next begins so far before its end that each match lies in one of them
+            j = max(int(np.searchsorted(upto, (upto[i - 1] if i else 0) + COUNTED, "right")), int(np.searchsorted(pos, pos[i] + reach, "right")))
+            out += self._verified(*self._regions(part, pos[i:j], lo[i:j], n[i:j], starts), codes, starts)
+            i = int(np.searchsorted(pos, pos[j] - reach)) if j < len(pos) else j
+        return out
+
+    def _regions(self, part: Grams, pos, lo, n, starts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, band, document) of the regions that share as many q-grams with the item as the lemma asks for; a band of diagonals overlaps half of the next."""
+        counted = []
+        for a, b in pieces(n, COUNTED):
+            take = ragged(lo[a:b], n[a:b])
+            item, at = part.owner[take].astype(np.int64), np.repeat(pos[a:b], n[a:b])
+            band = (at - part.place[take]) // self.half[item]
+            doc = np.searchsorted(starts, at, "right") - 1
+            counted.append(self._counts(np.r_[item, item], np.r_[band, band - 1], np.r_[doc, doc], np.ones(2 * len(item), np.int64)))
+        item, band, doc, count = counted[0] if len(counted) == 1 else self._counts(*(np.concatenate(x) for x in zip(*counted)))
+        kept = count >= self.least[item]
+        return item[kept], band[kept], doc[kept]
+
+    @staticmethod
+    def _counts(item, band, doc, count):
+        lows = [x.min() for x in (doc, band, item)]
+        spans = [int(x.max() - low) + 1 for x, low in zip((doc, band, item), lows)]
+        if spans[0] * spans[1] * spans[2] < 1 << 62:
+            order = np.argsort(((doc - lows[0]) * spans[1] + (band - lows[1])) * spans[2] + (item - lows[2]), kind="stable")
+        else:
+            order = np.lexsort((item, band, doc))
+        item, band, doc = item[order], band[order], doc[order]
+        new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (band[1:] != band[:-1]) | (doc[1:] != doc[:-1])])
+        return item[new], band[new], doc[new], np.add.reduceat(count[order], new)
+
+    def _verified(self, item, band, doc, codes, starts) -> list[tuple[int, int, int, int, int]]:
+        """Of those regions the ones that the lemma leaves with short q-grams too, by banded alignment.
+
+        Items that share a template meet in one region by the hundred; what sets them apart shows in their short q-grams, which are looked up
+        for all items of a region at once.
+        """
+        half, k = self.half[item], self.k[item]
+        left = np.maximum(band * half - k, starts[doc])
+        right = np.minimum(starts[doc + 1] - 1, band * half + 2 * half + self.length[item] + k)
+        order = np.lexsort((left, doc))
+        near = np.flatnonzero(np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(left[order] // 256) != 0)]) if len(order) else []
+        out, flag = [], np.zeros(1 << FINE_BITS, bool)
+        for a, b in zip(near, [*near[1:], len(order)]):
+            those = order[a:b]
+            there = short_grams(codes[left[those].min() : right[those].max()])
+            flag[there] = True
+            for c, d in pieces(self.n_fine[item[those]], COUNTED):
+                some = those[c:d]
+                sizes = self.n_fine[item[some]]
+                shared = np.add.reduceat(flag[self.fine[ragged(self.first_fine[item[some]], sizes)]].astype(np.int32), np.cumsum(sizes) - sizes)
+                some = some[shared >= sizes - FINE * k[some]]
+                some = some[self._covered(item[some], flag) <= k[some]]
+                for r in some[self._within(item[some], codes, left[some], right[some])].tolist():
+                    hit = aligned(self.items[item[r]][1], codes[left[r] : right[r]], int(k[r]))
+                    if hit is not None:
+                        out.append((int(doc[r]), int(item[r]), int(left[r]) + hit[0], int(left[r]) + hit[1], hit[2]))
+            flag[there] = False
+        return out
+
+    def _covered(self, item: np.ndarray, flag: np.ndarray) -> np.ndarray:
+        """The fewest edits that can have taken from each item the short q-grams that are not there: each takes FINE successive ones."""
+        n, free = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
+        sizes, first = self.n_fine[item], self.first_fine[item]
+        for at in range(int(sizes.max()) if len(item) else 0):
+            gone = (at < sizes) & (at >= free) & ~flag[self.fine[first + np.minimum(at, sizes - 1)]]
+            n += gone
+            free[gone] = at + FINE
+        return n
+
+    def _within(self, item, codes, left, right) -> np.ndarray:
+        """Whether the text from left to right holds each item within its budget: banded alignments, many at a time, for their costs alone."""
+        out = np.zeros(len(item), bool)
+        order, m, k = np.argsort(self.length[item], kind="stable"), self.length[item], self.k[item]
+        span = right - left - m + 2 * k + 1
+        for a, b in pieces(np.maximum(span[order], 1), COUNTED // 2):
+            some = order[a:b]
+            some = some[span[some] > k[some]]  # others have too little text
+            if not len(some):
                 continue
-            s, e, cost = hits
-            out.append((doc, item_id, int(at[left + s] - bounds[doc]), int(at[left + e - 1] - bounds[doc]) + 1, cost))
-        return best(out)
+            edge, most = int(k[some].max()), int((right - left)[some].max())
+            width = int((right - left - m)[some].max()) + 2 * edge + 1
+            # the text, with as much that nothing equals before it as there are diagonals to the left
+            j = np.arange(edge + int(m[some].max()) + width)[None] - edge
+            real = (j >= 0) & (j < (right - left)[some, None])
+            text = np.where(real, codes[np.minimum(left[some, None] + np.clip(j, 0, most), len(codes) - 1)], 0)
+            pattern = np.zeros((len(some), int(m[some].max())), np.uint32)
+            for r, i in enumerate(item[some].tolist()):
+                pattern[r, : m[some[r]]] = self.items[i][1]
+            place = np.arange(width, dtype=np.int32)
+            j = place[None] - edge
+            cost = np.where((j >= 0) & (j <= (right - left)[some, None]), 0, 1 << 20).astype(np.int32)
+            for i in range(1, pattern.shape[1] + 1):
+                here = cost + (text[:, i - 1 : i - 1 + width] != pattern[:, i - 1 : i])
+                np.minimum(here[:, :-1], cost[:, 1:] + 1, out=here[:, :-1])
+                cost = np.minimum.accumulate(here - place, axis=1) + place
+                ends = np.flatnonzero(m[some] == i)
+                if len(ends):
+                    inside = place[None] - edge + i <= (right - left)[some[ends], None]
+                    out[some[ends]] = np.where(inside, cost[ends], 1 << 20).min(1) <= k[some[ends]]
+                if i % 16 == 0:
+                    go = (m[some] > i) & (cost.min(1) <= k[some])
+                    if 2 * go.sum() < len(some):
+                        some, cost, text, pattern = some[go], cost[go], text[go], pattern[go]
+                        if not len(some):
+                            break
+        return out
 
 
 def best(found):
     """Of overlapping regions of one item in one text, the one with the fewest edits, then the first."""
-    out = []
-    for x in sorted(found, key=lambda r: (r[0], r[1], r[4], r[2], r[3])):
-        if not any(y[:2] == x[:2] and y[2] < x[3] and x[2] < y[3] for y in out[-64:]):
+    out, kept, of = [], [], None
+    for x in sorted(set(found), key=lambda r: (r[0], r[1], r[4], r[2], r[3])):
+        if x[:2] != of:
+            kept, of = [], x[:2]  # of this item in this text, apart from one another, in order
+        at = bisect.bisect_left(kept, (x[2], x[3]))
+        if (at == 0 or kept[at - 1][1] <= x[2]) and (at == len(kept) or x[3] <= kept[at][0]):
+            kept.insert(at, (x[2], x[3]))
             out.append(x)
     return out
 
@@ -187,28 +351,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, q: i
     """-> doc_id, item_id, start, end, n_edits: where a document holds a benchmark item, give or take its edit budget.
 
     Compared are letters and digits in small letters, with one space for anything between. An item of m such characters
-    may differ by 5 % of them in edits (fewer for items that are too short for the lemma with 16-grams); items with fewer than 16
-    are not looked for. start and end are characters of the text. A document without leaks has no row. Null texts and
-    items hold nothing; a null doc_id is reported as such; repeated rows are reported each; other columns are ignored.
+    may differ by 5 % of them in edits, rounded down. Its q-grams have 16 characters, or the largest smaller power of 2 with which the lemma
+    leaves some at that budget. Items of fewer than 20 characters allow no edit, and those of fewer than 16 are looked for as whole words. Items without any letter or digit hold nothing. start
+    and end are characters of the text. A document without leaks has no row. Null texts and
+    items hold nothing; a null doc_id or item_id is reported as such; repeated rows are reported each, repeated items once; other columns are ignored.
 
-    The items are a query set: they go to the executors in blocks of at most 8 M characters, one pass over
-    the documents for each block; and no item is left out. Nothing is shuffled.
+    The items are a query set: they go to the executors in blocks of about 4 M characters, one pass over
+    the documents for each block, one after the other; and no item is left out. Nothing is shuffled.
     """
     kept = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n, chars = kept.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    chars = kept.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = count_pieces(chars, BLOCK)
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for b in range(blocks):
         part = kept if blocks == 1 else kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        items = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect())
-        found = _search(rows, items, edits, q)
+        items = sorted({(r["item_id"], r["text"]) for r in part.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        shared = rows.sparkSession.sparkContext.broadcast(items)
+        found = _search(rows, shared, edits, q)
+        if blocks > 1:
+            found = cut(found, "leaks")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(rows: DataFrame, items, edits: float, q: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(items)
+def _search(rows: DataFrame, shared, edits: float, q: int) -> DataFrame:
     made: dict[str, Index] = {}
 
     def run(batch):
