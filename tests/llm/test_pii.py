@@ -1,9 +1,13 @@
+import random
+
+import duckdb
 import numpy as np
+import pytest
 
 from tidemark.llm import pii
 from tidemark.llm.pii import KINDS, WINDOW, Tagger, all_spans, base_spans, default_model, find_personal_data, labelled_examples
 
-from .data import frame, odd_rows
+from .data import TEXTS, frame, odd_rows
 
 
 def test_gradients():
@@ -56,6 +60,53 @@ def test_model_adds_what_runs_together():
     assert ("phone", 23, 40) in spans and set(base) <= set(spans)
 
 
+@pytest.mark.parametrize("plain, least", [(True, 0.97), (False, 0.9)])
+def test_planted_in_documents(plain, least):
+    """Data written into clean documents, in the forms of the patterns and in forms that they don't know: how much is found whole, and what else is."""
+    r, rng = np.random.default_rng(5), random.Random(5)
+    docs = [t for (t,) in duckdb.sql(f"select text from '{TEXTS.replace('sf0.001', 'sf0.01')}' where length(text) between 200 and 6000 order by doc_id limit 400").fetchall()]
+    clean = [t for t, (_, spans) in zip(docs, all_spans(default_model(), docs)) if not spans]
+    words = [w.lower() for t in clean for w in t.split() if w.isascii() and w.isalpha() and len(w) > 2]
+    texts, planted = [], []
+    for t in clean:
+        parts, kind = t.split(" "), rng.choice(KINDS)
+        k, s = rng.randrange(len(parts)), pii.written(kind, r, lambda: rng.choice(words), plain)
+        before = " ".join(parts[:k]) + " " if k else ""
+        texts.append(f"{before}{s} {' '.join(parts[k:])}")
+        planted.append((kind, len(before), len(before) + len(s)))
+    found = [spans for _, spans in all_spans(default_model(), texts)]
+    right = sum(p in f for p, f in zip(planted, found))
+    assert len(clean) > 200 and right >= least * len(planted)
+    assert right >= 0.95 * sum(map(len, found))
+
+
+def test_forms_beyond_the_patterns():
+    for text, kind, span in [
+        ("call (826) 555-7388 today", "phone", "(826) 555-7388"), ("paid with 4539.5787.6362.1486 last week", "card", "4539.5787.6362.1486"), ("the host 10[.]20[.]30[.]40 was down", "ip", "10[.]20[.]30[.]40"),
+        ("write to jane at mailer dot org about it", "email", "jane at mailer dot org"), ("write to jane [at] mailer [dot] org about it", "email", "jane [at] mailer [dot] org"),
+    ]:
+        base, spans = all_spans(default_model(), [text])[0]
+        assert base == [] and [(k, text[a:b]) for k, a, b in spans] == [(kind, span)]
+    for text in ("it began at 10:30 and the dot on the map", "version 3.14.15 of 2024-01-02", "4539.5787.6362.1487 is no card", "order 1234567890123 was sent"):
+        assert all_spans(default_model(), [text])[0] == ([], [])
+
+
+def test_base_of_a_table_in_sql(spark):
+    """Counts of the four base kinds, the second time by DuckDB."""
+    path = TEXTS.replace("sf0.001", "sf0.01")
+    digits = "list_filter(string_split(regexp_replace(x, '[^0-9]', '', 'g'), ''), lambda d: d <> '')"
+    double = "list_sum(list_transform(list_reverse(" + digits + "), lambda d, i: CASE WHEN i % 2 = 1 THEN d::INT WHEN d::INT > 4 THEN 2 * d::INT - 9 ELSE 2 * d::INT END))"
+    want = duckdb.sql(rf"""
+        SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')),
+          len(list_filter(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda x: list_max(list_transform(string_split(x, '.'), lambda p: p::HUGEINT)) <= 255)),
+          len(list_filter(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), lambda x: len({digits}) BETWEEN 13 AND 19 AND {double} % 10 = 0)),
+          len(list_filter(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: len({digits}) BETWEEN 9 AND 15))
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM '{path}')""").fetchall()
+    got = find_personal_data(spark.read.parquet(path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_spans").collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want) and sum(sum(r[1:]) for r in want) > 50
+    assert all(r.n_spans >= r.n_email + r.n_ip + r.n_card + r.n_phone for r in got)
+
+
 def test_odd_rows(spark):
     rows = [*odd_rows(), (9, "a" * 5000 + " me@example.org " + "b" * 5000, "a")]
     got = find_personal_data(frame(spark, rows, clashing=True)).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -21,9 +22,20 @@ PATTERNS = {
 #: A window of characters, and the step from one to the next.
 WINDOW, STEP = 96, 48
 #: Labelled examples that the default model learns from.
-EXAMPLES = 1500
-ROUNDS = 160
-_TRIGGER = re.compile("[0-9@]")
+EXAMPLES = 2400
+ROUNDS = 360
+#: Characters on either side of a tagged run in which the whole of what it belongs to is looked for.
+BESIDE = 64
+#: What each kind of span has somewhere, also where it is written out: a digit, an @, a point in words, or brackets about at and dot.
+_TRIGGER = re.compile(r"[0-9@]|\bdot\b|[(\[{] ?(?:at|dot)\b", re.I)
+_PLAIN = re.compile("[0-9@]")
+# What a span that the model finds must look like besides, looser than the base patterns.
+PLAUSIBLE = {
+    "email": re.compile(r"[\w.%+-]+(?: ?(?:[(\[{] ?dot ?[)\]}]|\bdot\b) ?[\w-]+)*+ ?(?:@|[(\[{] ?(?:at|@) ?[)\]}]|\bat\b) ?[\w-]+(?: ?(?:\.|[(\[{] ?(?:dot|\.) ?[)\]}]|\bdot\b) ?[\w-]+)+", re.I),
+    "ip": re.compile(r"[0-9]{1,3}( ?[.,] ?| ?[(\[{]\.[)\]}] ?| dot )[0-9]{1,3}\1[0-9]{1,3}\1[0-9]{1,3}", re.I),
+    "card": re.compile(r"[0-9](?:[\x20./_-]{0,3}[0-9])+"),
+    "phone": re.compile(r"(?:\+|00)?[\x20(]{0,2}[0-9](?:[\x20()./-]{0,3}[0-9])+"),
+}
 
 
 def luhn(digits: str) -> bool:
@@ -44,41 +56,58 @@ def valid(kind: str, text: str) -> bool:
     return 9 <= len(digits) <= 15 if kind == "phone" else 13 <= len(digits) <= 19 and luhn(digits)
 
 
+def plausible(kind: str, text: str) -> bool:
+    """Whether a span that the model finds can be what it says, also in forms that the base patterns don't know."""
+    if not PLAUSIBLE[kind].fullmatch(text):
+        return False
+    if kind == "email":
+        return len(text) <= 254 and sum(map(str.isalpha, text)) >= 4
+    if kind == "ip":
+        return all(int(n) <= 255 for n in re.findall("[0-9]+", text))
+    digits = re.sub("[^0-9]", "", text)
+    # a bare run of digits is no phone, but a number with a prefix or in groups
+    return 9 <= len(digits) <= 15 and digits != text if kind == "phone" else 13 <= len(digits) <= 19 and luhn(digits)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost matches that do not overlap, for each kind by itself; those that are not valid are dropped, and not tried again."""
-    if not _TRIGGER.search(text):
+    if not _PLAIN.search(text):
         return []
     return [(k, m.start(), m.end()) for k in KINDS for m in PATTERNS[k].finditer(text) if valid(k, m[0])]
 
 
-def _classes(texts: list[str], width: int) -> np.ndarray:
-    """Character classes, 0 for padding: ASCII as it is (small letters folded to a few), letters beyond, and the rest."""
-    out = np.zeros((len(texts), width), np.int64)
-    for i, t in enumerate(texts):
-        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out[i, : len(c)] = _LOOK[np.minimum(c, 255)]
-    return out
+#: Characters with a class of their own. 0 is padding; other ASCII, letters beyond ASCII and the rest share one each.
+ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ \n\t.,;:!?@+-_()[]{}<>|/\\#%&*=\"'$~"
+N_CLASSES = 4 + len(ALPHABET)
+_ONE = np.eye(N_CLASSES)
 
 
 def _look() -> np.ndarray:
-    look = np.full(256, 5, np.int64)
-    look[:128] = 4
-    for k, chars in enumerate("0123456789@.+-() \n|:%_"):
-        look[ord(chars)] = 6 + k
-    for c in range(26):
-        look[97 + c], look[65 + c] = 1, 2
+    look = np.full(1 << 16, 3, np.int64)
+    look[:128] = 1
+    look[[c for c in range(128, 1 << 16) if chr(c).isalpha()]] = 2
+    look[[ord(c) for c in ALPHABET]] = 4 + np.arange(len(ALPHABET))
     return look
 
 
-_LOOK = _look()
-N_CLASSES = 6 + 22
-_ONE = np.eye(N_CLASSES)
+_LOOK: list[np.ndarray] = []
+
+
+def _classes(texts: list[str], width: int) -> np.ndarray:
+    """The class of each character, 0 where a text has ended."""
+    if not _LOOK:
+        _LOOK.append(_look())
+    out = np.zeros((len(texts), width), np.int64)
+    for i, t in enumerate(texts):
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out[i, : len(c)] = _LOOK[0][np.minimum(c, (1 << 16) - 1)]
+    return out
 
 
 class Tagger:
     """Tags (none, email, ip, card, phone) by emissions of a BiLSTM and transitions of a linear-chain CRF."""
 
-    def __init__(self, hidden: int = 12, seed: int = 5):
+    def __init__(self, hidden: int = 16, seed: int = 5):
         r = np.random.default_rng(seed)
         h, k = hidden, len(KINDS) + 1
         self.hidden = h
@@ -91,8 +120,9 @@ class Tagger:
         """Hidden states (steps, rows, hidden) in one direction; with keep, also what the backward pass needs."""
         h, steps, rows = self.hidden, x.shape[1], len(x)
         E, R = self.p[f"E{d}"], self.p[f"R{d}"]
-        out, cells, gates = np.zeros((steps, rows, h)), np.zeros((steps, rows, h)), np.zeros((steps, rows, 4 * h)) if keep else None
-        state, cell = np.zeros((rows, h)), np.zeros((rows, h))
+        zeros = lambda *size: np.zeros(size, E.dtype)
+        out, cells, gates = zeros(steps, rows, h), zeros(steps, rows, h), zeros(steps, rows, 4 * h) if keep else None
+        state, cell = zeros(rows, h), zeros(rows, h)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = E[x[:, t]] + state @ R
             s = 1 / (1 + np.exp(-z[:, : 3 * h]))
@@ -141,35 +171,35 @@ class Tagger:
             beta[t] = np.where(real[t + 1][:, None], soft(T + (beta[t + 1] + e[t + 1])[:, None, :], 2), beta[t + 1])
         z = soft(alpha[-1], 1)
         de = np.exp(alpha + beta - z[None, :, None]) * real[:, :, None]
-        gold = np.eye(k)[y.T] * real[:, :, None]
+        gold = np.eye(k, dtype=e.dtype)[y.T] * real[:, :, None]
         de -= gold
         both_real = real[1:] & real[:-1]
         pair = np.exp(alpha[:-1, :, :, None] + T + (e[1:] + beta[1:])[:, :, None, :] - z[None, :, None, None]) * both_real[:, :, None, None]
         dT = pair.sum((0, 1)) - np.einsum("tri,trj->ij", gold[:-1], gold[1:])
         g = {"T": dT, "o": de.sum((0, 1)), "O": np.einsum("trh,trk->hk", both, de)}
-        d_both, h = de @ self.p["O"].T, self.hidden
+        d_both, h, one = de @ self.p["O"].T, self.hidden, _ONE.astype(T.dtype)
         for d, (out, cells, gates), part in (("f", f, d_both[:, :, :h]), ("b", b, d_both[:, :, h:])):
             E, R = np.zeros_like(self.p[f"E{d}"]), np.zeros_like(self.p[f"R{d}"])
             order = list(range(steps)) if d == "f" else list(range(steps - 1, -1, -1))
-            dh, dc = np.zeros((rows, h)), np.zeros((rows, h))
+            dh, dc = np.zeros((2, rows, h), E.dtype)
             for n in range(steps - 1, -1, -1):
                 t = order[n]
                 before = order[n - 1] if n else None
-                c_before = cells[before] if n else np.zeros((rows, h))
-                h_before = out[before] if n else np.zeros((rows, h))
+                c_before = cells[before] if n else np.zeros((rows, h), E.dtype)
+                h_before = out[before] if n else np.zeros((rows, h), E.dtype)
                 i_, f_, o_, g_ = (gates[t, :, j * h : (j + 1) * h] for j in range(4))
                 tc = np.tanh(cells[t])
                 on = real[t][:, None]
                 dht = (part[t] + dh) * on
                 dct = (dc + dht * o_ * (1 - tc * tc)) * on
                 dz = np.concatenate([dct * g_ * i_ * (1 - i_), dct * c_before * f_ * (1 - f_), dht * tc * o_ * (1 - o_), dct * i_ * (1 - g_ * g_)], axis=1)
-                E += _ONE[x[:, t]].T @ dz
+                E += one[x[:, t]].T @ dz
                 R += h_before.T @ dz
                 dh, dc = dz @ self.p[f"R{d}"].T, dct * f_
             g[f"E{d}"], g[f"R{d}"] = E, R
-        return {key: v / rows for key, v in g.items()}
+        return {key: (v / rows).astype(T.dtype) for key, v in g.items()}
 
-    def fit(self, examples: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = ROUNDS, rows: int = 48, rate: float = 0.02, seed: int = 3) -> Tagger:
+    def fit(self, examples: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = ROUNDS, rows: int = 48, rate: float = 0.025, seed: int = 3) -> Tagger:
         """Adam over shuffled batches of (text, spans)."""
         texts = [t[:WINDOW] for t, _ in examples]
         x = _classes(texts, WINDOW)
@@ -178,6 +208,7 @@ class Tagger:
             for kind, a, b in spans:
                 y[i, a:b] = KINDS.index(kind) + 1
         r = np.random.default_rng(seed)
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         for n in range(1, rounds + 1):
@@ -190,41 +221,67 @@ class Tagger:
         return self
 
 
-def labelled_examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Labelled spans to learn from where no others are given: invented words in which data of each kind stands, often side by side."""
-    r = np.random.default_rng(seed)
+def _luhn_digits(r, n: int) -> str:
+    d = "".join(str(x) for x in r.integers(0, 10, n - 1))
+    return next(d + c for c in "0123456789" if luhn(d + c))
+
+
+def written(kind: str, r, word, plain: bool) -> str:
+    """One piece of data of a kind: plain as the base patterns have it, else in a form that they don't know."""
     pick = lambda xs: xs[r.integers(len(xs))]
     digits = lambda k: "".join(str(x) for x in r.integers(0, 10, k))
-    word = lambda: "".join(pick("aeioulnrstdhmcgbpéüñ") for _ in range(r.integers(2, 9)))
-
-    def one(kind: str) -> str:
-        if kind == "email":
-            return pick([word(), f"{word()}.{digits(2)}", f"{word()}_{word()}"]) + "@" + pick([f"mail{digits(1)}.{word()}", word()]) + pick([".com", ".org", ".net", ".de"])
-        if kind == "ip":
-            return ".".join(str(x) for x in r.integers(0, 256, 4))
-        if kind == "card":
-            d = digits(16)
-            return pick([d, d, f"{d[:4]}-{d[4:8]}-{d[8:12]}-{d[12:]}", f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}"])
-        d = digits(10)
+    if kind == "email":
+        name, host = pick([word(), f"{word()}.{digits(2)}", f"{word()}_{word()}", f"{word()}.{word()}"]), pick([f"mail{digits(1)}.{word()}", word(), word()])
+        end = pick(["com", "org", "net", "de", "example", "io"])
+        if plain:
+            return f"{name}@{host}.{end}"
+        at, dot = pick([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" AT ", " DOT "), ("[at]", "."), (" @ ", " . "), (" (at) ", ".")])
+        return (name + at + host).replace(".", dot) + dot + end
+    if kind == "ip":
+        return pick(["."] if plain else ["[.]", "(.)", " . ", " dot "]).join(str(x) for x in r.integers(0, 256, 4))
+    if kind == "card":
+        d = _luhn_digits(r, 16)
+        if plain and r.random() < 0.4:
+            return d
+        return pick(["-", " "] if plain else [".", "/", "  ", " - ", "_"]).join(d[k : k + 4] for k in (0, 4, 8, 12))
+    d = digits(10)
+    if plain:
         return pick([f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}", f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}", f"+{digits(2)} {d[:3]} {d[3:6]} {d[6:]}", f"+1.{d[:3]}.{d[3:6]}.{d[6:]}"])
+    return pick([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"00{digits(2)} {d[:3]} {d[3:6]} {d[6:]}", f"0{d[:3]}/{d[3:]}", f"({d[:3]}){d[3:6]} {d[6:]}", f"+1/{d[:3]}/{d[3:]}"])
 
+
+def labelled_examples(n: int = EXAMPLES, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Labelled spans to learn from where no others are given: invented words in which data of each kind stands, often side by side, in the forms of the base patterns and in others."""
+    r = np.random.default_rng(seed)
+    pick = lambda xs: xs[r.integers(len(xs))]
+    digits = lambda k: "".join(str(x) for x in r.integers(0, 10, k))
+    word = lambda: "".join(pick("aaeeiioouulnrstdhmcgbpfvwykzjxqéüñèßó") for _ in range(r.integers(2, 10)))
+    ascii_word = lambda: "".join(pick("aaeeiioulnrstdhmcgbpfvwyk") for _ in range(r.integers(3, 9)))
+    # what looks like data and is none
+    other = [
+        lambda: f'token = "{"".join(pick("0123456789abcdef") for _ in range(40))}"', lambda: digits(r.integers(1, 8)), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}",
+        lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"${digits(3)},{digits(3)}.{digits(2)}", lambda: f"at {word()} {word()}", lambda: f"{word()} at {digits(2)}:{digits(2)}", lambda: f"a dot on {word()}", lambda: f"#{digits(6)}",
+        lambda: f"{digits(5)}-{digits(4)}", lambda: f"https://{ascii_word()}.org/{digits(4)}", lambda: f"{digits(1)}. {word()}", lambda: f"{digits(3)} {word()} {digits(4)}", lambda: f"[{digits(1)}] {word()} ({digits(4)})", lambda: digits(r.integers(9, 13)),
+    ]
     out = []
     for _ in range(n):
         text, spans = "", []
         while len(text) < WINDOW:
             u = r.random()
             if u < 0.3:
-                kind = pick(KINDS)
-                s = one(kind)
+                plain = r.random() < 0.4
+                kind = pick(KINDS if plain else ("email", "email", "email", *KINDS))  # addresses in words are the hardest to learn
+                s = written(kind, r, ascii_word, plain)
                 if len(text) + len(s) > WINDOW:
                     break
                 spans.append((kind, len(text), len(text) + len(s)))
-                text += s + pick([" ", " ", " ", ", ", ". ", "\n", " | "])
-            elif u < 0.36:
-                text += pick([f'token = "{"".join(pick("0123456789abcdef") for _ in range(40))}"', digits(r.integers(1, 8)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"v{digits(1)}.{digits(1)}"]) + " "
+                text += s + pick([" ", " ", " ", ", ", ". ", "\n", " | ", "!! "])
+            elif u < 0.4:
+                text += pick(other)() + pick([" ", ", ", ". "])
             else:
                 w = word()
-                text += (w.capitalize() if r.random() < 0.15 else w) + pick([" ", " ", " ", ", ", ". ", ".\n"])
+                u = r.random()
+                text += (w.capitalize() if u < 0.15 else w.upper() if u < 0.2 else w) + pick([" ", " ", " ", " ", ", ", ". ", ".\n", "!! "])
         out.append((text[:WINDOW], spans))
     return out
 
@@ -240,57 +297,81 @@ def default_model(examples: int = EXAMPLES, rounds: int = ROUNDS) -> Tagger:
 
 
 def model_spans(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Spans by the model: every window is decoded, and each character takes its tag from the window in whose middle it lies most.
+    """Spans by the model: windows are decoded, and each character takes its tag from the window in whose middle it lies most.
 
-    A span of any kind holds a digit or an @, so windows that hold neither are all "none" without decoding, and a tagged run
-    without one is no span. Runs go on over the borders of windows, as tags are put together first.
+    A span holds a digit, an @, or words or brackets that stand for it, so the windows over such a place, and one more on either side,
+    are decoded; those are all that a span reaches into which goes on for at most 48 characters from it. A tagged run without such a place is no span.
+    Runs go on over the borders of windows, as tags are put together first.
     """
     where, pieces = [], []
     for i, t in enumerate(texts):
         seen = -1
         for m in _TRIGGER.finditer(t):
-            # the windows over this place: those that begin at a multiple of STEP
-            for w in range(max(seen + 1, (m.start() - WINDOW) // STEP + 1, 0), m.start() // STEP + 1):
+            # the windows over this place, those that begin at a multiple of STEP, and their neighbours
+            last = min(m.start() // STEP + 1, max(0, len(t) - 1) // STEP)
+            for w in range(max(seen + 1, (m.start() - WINDOW) // STEP, 0), last + 1):
                 where.append((i, w * STEP))
                 pieces.append(t[w * STEP : w * STEP + WINDOW])
                 seen = w
-    tags: dict[int, dict[int, int]] = {}
     side = (WINDOW - STEP) // 2
+    hits: list[list[np.ndarray]] = [[] for _ in texts]
     for a in range(0, len(pieces), 2048):
         got = model.decode(_classes(pieces[a : a + 2048], WINDOW))
-        for (i, at), row, piece in zip(where[a : a + 2048], got, pieces[a : a + 2048]):
+        for r in np.flatnonzero(got.any(1)).tolist():
+            i, at = where[a + r]
             # a window speaks for its middle, at the text's ends also for its side
             lo = 0 if at == 0 else side
-            hi = len(piece) if at + WINDOW >= len(texts[i]) else WINDOW - side
-            for j in np.flatnonzero(row[lo:hi]).tolist():
-                tags.setdefault(i, {})[at + lo + j] = int(row[lo + j])
+            hi = len(pieces[a + r]) if at + WINDOW >= len(texts[i]) else WINDOW - side
+            j = lo + np.flatnonzero(got[r, lo:hi])
+            if len(j):
+                hits[i].append(np.stack([at + j, got[r, j]]))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for i, got in tags.items():
-        run: list[int] = []
-        for p in [*sorted(got), None]:
-            if run and (p is None or p != run[-1] + 1 or got[p] != got[run[-1]]):
-                a, b = run[0], run[-1] + 1
-                while a < b and not (texts[i][a].isalnum() or texts[i][a] in "+("):
-                    a += 1
-                while b > a and not texts[i][b - 1].isalnum():
-                    b -= 1
-                if a < b and _TRIGGER.search(texts[i], a, b):
-                    out[i].append((KINDS[got[run[0]] - 1], a, b))
-                run = []
-            if p is not None:
-                run.append(p)
+    for i, found in enumerate(hits):
+        if not found:
+            continue
+        p, tag = np.concatenate(found, axis=1)
+        first = np.argsort(p, kind="stable")
+        p, tag = p[first], tag[first]
+        once = np.r_[True, p[1:] != p[:-1]]
+        p, tag = p[once], tag[once]
+        new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1] + 1) | (tag[1:] != tag[:-1])])
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(p)]):
+            s, e = int(p[a]), int(p[b - 1]) + 1
+            while s < e and not (texts[i][s].isalnum() or texts[i][s] in "+("):
+                s += 1
+            while e > s and not texts[i][e - 1].isalnum():
+                e -= 1
+            if s < e and _TRIGGER.search(texts[i], s, e):
+                out[i].append((KINDS[int(tag[a]) - 1], s, e))
     return out
 
 
+def completed(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
+    """A tagged run that is not plausible as it stands, widened (or cut) to the plausible piece of text that shares most with it, if there is one."""
+    if not plausible(kind, text[a:b]):
+        low = max(0, a - BESIDE)
+        near = [(min(e, b) - max(s, a), -s, s, e) for s, e in ((low + m.start(), low + m.end()) for m in PLAUSIBLE[kind].finditer(text[low : b + BESIDE])) if s < b and a < e]
+        if near and 2 * max(near)[0] >= b - a:
+            return max(near)[2:]
+    return a, b
+
+
 def all_spans(model: Tagger, texts: list[str]) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text. The model's spans are added where they are whole tokens, valid for their kind and clear of base spans."""
+    """(base spans, all spans) of each text. The model's spans are added where they are whole words, plausible for their kind, and clear of base spans."""
     out = []
     for text, found in zip(texts, model_spans(model, texts)):
         base = base_spans(text)
+        taken: list[tuple[int, int]] = []  # by base spans, those that overlap as one
+        for s, e in sorted((s, e) for _, s, e in base):
+            if taken and s < taken[-1][1]:
+                taken[-1] = taken[-1][0], max(e, taken[-1][1])
+            else:
+                taken.append((s, e))
         more = []
-        for kind, a, b in found:
+        for kind, a, b in {(k, *completed(k, text, a, b)) for k, a, b in found}:
             whole = (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum())
-            if whole and PATTERNS[kind].fullmatch(text, a, b) and valid(kind, text[a:b]) and all(e <= a or b <= s for _, s, e in base):
+            at = bisect.bisect_left(taken, (b, b))
+            if whole and plausible(kind, text[a:b]) and (at == 0 or taken[at - 1][1] <= a):
                 more.append((kind, a, b))
         out.append((base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1]))))
     return out
@@ -301,16 +382,17 @@ def _text(spans) -> str:
 
 
 def find_personal_data(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
-    """-> doc_id, n_email, n_ip, n_card, n_phone (of the base), base_sha256, spans; one row for each input row.
+    """-> doc_id, n_email, n_ip, n_card, n_phone (of the base), base_sha256, spans, n_spans (of all); one row for each input row.
 
-    Spans are kind:start:end in code points. Null texts are empty and have none; null doc_ids and repeated rows stand as they
+    The base are four patterns. The model adds what they don't know, such as phone numbers without a plus, addresses with "at" and "dot" in words, or
+    numbers in other groups, and what they ran past. Spans are kind:start:end in code points. Null texts are empty and have none; null doc_ids and repeated rows stand as they
     are; other columns are ignored. Nothing is shuffled. ``model``: by default one trained on labelled_examples().
     """
     model = model or default_model()
 
     def run(batch):
         got = all_spans(model, [t or "" for t in batch.column("text").to_pylist()])
-        out = {"doc_id": batch.column("doc_id"), "base_sha256": [hashlib.sha256(_text(b).encode()).hexdigest() for b, _ in got], "spans": [_text(s) for _, s in got]}
+        out = {"doc_id": batch.column("doc_id"), "base_sha256": [hashlib.sha256(_text(b).encode()).hexdigest() for b, _ in got], "spans": [_text(s) for _, s in got], "n_spans": [len(s) for _, s in got]}
         return out | {f"n_{k}": [sum(s[0] == k for s in b) for b, _ in got] for k in KINDS}
 
-    return arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", pieces=2 << 20)
+    return arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long", pieces=2 << 20)
