@@ -22,11 +22,13 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir; on one machine (tests) a folder of our own where it is unset."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster sees")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark"))
     return sc.getCheckpointDir()
 
@@ -48,6 +50,23 @@ def drop_cut(df: DataFrame) -> None:
         at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: A key with over one in HOT of all rows is salted; there can be only HOT of them. Each goes to SALTS tasks.
+HOT, SALTS = 1000, 64
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], spread: str, rows: int, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which has one row for each key and in _n how many rows of ``big`` have it, of ``rows`` in all.
+
+    Rows of a key with over a thousandth of all are dealt over 64 tasks by a hash of ``spread``, and small's row goes to each. Such keys are at most 1000,
+    which bounds what is broadcast. ``small`` is read twice, so it should be a table.
+    """
+    often = F.col("_n") > max(rows // HOT, 1)
+    hot = small.where(often).select(*keys, F.lit(True).alias("_hot"))
+    salted = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    each = small.withColumn("_salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_n")
+    return salted.join(each, [*keys, "_salt"], how).drop("_salt")
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str, pieces: int = 0) -> DataFrame:
     """``mapInArrow`` over whole rows; ``fn`` gets a RecordBatch and returns a dict of columns (or None).
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Words, arrow_map, bounded_batches, count_pieces, cut, mix64, texts_of, windows
+from .common import WORD, Words, arrow_map, bounded_batches, count_pieces, cut, drop_cut, mix64, spread_join, texts_of, windows
 from .components import connected_components
 
 SHINGLE = 5
@@ -149,9 +149,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Documents are linked if their multisets of 5-word shingles have a weighted Jaccard similarity of 0.8 or more; classes
     are the components of the links; kept marks one of each. Words are split at ASCII white space and not changed; a
     document of 1 to 4 words has one shingle. Documents without words, or with a null text, are alone. Rows of one doc_id
-    are one document with the text that sorts first; rows with a null doc_id are left out. Other columns are ignored.
+    are one document with the text whose md5 sorts first; rows with a null doc_id are left out. Other columns are ignored.
 
-    Equal texts are put together by hash first, so only one of them is signed. Bands that more than one document has
+    Equal texts are put together by hash first, and bands of one of them go on. (All are signed where they are read: to part them
+    before would move every text once.) Bands that more than one document has
     link those documents with the smallest of them; the components of that are candidate groups, far smaller than
     the input and sent, with their texts, to the tasks that verify them. A group over about 512 documents or 4 MB is cut
     into chunks, and each pair of chunks is a task of its own; so no group has to fit one task, and no pair is left out.
@@ -162,8 +163,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     said = own.where(F.col("text").rlike(WORD)).select("doc_id", "text", F.md5("text").alias("_md5"))
     # one document for each text
     of_text = cut(said.groupBy("doc_id").agg(F.min("_md5").alias("_md5")), "texts")
-    first = of_text.groupBy("_md5").agg(F.min("doc_id").alias("_rep"))
-    same = of_text.join(first, "_md5").select("doc_id", "_rep")
+    first = cut(of_text.groupBy("_md5").agg(F.min("doc_id").alias("_rep"), F.count("*").alias("_n")), "first")
 
     def sign(batch):
         texts = texts_of(batch)
@@ -172,15 +172,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     # one document of each text goes on; were two rows of one doc_id to differ, the bands of both would only add candidates
     bands = cut(arrow_map(said.select("doc_id", "text"), sign, "doc_id long, key long", pieces=1 << 20).join(first.select(F.col("_rep").alias("doc_id")), "doc_id", "left_semi"), "bands")
-    shared = bands.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    candidate = connected_components(bands.join(shared, "key").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    shared = cut(bands.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("_n")).where("least < most").select("key", "least", "_n"), "shared")
+    candidate = connected_components(spread_join(bands, shared, ["key"], "doc_id", bands.count()).select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
     chosen = candidate.select(F.col("id").alias("doc_id"), F.col("component").alias("_group")).join(of_text, "doc_id")
     members = cut(said.join(chosen, ["doc_id", "_md5"]).dropDuplicates(["doc_id", "_md5"]).select("doc_id", "_group", "text"), "members")
     sizes = members.groupBy("_group").agg(F.count("*").alias("_n"), F.sum(F.length("text")).alias("_chars"))
-    sizes = sizes.withColumn("_chunks", F.greatest(F.ceil(F.col("_n") / TOGETHER), F.ceil(F.col("_chars") / CHARS)).cast("int"))
+    sizes = cut(sizes, "sizes").withColumn("_chunks", F.greatest(F.ceil(F.col("_n") / TOGETHER), F.ceil(F.col("_chars") / CHARS)).cast("int"))
     small = sizes.where("_chunks = 1").agg(F.sum("_n"), F.sum("_chars")).first()
     packs = max(count_pieces(small[0] or 0, TOGETHER), count_pieces(small[1] or 0, CHARS))
-    sized = members.join(sizes.select("_group", "_chunks"), "_group")
+    drop_cut(bands)
+    drop_cut(shared)
+    sized = spread_join(members, sizes.select("_group", "_chunks", "_n"), ["_group"], "doc_id", members.count())
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("_chunks")).cast("int")
     packed = sized.where("_chunks = 1").select("doc_id", "text", F.pmod(F.xxhash64("_group"), F.lit(packs)).alias("_g"), F.lit(-1).alias("_i"), F.lit(-1).alias("_j"), F.lit(0).alias("_part"))
     # chunk c meets every other: the tasks (i, j) with i <= j in which it is
@@ -197,7 +199,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     links = packed.unionByName(chunked).groupBy("_g", "_i", "_j").applyInArrow(verify, "a long, b long")
     classes = connected_components(links).select(F.col("id").alias("_rep"), F.col("component").alias("_class"))
-    of_doc = own.select("doc_id").distinct().join(same, "doc_id", "left").join(classes, "_rep", "left")
-    named = cut(of_doc.select("doc_id", F.coalesce("_class", "_rep", "doc_id").alias("class_id")), "classes")
-    n = named.groupBy("class_id").agg(F.count("*").alias("n_class"))
-    return named.join(n, "class_id").select("doc_id", "class_id", "n_class", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    by_text = cut(first.join(classes, "_rep", "left").select("_md5", "_n", F.coalesce("_class", "_rep").alias("class_id")), "by_text")
+    n = cut(by_text.groupBy("class_id").agg(F.sum("_n").alias("n_class"), F.count("*").alias("_n")), "n")
+    sized = spread_join(by_text.withColumnRenamed("_n", "_of_text"), n, ["class_id"], "_md5", by_text.count()).withColumnRenamed("_of_text", "_n")
+    named = spread_join(of_text, cut(sized, "sized"), ["_md5"], "doc_id", of_text.count()).select("doc_id", "class_id", "n_class")
+    drop_cut(members)
+    out = cut(own.select("doc_id").distinct().join(named, "doc_id", "left"), "classes")
+    for table in (of_text, first, by_text, n):
+        drop_cut(table)
+    class_id = F.coalesce("class_id", "doc_id")
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"), (F.col("doc_id") == class_id).alias("kept"))

@@ -9,7 +9,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, bounded_batches, cut, drop_cut, texts_of, windows
+from .common import Words, arrow_map, bounded_batches, cut, drop_cut, spread_join, texts_of, windows
 
 WINDOW = 50
 #: Past the end of any document.
@@ -39,16 +39,18 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows choose alike, wherever they are, so a full window can only be repeated if its choice is; and as neighbours mostly choose the same,
     there are 13 times fewer choices than windows. Choices that only one text has end here. Next level, twice as long: windows around the
     choices that are left are hashed in full (128 bits), and the smallest doc_id of each is found. Longer windows than 50 go through more levels,
-    each of which keeps only windows whose two halves are repeated. Groups are aggregated before they are shuffled; and joins back are by hash, which Spark may split.
+    each of which keeps only windows whose two halves are repeated. Groups are aggregated before they are shuffled, and joins back deal the rows of a frequent window over many tasks (spread_join).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     # equal texts, and rows of one doc_id, are told apart by a hash of their texts
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_t"))
     steps = levels(window)
-    of_text = rows.where("doc_id is not null").select("doc_id", "_t", F.md5("text").alias("_md5")).distinct()
-    first = of_text.groupBy("_md5").agg(F.min("doc_id").alias("_first"))
-    copies = cut(of_text.join(first, "_md5").where("doc_id > _first").select("doc_id", "_t"), "copies")
+    of_text = cut(rows.where("doc_id is not null").select("doc_id", "_t", F.md5("text").alias("_md5")).distinct(), "texts")
+    first = cut(of_text.groupBy("_md5").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1"), "first")
+    copies = cut(spread_join(of_text, first, ["_md5"], "doc_id", of_text.count()).where("doc_id > _first").select("doc_id", "_t"), "copies")
+    drop_cut(of_text)
+    drop_cut(first)
     ranges = _level_one(rows.where("doc_id is not null"), steps).join(copies, ["doc_id", "_t"], "left_anti")
     for length in steps[1:]:
         ranges = _level(rows, ranges, length, last=length == window)
@@ -116,9 +118,10 @@ def _level_one(rows: DataFrame, steps: list[int]) -> DataFrame:
         return {"key": h[at[new]].view(np.int64), "doc_id": ids[doc], "_t": batch.column("_t").to_numpy()[doc], "first": (starts[new] - w.first[doc]).astype(np.int32), "last": (starts[end] - w.first[doc]).astype(np.int32)}
 
     chosen = cut(arrow_map(rows, choose, "key long, doc_id long, _t long, first int, last int", pieces=1 << 20), "choices")
-    repeated = chosen.groupBy("key").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b")).where("_a < _b").select("key")
-    out = cut(chosen.join(repeated, "key", "left_semi").groupBy("doc_id", "_t").agg(F.collect_set(F.struct("first", "last")).alias("_ranges")), "ranges")
+    repeated = cut(chosen.groupBy("key").agg(F.min("_t").alias("_a"), F.max("_t").alias("_b"), F.count("*").alias("_n")).where("_a < _b").select("key", "_n"), "repeated")
+    out = cut(spread_join(chosen, repeated, ["key"], "_t", chosen.count(), "left_semi").groupBy("doc_id", "_t").agg(F.collect_set(F.struct("first", "last")).alias("_ranges")), "ranges")
     drop_cut(chosen)
+    drop_cut(repeated)
     return out
 
 
@@ -159,15 +162,15 @@ def _level(rows: DataFrame, ranges: DataFrame, length: int, last: bool) -> DataF
         return {"a": a[s].view(np.int64), "b": b[s].view(np.int64), "doc_id": ids[o], "at": (t[o] << 32) | (s - w.first[o])}
 
     hashed = cut(arrow_map(rows.join(ranges, ["doc_id", "_t"]), hash_all, "a long, b long, doc_id long, at long", pieces=1 << 20), "windows")
+    seen = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most"), F.count("*").alias("_n")).where("_least < _most").drop("_most")
+    seen = cut(seen, "repeated")
+    kept = spread_join(hashed, seen, ["a", "b"], "doc_id", hashed.count())
     if last:
-        seen = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("_least"))
-        kept = hashed.join(seen, ["a", "b"]).where("doc_id > _least")
-    else:
-        seen = hashed.groupBy("a", "b").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("a", "b")
-        kept = hashed.join(seen, ["a", "b"], "left_semi")
+        kept = kept.where("doc_id > _least")
     start = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
     found = kept.groupBy("doc_id", F.shiftright("at", 32).alias("_half")).agg(F.collect_set(F.struct(start.alias("first"), start.alias("last"))).alias("_ranges"))
     named = ranges.select("doc_id", "_t", F.shiftright(F.shiftleft("_t", 32), 32).alias("_half"))
     out = cut(found.join(named, ["doc_id", "_half"]).select("doc_id", "_t", "_ranges"), "ranges")
     drop_cut(hashed)
+    drop_cut(seen)
     return out
