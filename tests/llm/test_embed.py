@@ -44,7 +44,7 @@ def vectors(seed=2, n=200, dim=8):
 
 def test_against_all_pairs(spark, monkeypatch):
     rows = vectors()
-    for cell, natives, members in ((8192, 4096, 16384), (20, 16, 24)):
+    for cell, natives, members in ((8192, 8 << 20, 16 << 20), (20, 16 * 64, 24 * 64)):
         monkeypatch.setattr(embed_dedup, "CELL", cell)
         monkeypatch.setattr(embed_dedup, "NATIVES", natives)
         monkeypatch.setattr(embed_dedup, "MEMBERS", members)
@@ -52,6 +52,20 @@ def test_against_all_pairs(spark, monkeypatch):
         assert got == brute(rows)
 
 
+def test_cells_hold_all_that_is_near_and_little_else():
+    """Each vector goes to the cell of every vector within the radius; in clusters that are apart, to few others."""
+    radius = np.sqrt(2 - 2 * 0.95)
+    for spread, most in ((0.02, 1.5), (0.35, 16)):
+        r = np.random.default_rng(1)
+        centres = r.normal(size=(16, 64))
+        e = centres[r.integers(16, size=600)] / 8 + r.normal(size=(600, 64)) * spread / 2
+        e /= np.linalg.norm(e, axis=1)[:, None]
+        pivots = embed_dedup._pivots(centres / np.linalg.norm(centres, axis=1)[:, None])
+        cells = [embed_dedup._cells(x, pivots, radius)[0] for x in e]
+        near = e @ e.T >= 0.95
+        assert all(cells[j][0] in cells[i] for i, j in zip(*np.nonzero(near))) and np.mean([len(c) for c in cells]) <= most
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [1.0, 1.0]), (6, [2.0, 2.0]), (7, [1.0, 1.0, 0.0]), (8, [float("inf"), 1.0]), (9, []), (10, [1e-30, 1e-30]), (11, [3e38, 3e38]), (None, [1.0, 1.0]), (12, [1.0, 1.0]), (12, [1.0, 1.0])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in link_vectors(frame(spark, rows)).collect()}

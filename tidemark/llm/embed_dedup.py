@@ -14,8 +14,8 @@ from .components import connected_components
 
 #: Distinct vectors of a cell, about; pivots are as many as that asks for, up to PIVOTS.
 CELL, PIVOTS = 8192, 64
-#: Vectors that a task compares, at most about: so many natives with so many members.
-NATIVES, MEMBERS = 4096, 16384
+#: Bytes of the vectors that a task compares, at most about: so many of natives with so many of members.
+NATIVES, MEMBERS = 8 << 20, 16 << 20
 
 
 def link_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
@@ -24,9 +24,13 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     Vectors of unit length lie within r = sqrt(2 - 2 cosine) of each other exactly if their cosine is high enough. Pivots, drawn
     from the vectors by hash, cut space into cells; a vector is native to the cell of its nearest pivot. By the triangle
     inequality, a vector y can lie within r of a native x of cell p only if d(y, p) <= R(p) + r, with R(p) the
-    farthest native, and d(y, p) <= d(y, its own pivot) + 2 r; so y is sent to those cells as a member and to no others. Each cell
+    farthest native; and as x is no farther from p than from any other pivot q, y can lie no deeper than r beyond the plane between p and q: d(y, p)^2 - d(y, q)^2 <= 2 r d(p, q).
+    y is sent to the cells for which all that holds, as a member, and to no others. Each cell
     then counts, for its natives, the members within reach; every pair is found in the cell of either end. Cells are cut
-    into blocks of natives by blocks of members, so that a task holds a bounded number of vectors however many fall in a cell.
+    into blocks of natives by blocks of members, so that a task holds a bounded number of bytes however many vectors fall in a cell.
+
+    How far this prunes is up to the vectors. In clusters that are apart, a vector goes to one cell or a few. Of 64-dimensional vectors that point anywhere, all are about
+    as far from any pivot as from any other, no triangle tells them apart, and most go to most cells; then the work is that of comparing all with all, in blocks.
 
     Equal vectors are one, with a count, until the end. What goes on to find components is one row for each
     vector and block, not pairs. Null vectors, those of length zero, and those with null or non-finite components link with nothing; so
@@ -51,22 +55,22 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     pivots: dict[int, list] = {}
     for row in chosen:
         pivots.setdefault(len(row["e"]), []).append(row["e"])
-    points = {dim: np.array(p) for dim, p in pivots.items()}
+    points = {dim: _pivots(np.array(p)) for dim, p in pivots.items()}
 
     def place(batch):
-        """The native cell and the distances to all pivots of the dimension; a dimension without pivots is one cell, 0."""
-        e, out = batch.column("e"), {"rep": batch.column("rep"), "n": batch.column("n"), "e": batch.column("e")}
-        d = [_distances(x, points) for x in e.to_pylist()]
-        return out | {"dim": [len(x) for x in e.to_pylist()], "home": [int(np.argmin(x)) for x in d], "d": d}
-
-    placed = cut(arrow_map(same.select("rep", "n", "e"), place, "rep long, n long, e array<double>, dim int, home int, d array<double>"), "placed")
-    reach = placed.groupBy("dim", "home").agg(F.max(F.element_at("d", F.col("home") + 1)).alias("far"), F.count("*").alias("n_native"))
-    cells = reach.select(F.col("dim").alias("_dim"), F.col("home").alias("cell"), "far", F.ceil(F.col("n_native") / NATIVES).cast("int").alias("n_i"))
-    every = placed.join(F.broadcast(cells), F.col("dim") == F.col("_dim"))  # at most PIVOTS cells for each dimension
-    to_pivot = F.element_at("d", F.col("cell") + 1)
-    own = F.element_at("d", F.col("home") + 1)
-    near = every.where((F.col("home") == F.col("cell")) | ((to_pivot <= F.col("far") + F.lit(radius)) & (to_pivot <= own + F.lit(2 * radius))))
-    counted = near.groupBy("dim", "cell").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("n_j"))
+        """The native cell, and the cells that the vector may be a member of, with the distances to their pivots, the native one first; a dimension without pivots is one cell, 0."""
+        e, out = batch.column("e").to_pylist(), {"rep": batch.column("rep"), "n": batch.column("n"), "e": batch.column("e")}
+        cells = [_cells(np.asarray(x), points.get(len(x)), radius) for x in e]
+        return out | {"dim": [len(x) for x in e], "home": [c[0][0] for c in cells], "cells": [c[0] for c in cells], "d": [c[1] for c in cells]}
+
+    placed = cut(arrow_map(same.select("rep", "n", "e"), place, "rep long, n long, e array<double>, dim int, home int, cells array<int>, d array<double>"), "placed")
+    blocks_of = lambda n, size: F.ceil(n * F.col("dim") * 8 / size).cast("int")
+    reach = placed.groupBy("dim", "home").agg(F.max(F.element_at("d", 1)).alias("far"), F.count("*").alias("n_native"))
+    cells = reach.select(F.col("dim").alias("_dim"), F.col("home").alias("_cell"), "far", blocks_of(F.col("n_native"), NATIVES).alias("n_i"))
+    sent_to = placed.select("rep", "n", "e", "dim", "home", F.explode(F.arrays_zip(F.col("cells").alias("cell"), "d")).alias("_x")).select("*", "_x.cell", F.col("_x.d").alias("to_pivot")).drop("_x")
+    every = sent_to.join(F.broadcast(cells), (F.col("dim") == F.col("_dim")) & (F.col("cell") == F.col("_cell")))  # at most PIVOTS cells for each dimension
+    near = every.where((F.col("home") == F.col("cell")) | (F.col("to_pivot") <= F.col("far") + F.lit(radius)))
+    counted = near.groupBy("dim", "cell").agg(blocks_of(F.count("*"), MEMBERS).alias("n_j"))
     blocks = counted.select(F.col("dim").alias("_d"), F.col("cell").alias("_c"), "n_j")
     sent = near.select("rep", "n", "e", "dim", "cell", "n_i", (F.col("home") == F.col("cell")).alias("native")).join(F.broadcast(blocks), (F.col("dim") == F.col("_d")) & (F.col("cell") == F.col("_c")))
     i, j = F.pmod(F.xxhash64("rep"), F.col("n_i")), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n_j"))
@@ -92,9 +96,21 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _distances(x, points) -> list[float]:
-    p = points.get(len(x))
-    return [0.0] if p is None else np.sqrt(np.maximum(0, ((p - np.asarray(x)) ** 2).sum(1))).tolist()
+def _pivots(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pivots, and twice the distance between any two of them."""
+    return points, 2 * np.sqrt(np.maximum(0, ((points[:, None] - points[None]) ** 2).sum(2)))
+
+
+def _cells(x: np.ndarray, pivots: tuple[np.ndarray, np.ndarray] | None, radius: float) -> tuple[list[int], list[float]]:
+    """(cells, distances to their pivots): the native cell, then those of which a vector within the radius may be native."""
+    if pivots is None:
+        return [0], [0.0]
+    square = ((pivots[0] - x) ** 2).sum(1)
+    home = int(square.argmin())
+    within = (square[:, None] - square[None] <= radius * pivots[1] + 1e-9).all(1)
+    within[home] = False
+    cells = [home, *np.flatnonzero(within).tolist()]
+    return cells, np.sqrt(square[cells]).tolist()
 
 
 def links_of(e, rep, others, other_rep, other_n, cosine: float, rows: int = 128) -> pa.Table:
