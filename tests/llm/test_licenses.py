@@ -1,4 +1,4 @@
-from tidemark.llm.licenses import SENTENCES, scan_licenses
+from tidemark.llm.licenses import BEGIN, NAMES, RULES, SENTENCES, scan_licenses
 
 from .data import frame, odd_rows
 
@@ -50,6 +50,29 @@ def test_wrapped(spark):
     assert scan(spark, rows) == want
 
 
+def test_notices(spark):
+    """Every licence by each of its names, in a few of the ways in which notices begin, and by its identifier."""
+    rows, want = [], {}
+    for k, (key, names) in enumerate(NAMES.items()):
+        lines = [f"{BEGIN[(k + j) % len(BEGIN)]}{' the' if j % 2 else ''} {name}" for j, name in enumerate(names)]
+        rows += [(2 * k, "Words. " + ".\n".join(lines) + ".", "s"), (2 * k + 1, f"# SPDX-License-Identifier: {key}\n", "s")]
+        want[2 * k, key] = len(names)
+        want[2 * k + 1, key] = 1
+    found = {}
+    for r in scan_licenses(frame(spark, rows)).collect():
+        found[r.doc_id, r.license] = found.get((r.doc_id, r.license), 0) + r.n_found
+    assert found == want and len(NAMES) > 60
+    assert scan(spark, [(1, "Released under the MIT licence of ours\n", "s"), (2, "notice mit license. @ mit license", "s"), (3, "Released under the Vim License and more", "s")]) == {}
+
+
+def test_more_texts(spark):
+    joined = lambda *keys: "\n\n".join(SENTENCES[k] + "." for k in keys)
+    rules = {r: ids for r, _, ids in RULES if r in ("bsd-3-clause-text", "isc-text", "mit-0-text", "zlib-text", "mpl-2.0-header", "gpl-2.0-header", "lgpl-2.1-header", "lgpl-3.0-header", "agpl-3.0-header", "unlicense-text", "bsl-1.0-text", "postgresql-text")}
+    rows = [(k, joined(*ids).replace(":.", ":"), "s") for k, ids in enumerate(rules.values())]
+    got = scan(spark, rows)
+    assert all(got.get((k, rule)) == 1 for k, rule in enumerate(rules)) and len(rules) == 12
+
+
 def test_rows_by_themselves(spark):
     keys = ("mit-grant", "mit-condition", "mit-as-is")
     mit = "Words. " * 3 + ". ".join(SENTENCES[k].rstrip(":") for k in keys) + "."
