@@ -14,6 +14,8 @@ def test_numbers(spark):
     lit = F.lit
     r = one(spark, up=numbers.rate(lit(30), lit(10), lit(10)), back=numbers.rate(lit(10), lit(30), lit(10)), still=numbers.rate(lit(10), lit(10), lit(0)), pct=numbers.percent(lit(1), lit(4)), none=numbers.percent(lit(1), lit(0)), wait=numbers.await_ms(lit(5), lit(5), lit(9), lit(1)))
     assert (r.up, r.back, r.still, r.pct, r.none, r.wait) == (2.0, None, None, 25.0, None, 0.0)
+    r = one(spark, reset=numbers.pressure_pct(lit(1), lit(9_000_000), lit(1), 100.0), most=numbers.pressure_pct(lit(9_000_000), lit(1), lit(1), 100.0), still=numbers.pressure_pct(lit(2), lit(1), lit(0), 100.0), open=numbers.pressure_pct(lit(1), lit(2), lit(1)))
+    assert (r.reset, r.most, r.still, r.open) == (0.0, 100.0, None, None)
     for value, want in ((13.99709, 13.997), (0.0004, 0.0), (0.0167, 0.017), (-2.3456, -2.346), (999.9999, 1000.0), (7180264.329, 7180264.0), (0.5005, 0.5), (float("nan"), None), (float("inf"), None)):
         assert one(spark, v=numbers.measured(lit(value))).v == want
     r = one(spark, both=numbers.add(lit(None).cast("int"), lit(None).cast("int")), left=numbers.add(lit(3), lit(None).cast("int")), tick=numbers.next_tick(lit(60), 30), b=numbers.bucket(lit(-1), 300))

@@ -139,6 +139,22 @@ def test_paging_finds_each_record_once(spark):
     assert len(seen) == 100
 
 
+def test_paging_by_time_and_pid_passes_full_ties(spark):
+    records = spark.createDataFrame([(5, i) for i in range(50)] + [(4, 1)], "ts_us bigint, pid bigint")
+    seen, cursor = [], None
+    while rows := exits.page(records, cursor, 20).collect():
+        seen += [(r.ts_us, r.pid) for r in rows]
+        cursor = seen[-1]
+    assert seen == sorted(seen, reverse=True) and len(seen) == 51
+
+
+def test_spacing_and_ticks(spark):
+    s = spark.createDataFrame([("a", t) for t in (0, 10, 20, 50, 95, 100, 103)] + [("b", 1), ("b", 40)], "name string, ts bigint")
+    assert {r.name: r.spacing for r in read.spacing(s, 103, near=10).collect()} == {"a": 5, "b": None}
+    assert {r.name: r.spacing for r in read.spacing(s, 103, near=1).collect()} == {"a": 10, "b": None}
+    assert sorted(r.ts for r in read.every_nth(s, 3, piece=25).collect()) == [0, 20, 95]
+
+
 def test_nearest(spark):
     left = spark.createDataFrame([("h", 1, 10.0), ("h", 1, 30.0), ("h", 2, 10.0)], "host string, pid long, start double")
     right = spark.createDataFrame([("h", 1, 7.0, "x"), ("h", 1, 14.9, "y"), ("h", 1, 35.1, "z")], "host string, pid long, start double, c string")
@@ -167,6 +183,67 @@ def test_store(spark, tmp_path):
     assert gone and all(h.last <= now - 3600 for h in gone)
 
 
+def day_of_samples(spark, day, first, n=10, name="m"):
+    return spark.createDataFrame([(name, "h", {"a": "b"}, day * 86_400 + s * 400, float(s)) for s in range(first, first + n)], "name string, host string, labels map<string,string>, ts bigint, value double")
+
+
+def test_compaction_touches_its_own_day_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for batch, (day, first) in enumerate([(100, 0), (100, 10), (101, 0), (101, 10)]):
+        store.append("samples", day_of_samples(spark, day, first), batch)
+    held = lambda: sorted((r.ts, r.value) for r in store.read("samples").collect())
+    before = held()
+    assert len(before) == 40
+    for day in (100, 101, 100):
+        store.compact("samples", day, 1, ["name", "ts"])
+        assert held() == before
+    # a batch comes again after it was compacted, once as it was and once with other rows
+    store.append("samples", day_of_samples(spark, 100, 10), 1)
+    assert held() == before
+    store.append("samples", day_of_samples(spark, 101, 50, 3), 1)
+    assert len(held()) == 33 and store.days("samples")[0][0] == 100
+    store.append("samples", day_of_samples(spark, 100, 10), 1)
+    assert held() == before
+
+
+def test_a_change_that_stops_midway_leaves_all_as_it_was(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    store.append("samples", day_of_samples(spark, 100, 0), 0)
+    store.append("samples", day_of_samples(spark, 100, 10))
+    reader, n = store.read("samples"), 20
+
+    def dies(*_):
+        raise RuntimeError("the writer was lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_switch", dies)
+        for step in (lambda: store.compact("samples", 100), lambda: store.append("samples", day_of_samples(spark, 100, 30), 0), lambda: store.drop("samples", 100)):
+            with pytest.raises(RuntimeError):
+                step()
+            assert store.read("samples").count() == n
+    store.compact("samples", 100)
+    store.drop("samples", 100)
+    assert store.read("samples").count() == 0 and reader.count() == n  # who began before reads on
+    for k in range(10):
+        store.append("samples", day_of_samples(spark, 102, 0), 7)
+    assert store.read("samples").count() == 10 and store.read("samples").columns == reader.columns == ["name", "host", "labels", "ts", "value", "day"]
+    assert store.clean("samples") > 0  # what the lost writers left
+    on_disk = {str(p.relative_to(tmp_path / "store" / "samples")) for p in (tmp_path / "store" / "samples").glob("write=*/day=*/*.parquet")}
+    assert on_disk == {f["file"] for v in store._versions("samples") for f in store._list("samples", v)} and len(store._versions("samples")) == 8
+
+
+def test_each_tier_of_rollups_is_kept_for_its_own_time(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for day in (100, 140):
+        store.append("samples", day_of_samples(spark, day, 0), day)
+        maintain.write_rollups(store, day)
+    assert {r.resolution for r in store.read("rollups").collect()} == {300, 3600}
+    assert maintain.retain(store, 141 * 86_400, {"samples": 365}) == [("rollups-300", 100)]
+    assert [d for d, _ in store.days("rollups-300")] == [140] and [d for d, _ in store.days("rollups-3600")] == [100, 140]
+    gone = maintain.fit(store, 0, 200 * 86_400)
+    assert [h.kind for h in gone] == ["samples", "samples", "rollups-300", "rollups-3600", "rollups-3600"] and store.bytes() == 0
+
+
 def test_prune_order():
     held = [maintain.Held(k, f, f + 10, 100) for k in ("records", "samples", "spans") for f in (0, 10, 99_990)]
     gone = maintain.prune_plan(held, 450, 100_000)

@@ -76,7 +76,7 @@ def cpu_shares(now: dict[str, Column], before: dict[str, Column]) -> dict[str, C
 
 
 def disk_util(busy_now, busy_before, seconds) -> Column:
-    """Percent of the time with work in flight, from milliseconds; 100 at most."""
+    """Percent of the time with work in flight, from milliseconds; 100 at most, and 100 too over an interval that gives no rate (the counter went back)."""
     return F.least(rate(busy_now, busy_before, seconds) / 10, F.lit(100.0))
 
 
@@ -91,9 +91,10 @@ def await_ms(done_now, done_before, waited_now, waited_before) -> Column:
 
 
 def pressure_pct(stalled_now, stalled_before, seconds, most: float | None = None) -> Column:
-    """Percent of the time stalled, from microseconds."""
-    value = rate(stalled_now, stalled_before, seconds) / 10_000
-    return value if most is None else F.least(value, F.lit(most))
+    """Percent of the time stalled, from microseconds; null where the counter went back. With ``most``, no more than that, and 0 where it went back."""
+    if most is None:
+        return rate(stalled_now, stalled_before, seconds) / 10_000
+    return F.when(_c(seconds) > 0, F.least(saturating(stalled_now, stalled_before) / _c(seconds) / 10_000, F.lit(most)))
 
 
 def watts(energy_now, energy_before, seconds) -> Column:

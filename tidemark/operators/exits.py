@@ -29,9 +29,16 @@ def last(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.col("ts_us").desc(), F.col("pid").desc()).limit(n)
 
 
-def page(records: DataFrame, cursor_us: int | None, n: int) -> DataFrame:
-    """The next n by time, from a cursor (the last page's oldest moment, which is read again); once() takes out what was seen before."""
-    return last(records if cursor_us is None else records.where(F.col("ts_us") <= cursor_us), n)
+def page(records: DataFrame, cursor, n: int) -> DataFrame:
+    """The next n by time, then pid. The cursor is the last page's oldest (time, pid), which is not read again however many share its time; or its oldest
+    time alone, which is read again: once() then takes out what was seen before, and a page must be longer than the records of a moment.
+    """
+    if cursor is None:
+        return last(records, n)
+    if isinstance(cursor, tuple):
+        at, pid = cursor
+        return last(records.where((F.col("ts_us") < at) | ((F.col("ts_us") == at) & (F.col("pid") < pid))), n)
+    return last(records.where(F.col("ts_us") <= cursor), n)
 
 
 def once(rows: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import bucket
-from ..sources.store import TIME, Store
+from ..sources.store import TABLES, TIERS, Store
 
 DAY, HOUR = 86_400, 3600
 #: Days that are kept of each, and the ladder of rollups.
 KEEP = {"samples": 7, "records": 30, "spans": 30}
-LADDER = ((300, 30 * DAY), (3600, 180 * DAY))
+LADDER = tuple(zip(TIERS, (30 * DAY, 180 * DAY)))
 
 
 def kept(rows: DataFrame, time: str, now: float, days: float, scale: int = 1) -> DataFrame:
@@ -30,16 +30,16 @@ def rollups(samples: DataFrame, resolution: int) -> DataFrame:
 
 
 def write_rollups(store: Store, day: int, ladder=LADDER) -> None:
-    """A day's rollups, from its samples, each tier as a batch of its own that may be written again."""
-    day_samples = store.read("samples").where(F.col("day") == day).drop("day")
+    """A day's rollups, from its samples, each tier in its own table and as a batch that may be written again."""
+    day_samples = store.read("samples", (day, day)).drop("day")
     for resolution, _ in ladder:
-        store.append("rollups", rollups(day_samples, resolution), batch=day * 100_000 + resolution)
+        store.append(f"rollups-{resolution}", rollups(day_samples, resolution), batch=day)
 
 
 def retain(store: Store, now: float, keep=None) -> list[tuple[str, int]]:
-    """Drops days that are wholly older than their table is kept; says which."""
+    """Drops days that are wholly older than their table is kept, each tier of rollups by its own age; says which."""
     gone = []
-    for table, days in {**KEEP, "rollups": max(k for _, k in LADDER) // DAY, **(keep or {})}.items():
+    for table, days in {**KEEP, **{f"rollups-{r}": k // DAY for r, k in LADDER}, **(keep or {})}.items():
         for day, _ in store.days(table):
             if (day + 1) * DAY <= now - days * DAY:
                 store.drop(table, day)
@@ -58,7 +58,7 @@ class Held:
 
 
 #: What goes first: what costs most to hold for what it tells. Rollups go finest first, before the records.
-ORDER = ("samples", "spans", "rollups-300", "rollups-3600", "rollups", "records")
+ORDER = ("samples", "spans", *(f"rollups-{t}" for t in TIERS), "records")
 
 
 def prune_plan(held: list[Held], limit: int | None, now: float) -> list[Held]:
@@ -75,7 +75,7 @@ def prune_plan(held: list[Held], limit: int | None, now: float) -> list[Held]:
 
 def fit(store: Store, limit: int | None, now: float) -> list[Held]:
     """Drops days until the store is within its limit."""
-    held = [Held(table, day * DAY, (day + 1) * DAY, size) for table in TIME for day, size in store.days(table)]
+    held = [Held(table, day * DAY, (day + 1) * DAY, size) for table in TABLES for day, size in store.days(table)]
     gone = prune_plan(held, limit, now)
     for h in gone:
         store.drop(h.kind, h.first // DAY)

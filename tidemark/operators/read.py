@@ -117,11 +117,14 @@ def spacing(samples: DataFrame, until: float, near: float = 300, far: float = 14
     gaps = recent.withColumn("_before", F.lag("ts").over(order)).withColumn("_gap", F.col("ts") - F.col("_before")).where("_gap > 0")
     is_near = F.col("_before") >= math.floor(until - near)
 
-    def middle(condition):
-        kept = F.array_sort(F.collect_list(F.when(condition, F.col("_gap"))))
-        return F.when(F.size(kept) >= 2, F.get(kept, F.floor(F.size(kept) / 2).cast("int")))
-
-    return gaps.groupBy(*by).agg(F.coalesce(middle(is_near), middle(F.lit(True))).alias("spacing"))
+    # how often each gap is there; gaps are whole seconds, so there are at most ``far`` of a group
+    counts = gaps.groupBy(*by, "_gap").agg(F.count("*").alias("_far"), F.count_if(is_near).alias("_near"))
+    every = Window.partitionBy(*by)
+    upto = every.orderBy("_gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for n in ("_near", "_far"):
+        past = F.sum(n).over(upto) > F.floor(F.sum(n).over(every) / 2)
+        counts = counts.withColumn(f"{n}_gap", F.when(past & (F.sum(n).over(every) >= 2), F.col("_gap")))
+    return counts.groupBy(*by).agg(F.coalesce(F.min("_near_gap"), F.min("_far_gap")).alias("spacing"))
 
 
 def rollup(samples: DataFrame, width: int, by=("name", "host")) -> DataFrame:
@@ -169,11 +172,17 @@ def marks(incidents: DataFrame, since: float, until: float, width: int) -> DataF
     return incidents.where((at >= since) & (at <= until)).groupBy(place.alias("column")).agg(F.when(worst == 2, "fault").otherwise("killed").alias("mark"))
 
 
-def every_nth(samples: DataFrame, n: int) -> DataFrame:
-    """The samples of each n-th tick, the first among them. A tick is a moment at which anything was sampled."""
-    ticks = samples.select("ts").distinct()
-    kept = ticks.withColumn("_k", F.row_number().over(Window.orderBy("ts")) - 1).where(F.col("_k") % n == 0).select("ts")
-    return samples.join(kept, "ts", "left_semi")
+def every_nth(samples: DataFrame, n: int, piece: int = 86_400) -> DataFrame:
+    """The samples of each n-th tick, the first among them. A tick is a moment at which anything was sampled.
+
+    Ticks are counted by day first; each day then numbers its own from where those before it end, so no task holds all ticks.
+    """
+    ticks = samples.select("ts").distinct().withColumn("_day", F.floor(F.col("ts") / piece))
+    days = ticks.groupBy("_day").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # over days
+    starts = days.select("_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = ticks.join(starts, "_day").withColumn("_k", F.col("_start") + F.row_number().over(Window.partitionBy("_day").orderBy("ts")) - 1)
+    return samples.join(numbered.where(F.col("_k") % n == 0).select("ts"), "ts", "left_semi")
 
 
 def peak(samples: DataFrame, name: str, since: float, until: float, by=("host",)) -> DataFrame:

@@ -71,8 +71,10 @@ def gauges(spark, sf):
     """The arithmetic of host gauges over order lines."""
     l = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_partkey").alias("a"), F.min("l_partkey").alias("b"), F.max("l_suppkey").alias("c"), F.min("l_suppkey").alias("d"))
     s = F.col("l_orderkey") % 10
+    back = F.col("l_orderkey") % 3 == 0  # of some the counter goes back
+    now, before = F.when(back, F.col("b")).otherwise(F.col("a")), F.when(back, F.col("a")).otherwise(F.col("b"))
     r = lambda c: F.round(c, 10)
-    return l.select("l_orderkey", r(rate("a", "b", s)).alias("rate"), r(percent("d", "c")).alias("pct"), r(disk_util("a", "b", s)).alias("util"), r(queue_depth("a", "b", s)).alias("queue"), r(await_ms("c", "d", "a", "b")).alias("await"), r(pressure_pct("a", "b", s, 100.0)).alias("stall"), r(watts("a", "b", s)).alias("watts"), r(swap_pct(F.col("c") * s, "d")).alias("swap"), r(committed_pct("a", "c", "d")).alias("committed"), r(filesystem_pct("a", "d", "d")).alias("disk"), next_tick("a", 30).alias("tick"))
+    return l.select("l_orderkey", r(rate("a", "b", s)).alias("rate"), r(percent("d", "c")).alias("pct"), r(disk_util("a", "b", s)).alias("util"), r(queue_depth("a", "b", s)).alias("queue"), r(await_ms("c", "d", "a", "b")).alias("await"), r(pressure_pct(now, before, s, 100.0)).alias("stall"), r(pressure_pct(now, before, s)).alias("stall_rate"), r(watts("a", "b", s)).alias("watts"), r(swap_pct(F.col("c") * s, "d")).alias("swap"), r(committed_pct("a", "c", "d")).alias("committed"), r(filesystem_pct("a", "d", "d")).alias("disk"), next_tick("a", 30).alias("tick"))
 
 
 def _exits(spark, sf):
@@ -182,7 +184,7 @@ SELECT host, unit, ts, CAST(sum(greatest(v - CASE WHEN bt = earlier THEN b ELSE
     "processes_under": "WITH g AS (SELECT '/r' || n_regionkey || '.slice/n' || n_nationkey || '.service' AS path, n_nationkey AS n, NULL AS r FROM nation UNION ALL SELECT '/r' || r_regionkey || '.slice', NULL, r_regionkey FROM region) SELECT path, (SELECT count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey = g.n OR n_regionkey = g.r) AS processes FROM g",
     "physical_totals": "SELECT p_partkey % 10 AS host, CAST(sum(p_partkey) AS BIGINT) AS reads FROM part WHERE p_partkey % 5 >= 2 GROUP BY 1",
     "gauges": """WITH l AS (SELECT l_orderkey, max(l_partkey) AS a, min(l_partkey) AS b, max(l_suppkey) AS c, min(l_suppkey) AS d, l_orderkey % 10 AS s FROM lineitem GROUP BY l_orderkey), r AS (SELECT *, CASE WHEN s > 0 THEN (a - b) / s END AS v, CASE WHEN c * s > 0 THEN 100.0::DOUBLE * (c * s - d) / (c * s) ELSE 0 END AS swap FROM l)
-SELECT l_orderkey, round(v, 10) AS rate, CASE WHEN c > 0 THEN round(100.0::DOUBLE * d / c, 10) END AS pct, CASE WHEN v IS NULL THEN 100.0 ELSE round(least(v / 10, 100), 10) END AS util, round(v / 1000, 10) AS queue, round(CASE WHEN c > d THEN (a - b) / (c - d) ELSE 0 END, 10) AS await, CASE WHEN v IS NULL THEN 100.0 ELSE round(least(v / 10000, 100), 10) END AS stall, round(v / 1e6, 10) AS watts, round(swap, 10) AS swap, CASE WHEN c + d > 0 THEN round(100.0::DOUBLE * a / (c + d), 10) END AS committed, round(CASE WHEN a > 0 THEN 100.0::DOUBLE * (a - d) / a END, 10) AS disk, (a // 30 + 1) * 30 AS tick FROM r""",
+SELECT l_orderkey, round(v, 10) AS rate, CASE WHEN c > 0 THEN round(100.0::DOUBLE * d / c, 10) END AS pct, CASE WHEN v IS NULL THEN 100.0 ELSE round(least(v / 10, 100), 10) END AS util, round(v / 1000, 10) AS queue, round(CASE WHEN c > d THEN (a - b) / (c - d) ELSE 0 END, 10) AS await, CASE WHEN s > 0 THEN round(least(greatest(CASE WHEN l_orderkey % 3 = 0 THEN b - a ELSE a - b END, 0) / s / 10000, 100), 10) END AS stall, CASE WHEN s > 0 AND (l_orderkey % 3 > 0 OR a = b) THEN round((a - b) / s / 10000, 10) END AS stall_rate, round(v / 1e6, 10) AS watts, round(swap, 10) AS swap, CASE WHEN c + d > 0 THEN round(100.0::DOUBLE * a / (c + d), 10) END AS committed, round(CASE WHEN a > 0 THEN 100.0::DOUBLE * (a - d) / a END, 10) AS disk, (a // 30 + 1) * 30 AS tick FROM r""",
     "exit_band_join": _E + ", a AS (SELECT * FROM e WHERE id % 2 = 0), t AS (SELECT * FROM e WHERE id % 2 = 1) SELECT id, v AS near_id FROM " + _NEAR.format(a="a", t="t", b="x.id", tol="86400"),
     "describe_priority": _E + ", o AS (SELECT host, pid, start, id, CASE WHEN id % 5 > 0 THEN 'run ' || id END AS cmdline, 'c' || (pid % 3) AS comm FROM e), a AS (SELECT * FROM e WHERE id % 3 = 0), s AS (SELECT * FROM o WHERE id % 3 = 1), t AS (SELECT * FROM o WHERE id % 3 = 2), "
     + "p AS (SELECT host, pid, comm, arg_max({'c': cmdline}, start) AS st FROM s GROUP BY ALL), n1 AS " + _NEAR.format(a="a", t="s", b="{'c': x.cmdline}", tol="43200") + ", n2 AS " + _NEAR.format(a="a", t="t", b="{'c': x.cmdline}", tol="43200")

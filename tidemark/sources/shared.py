@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a folder of our own where that is unset (tests)."""
+    """What spark.checkpoint.dir names; on one machine (tests) a folder of our own where that is unset."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster sees")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark"))
     return sc.getCheckpointDir()
 

@@ -1,8 +1,10 @@
-"""The store: a folder of Parquet tables for samples, records, spans and rollups, in partitions by day."""
+"""The store: a folder of Parquet files for samples, records, spans and rollups, in partitions by day, and a list of the files that count."""
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +12,13 @@ from pyspark.sql import functions as F
 
 from . import model
 
+#: Resolutions of rollups in seconds; each is a table of its own, rollups-300 and so on.
+TIERS = (300, 3600)
 SCHEMAS = {"samples": model.SAMPLES, "records": model.RECORDS, "spans": model.SPANS, "rollups": "name string, host string, labels map<string,string>, resolution int, bucket bigint, highest double, lowest double, mean double, total double, n bigint"}
 TIME = {"samples": ("ts", 1), "records": ("ts_us", 1_000_000), "spans": ("start_ns", 1_000_000_000), "rollups": ("bucket", 1)}
+TABLES = ("samples", "records", "spans", *(f"rollups-{t}" for t in TIERS))
+#: Lists that are kept, so that readers who began with an older one still find its files.
+LISTS = 8
 
 
 def choose(given: str | None = None, own: str | None = None, host: str | None = None) -> str:
@@ -29,76 +36,133 @@ def own_store(environment=None) -> str | None:
 
 
 class Store:
-    """One writer appends; many readers read what was there when they began, as files never change."""
+    """One writer appends; many readers read what was there when they began.
+
+    Data files never change. Which of them count is in a list, of which each change writes a new version; the rename of its file is the
+    moment of the change, so a writer that dies before leaves all as it was. Rows know the batch that they came with: a batch that comes again replaces
+    its own rows, also after they were compacted with others. Files go when none of the last lists names them.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, table: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
-
-    def read(self, table: str) -> DataFrame:
-        """The table, with its day; an empty one of the same columns if nothing was ever written (a store without spans has no jobs)."""
-        schema = f"{SCHEMAS[table]}, day int"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}") if self._exists(table) else self.spark.createDataFrame([], schema)
+    def _at(self, *parts: str):
+        """(file system, path)"""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _versions(self, table: str) -> list[int]:
+        fs, at = self._at(table, "_lists")
+        return sorted(int(f.getPath().getName()[:-5]) for f in fs.listStatus(at) if f.getPath().getName().endswith(".json")) if fs.exists(at) else []
+
+    def _list(self, table: str, version: int | None = None) -> list[dict]:
+        """Files that count: file, day, bytes, and the batches that have rows in it."""
+        if version is None:
+            versions = self._versions(table)
+            if not versions:
+                return []
+            version = versions[-1]
+        fs, at = self._at(table, "_lists", f"{version:012d}.json")
+        return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(at), "UTF-8"))
+
+    def _switch(self, table: str, files: list[dict]) -> None:
+        """The list from now on; files that only lists older than the last few name are deleted."""
+        versions = self._versions(table)
+        version = versions[-1] + 1 if versions else 0
+        fs, new = self._at(table, "_lists", f"{version:012d}.json")
+        _, draft = self._at(table, "_lists", f"_{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(files).encode()))
+        out.close()
+        if fs.exists(new) or not fs.rename(draft, new):
+            raise RuntimeError(f"{table}: another writer has changed the store")
+        named = {f["file"] for v in [*versions, version][-LISTS:] for f in self._list(table, v)}
+        for v in versions[: len(versions) + 1 - LISTS]:
+            for f in self._list(table, v):
+                if f["file"] not in named:
+                    fs.delete(self._at(table, f["file"])[1], False)
+            fs.delete(self._at(table, "_lists", f"{v:012d}.json")[1], False)
+
+    def _read(self, table: str, files: list[dict]) -> DataFrame:
+        schema = f"{SCHEMAS[table.partition('-')[0]]}, _batch bigint, day int"
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*[f"{self.path}/{table}/{f['file']}" for f in files]).drop("write")
+
+    def _tables(self, table: str) -> list[str]:
+        return [t for t in TABLES if t.startswith("rollups-")] if table == "rollups" else [table]
+
+    def read(self, table: str, days=None) -> DataFrame:
+        """The table, with its day; an empty one of the same columns if nothing was ever written (a store without spans has no jobs). ``days``: (first, last), others are not even listed. rollups: all tiers."""
+        parts = [self._read(t, [f for f in self._list(t) if days is None or days[0] <= f["day"] <= days[1]]).drop("_batch") for t in self._tables(table)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def between(self, table: str, since: float, until: float) -> DataFrame:
         """Rows in [since, until] in epoch seconds; days outside are not read."""
-        column, scale = TIME[table]
-        return self.read(table).where(F.col("day").between(int(since // 86_400), int(until // 86_400)) & F.col(column).between(int(since * scale), int(until * scale)))
-
-    def _with_day(self, table: str, rows: DataFrame) -> DataFrame:
-        column, scale = TIME[table]
-        return rows.withColumn("day", F.floor(F.col(column) / (scale * 86_400)).cast("int"))
+        column, scale = TIME[table.partition("-")[0]]
+        return self.read(table, (int(since // 86_400), int(until // 86_400))).where(F.col(column).between(int(since * scale), int(until * scale)))
+
+    def _write(self, table: str, rows: DataFrame, batches: list[int], sort=()) -> list[dict]:
+        """New files, which no list names yet."""
+        column, scale = TIME[table.partition("-")[0]]
+        write = f"write={uuid.uuid4().hex}"
+        dated = rows.withColumn("day", F.floor(F.col(column) / (scale * 86_400)).cast("int"))
+        (dated.sortWithinPartitions(*sort) if sort else dated).write.partitionBy("day").parquet(f"{self.path}/{table}/{write}")
+        fs, at = self._at(table, write, "day=*", "part-*")
+        found = [(s.getPath().getParent().getName(), s.getPath().getName(), int(s.getLen())) for s in fs.globStatus(at) or []]
+        return [{"file": f"{write}/{day}/{name}", "day": int(day[4:]), "bytes": size, "batches": batches} for day, name, size in found]
 
     def append(self, table: str, rows: DataFrame, batch: int | None = None) -> None:
         """Adds rows. A batch that was added before (a stream that starts again) is replaced and so not there twice."""
-        rows = self._with_day(table, rows)
-        if batch is None:
-            rows.write.mode("append").partitionBy("day").parquet(f"{self.path}/{table}")
-            return
-        staged = f"{self.path}/_batches/{table}/{batch}"
-        rows.write.mode("overwrite").partitionBy("day").parquet(staged)
-        self._move_in(table, staged, f"batch-{batch}-")
-
-    def _move_in(self, table: str, staged: str, prefix: str) -> None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        source = hadoop.Path(staged)
-        fs = source.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for old in fs.globStatus(hadoop.Path(f"{self.path}/{table}/day=*/{prefix}*")) or []:
-            fs.delete(old.getPath(), False)
-        for k, new in enumerate(fs.globStatus(hadoop.Path(f"{staged}/day=*/part-*")) or []):
-            day = new.getPath().getParent().getName()
-            fs.mkdirs(hadoop.Path(f"{self.path}/{table}/{day}"))
-            fs.rename(new.getPath(), hadoop.Path(f"{self.path}/{table}/{day}/{prefix}{k}.parquet"))
-        fs.delete(source, True)
+        kept, mixed = [], []
+        for f in self._list(table):
+            if batch is None or batch not in f["batches"]:
+                kept.append(f)
+            elif len(f["batches"]) > 1 or None in f["batches"]:
+                mixed.append(f)
+        new = self._write(table, rows.withColumn("_batch", F.lit(batch).cast("bigint")), [batch])
+        if mixed:  # compacted with others, whose rows stay
+            others = self._read(table, mixed).where(~F.col("_batch").eqNullSafe(batch)).drop("day")
+            new += self._write(table, others, sorted({b for f in mixed for b in f["batches"] if b != batch}, key=lambda b: (b is not None, b or 0)))
+        self._switch(table, kept + new)
 
     def writer(self, table: str) -> Callable[[DataFrame, int], None]:
         """For ``foreachBatch``."""
         return lambda rows, batch: self.append(table, rows, batch)
 
     def days(self, table: str) -> list[tuple[int, int]]:
-        """(day, bytes) of what is held, from the names of files alone."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(f"{self.path}/{table}")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        return sorted((int(s.getPath().getName()[4:]), int(fs.getContentSummary(s.getPath()).getLength())) for s in fs.listStatus(root) if s.getPath().getName().startswith("day="))
+        """(day, bytes) of what is held, from the list alone."""
+        out: dict[int, int] = {}
+        for t in self._tables(table):
+            for f in self._list(t):
+                out[f["day"]] = out.get(f["day"], 0) + f["bytes"]
+        return sorted(out.items())
 
     def drop(self, table: str, day: int) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/day={day}")
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        for t in self._tables(table):
+            self._switch(t, [f for f in self._list(t) if f["day"] != day])
 
     def bytes(self) -> int:
-        return sum(size for table in SCHEMAS for _, size in self.days(table))
+        return sum(size for table in TABLES for _, size in self.days(table))
+
+    def clean(self, table: str) -> int:
+        """Deletes files that no kept list names: those of writers that were lost before they were done. For the one writer, between its changes; says how many."""
+        named = {f["file"] for v in self._versions(table) for f in self._list(table, v)}
+        fs, at = self._at(table, "write=*", "day=*", "part-*")
+        lost = [p for p in (s.getPath() for s in fs.globStatus(at) or []) if "/".join(p.toString().split("/")[-3:]) not in named]
+        for p in lost:
+            fs.delete(p, False)
+        return len(lost)
 
     def compact(self, table: str, day: int, files: int = 1, sort=()) -> None:
         """A day's files written again as few, in the order in which they are read."""
-        rows = self.read(table).where(F.col("day") == day).drop("day")
-        kept = self._with_day(table, rows.repartition(files).sortWithinPartitions(*sort) if sort else rows.repartition(files))
-        staged = f"{self.path}/_compact/{table}/{day}"
-        kept.write.mode("overwrite").partitionBy("day").parquet(staged)
-        self.drop(table, day)
-        self._move_in(table, staged, "compact-")
+        for t in self._tables(table):
+            of_day = [f for f in self._list(t) if f["day"] == day]
+            if len(of_day) < 2:
+                continue
+            batches = sorted({b for f in of_day for b in f["batches"]}, key=lambda b: (b is not None, b or 0))
+            new = self._write(t, self._read(t, of_day).drop("day").repartition(files), batches, sort)
+            self._switch(t, [f for f in self._list(t) if f["day"] != day] + new)
