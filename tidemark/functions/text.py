@@ -79,15 +79,22 @@ def command_line(raw: str, most: int) -> str:
     return line if len(encoded) <= most else encoded[:most].decode(errors="ignore") + ELLIPSIS
 
 
-def unescaped(name: str) -> str:
+def _decoded(text, escape: str, byte) -> Column:
+    """``text`` with each escape put back as the byte that ``byte`` makes of it (as two hexadecimal digits); bytes that are no UTF-8 become U+FFFD."""
+    pieces = F.split(_c(text), f"(?={escape})")
+    of = lambda p: F.when(p.rlike(f"^{escape}"), F.concat(F.unhex(byte(p)), F.encode(F.regexp_replace(p, f"^{escape}", ""), "UTF-8"))).otherwise(F.encode(p, "UTF-8"))
+    joined = F.aggregate(pieces, F.lit("").cast("binary"), lambda so_far, p: F.concat(so_far, of(p)))
+    return F.make_valid_utf8(joined.cast("string"))
+
+
+def unescaped(name) -> Column:
     r"""systemd's \xNN, byte by byte; what is not hexadecimal stays."""
-    raw = re.sub(rb"\\x([0-9a-fA-F]{2})", lambda m: bytes([int(m[1], 16)]), name.encode())
-    return raw.decode(errors="replace")
+    return _decoded(name, r"\\x[0-9a-fA-F]{2}", lambda p: F.substring(p, 3, 2))
 
 
-def octal_unescaped(path: str) -> str:
+def octal_unescaped(path) -> Column:
     r"""The \040 of mount tables."""
-    return re.sub(rb"\\([0-3][0-7]{2})", lambda m: bytes([int(m[1], 8)]), path.encode()).decode(errors="replace")
+    return _decoded(path, r"\\[0-3][0-7]{2}", lambda p: F.lpad(F.conv(F.substring(p, 2, 3), 8, 16), 2, "0"))
 
 
 def fold(text: str, width: int) -> list[str]:
@@ -125,6 +132,11 @@ def human_bytes(n: pd.Series) -> pd.Series:
     return n.map(bytes_text, na_action="ignore")
 
 
+def command_lines(most: int):
+    """command_line of a column."""
+    return F.pandas_udf(lambda raw: raw.map(lambda r: command_line(r, most), na_action="ignore"), StringType())
+
+
 @F.pandas_udf(StringType())
 def redact(line: pd.Series) -> pd.Series:
     """Secrets withheld in arguments parted by single spaces."""

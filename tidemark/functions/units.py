@@ -2,46 +2,41 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .numbers import _c
 from .text import unescaped
 
-_HEX = "[0-9a-f]*[0-9][0-9a-f]*"
-_CONNECTION = re.compile(r"(?:[0-9]+-)+[^-]*:[^-]*-[^-]*:[^-]*")
-_ID = re.compile("(?:^|[-.])([0-9a-f]{64})(?=[-.]|$)")
+#: What marks one instance of a unit: a number, or hexadecimal digits with a decimal one among them. Where names carry numbers of their own only long ones count.
+_NUMBER, _RANDOM = "[0-9]{%d,}", "(?=[a-f]*[0-9])[0-9a-f]{%d,}"
+
+
+def _mark(number: int, random: int) -> str:
+    return f"(?:{_NUMBER % number}|{_RANDOM % random})"
 
 
-def _random(part: str, least: int) -> bool:
-    return len(part) >= least and re.fullmatch(_HEX, part) is not None
+#: What a name keeps, the first that fits: instances of templates (not a user's manager) by counter or by the two ends of a connection; transient units; launches at the name's end.
+STABLE = (
+    (rf"^(?!user@)([^@]*)@{_mark(1, 6)}(?:[-_]{_mark(1, 6)})*\.(service|scope|slice)$", "$1@.$2"),
+    (r"^(?!user@)([^@]*)@(?:[0-9]+-)+[^-]*:[^-]*-[^-]*:[^-]*\.(service|scope|slice)$", "$1@.$2"),
+    (r"^run-[^@]*\.(service|scope|slice)$", "run.$1"),
+    (rf"^([^@]*?)(?:(?:^|-){_mark(1, 4)})+\.(scope)$", "$1.$2"),
+    (rf"^([^@]*?)(?:(?:^|-){_mark(6, 8)})+\.(service)$", "$1.$2"),
+)
 
 
-def stable_name(name: str) -> str:
+def stable_name(name) -> Column:
     """A unit's name without what marks one instance of it: one launch of an application, one connection, one container."""
-    stem, dot, kind = name.rpartition(".")
-    if not dot or kind not in ("service", "scope", "slice"):
-        return name
-    template, at, instance = stem.partition("@")
-    if at:
-        counted = all(re.fullmatch("[0-9]+", p) or _random(p, 6) for p in re.split("[-_]", instance))
-        return f"{template}@.{kind}" if template != "user" and (counted or _CONNECTION.fullmatch(instance)) else name
-    if stem.startswith("run-"):
-        return f"run.{kind}"
-    parts = stem.split("-")
-    marks = {"scope": lambda p: re.fullmatch("[0-9]+", p) or _random(p, 4), "service": lambda p: re.fullmatch("[0-9]{6,}", p) or _random(p, 8), "slice": lambda p: False}[kind]
-    while parts and marks(parts[-1]):
-        parts.pop()
-    return f"{'-'.join(parts) or 'transient'}.{kind}"
-
-
-@F.pandas_udf(StringType())
-def normalize(name: pd.Series) -> pd.Series:
-    return name.map(lambda n: stable_name(unescaped(n)), na_action="ignore")
+    n = _c(name)
+    out = n
+    for pattern, kept in reversed(STABLE):
+        out = F.when(n.rlike(pattern), F.regexp_replace(n, pattern, kept)).otherwise(out)
+    return F.regexp_replace(out, r"^\.(service|scope)$", "transient.$1")
+
+
+def normalize(name) -> Column:
+    return stable_name(unescaped(name))
 
 
 def kind(name) -> Column:
@@ -90,7 +85,7 @@ def unit_of(groups: DataFrame, users: DataFrame, containers: DataFrame | None =
     """
     at = groups.withColumn("_unit", nearest_unit("path"))
     if containers is not None:
-        at = at.withColumn("_container", container_id(F.element_at(F.split("_unit", "/"), -1))).join(F.broadcast(containers.withColumnRenamed("container", "_container")), "_container", "left")
+        at = at.withColumn("_container", container_id(F.element_at(F.split("_unit", "/"), -1))).join(containers.withColumnRenamed("container", "_container"), "_container", "left")
         at = at.withColumn("_unit", F.coalesce("owner", "_unit")).drop("owner", "_container")
     above = F.regexp_extract("_unit", "^(.*)/[^/]*$", 1)
     uid = F.nullif(F.regexp_extract(above, r"/user@([0-9]+)\.service", 1), F.lit("")).cast("bigint")

@@ -7,10 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.numbers import MODES
-from ..functions.text import octal_unescaped
+from ..functions.text import command_lines, octal_unescaped
 
 # Filesystems that hold data on a device or a server.
 REAL_FILESYSTEMS = ("bcachefs", "btrfs", "exfat", "ext2", "ext3", "ext4", "f2fs", "jfs", "nfs", "nfs4", "ntfs", "ntfs3", "reiserfs", "vfat", "xfs", "zfs")
@@ -123,13 +122,10 @@ def numbers(captures: DataFrame, path: str) -> DataFrame:
     return _of(captures, path).select("host", "ts", kept.alias("values"))
 
 
-_octal = F.udf(octal_unescaped, StringType())
-
-
 def mounts(captures: DataFrame) -> DataFrame:
     """host, ts, source, target, fstype: real filesystems, each source once, at its shortest target (of equal ones the first)."""
     rows = _lines(_of(captures, "self/mounts")).withColumn("_f", _fields()).where(F.get("_f", 2).isin(*REAL_FILESYSTEMS))
-    named = rows.select("host", "ts", "line_no", F.get("_f", 0).alias("source"), _octal(F.get("_f", 1)).alias("target"), F.get("_f", 2).alias("fstype"))
+    named = rows.select("host", "ts", "line_no", F.get("_f", 0).alias("source"), octal_unescaped(F.get("_f", 1)).alias("target"), F.get("_f", 2).alias("fstype"))
     return named.groupBy("host", "ts", "source").agg(F.min_by(F.struct("target", "fstype"), F.struct(F.octet_length("target"), "line_no")).alias("_m")).select("host", "ts", "source", "_m.target", "_m.fstype")
 
 
@@ -170,10 +166,7 @@ def pid_schedstat(captures: DataFrame) -> DataFrame:
 
 
 def pid_cmdline(captures: DataFrame, most: int = 400) -> DataFrame:
-    from ..functions.text import command_line
-
-    line = F.udf(lambda raw: command_line(raw, most), "string")
-    return _pid_files(captures, "cmdline").select("host", "ts", "pid", line("content").alias("cmdline"))
+    return _pid_files(captures, "cmdline").select("host", "ts", "pid", command_lines(most)(F.col("content")).alias("cmdline"))
 
 
 def pid_cgroup(captures: DataFrame) -> DataFrame:

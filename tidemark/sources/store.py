@@ -77,7 +77,7 @@ class Store:
         if fs.exists(new) or not fs.rename(draft, new):
             raise RuntimeError(f"{table}: another writer has changed the store")
         named = {f["file"] for v in [*versions, version][-LISTS:] for f in self._list(table, v)}
-        for v in versions[: len(versions) + 1 - LISTS]:
+        for v in versions[: max(0, len(versions) + 1 - LISTS)]:
             for f in self._list(table, v):
                 if f["file"] not in named:
                     fs.delete(self._at(table, f["file"])[1], False)
