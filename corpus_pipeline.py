@@ -12,15 +12,19 @@ from tidemark.llm import decontam, mixing, near_dup, quality, secrets
 from tidemark.llm.common import cut
 
 
+#: The key that a stage gives each row; no column of documents is called so.
+ROW = "_row_of_stage"
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with an own key _row, their _row as doc_id and the rest), from a table in the shared folder, so that a row keeps its key."""
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    return rows, rows.withColumn("doc_id", F.col("_row")).drop("_row")
+    """(documents with an own key, the same with that key as their doc_id), from a table in the shared folder, so that a row keeps its key."""
+    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    return rows, rows.withColumn("doc_id", F.col(ROW)).drop(ROW)
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows whose key is not in ``gone``, without their key."""
-    return rows.join(gone.select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
+    return rows.join(gone.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +37,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id; rows without one come last. Each row is a document, whatever its doc_id."""
     rows, own = keyed(docs)
-    classes = near_dup.near_duplicates(own).where("n_class > 1").select(F.col("doc_id").alias("_row"), "class_id")
-    named = classes.join(rows.select("_row", "doc_id"), "_row")
-    kept = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"))
-    gone = classes.join(kept, "_row", "left_anti").select(F.col("_row").alias("doc_id"))
+    classes = near_dup.near_duplicates(own).where("n_class > 1").select(F.col("doc_id").alias(ROW), "class_id")
+    named = classes.join(rows.select(ROW, "doc_id"), ROW)
+    kept = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW].alias(ROW)).select(ROW)
+    gone = classes.join(kept, ROW, "left_anti").select(F.col(ROW).alias("doc_id"))
     return without(rows, gone).select(*docs.columns)
 
 
@@ -65,7 +69,7 @@ STAGES = [
     ("mixing sources", mix_stage),
 ]
 
-#: Models and hashes have no SQL; tests hold each stage against a plain version.
+#: Models and hashes have no SQL.
 ORACLE_SQL = None
 
 
