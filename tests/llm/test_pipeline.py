@@ -1,4 +1,5 @@
 import corpus_pipeline
+from tidemark.llm import decontam, quality
 from tidemark.llm.near_dup import near_duplicates
 from tidemark.llm.queries import ORACLE, QUERIES
 
@@ -23,6 +24,19 @@ def test_stages(spark):
     assert docs.count() > 0
 
 
+def test_filters_agree_with_what_the_operators_find(spark, monkeypatch):
+    docs, bench = spark.read.parquet(TEXTS), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    leaks = {r.doc_id for r in decontam.find_leaks(docs, bench).collect()}
+    every = {r.doc_id for r in docs.collect()}
+    assert leaks and {r.doc_id for r in decontam.without_leaks(docs, bench).collect()} == every - leaks
+    monkeypatch.setattr(decontam, "BLOCK", 20_000)
+    assert {r.doc_id for r in decontam.without_leaks(docs, bench).collect()} == every - leaks
+    model = quality.fit_quality(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    good = {r.doc_id for r in quality.score_quality(docs, model).where("predicted = 1").collect()}
+    assert 0 < len(good) < len(every) and {r.doc_id for r in quality.keep_quality(docs, model).collect()} == good
+    assert quality.keep_quality(docs, None).count() == len(every)
+
+
 def test_registered():
     assert sorted({int(n[2:].split("_")[0]) for n in QUERIES}) == list(range(1, 11))
     assert set(ORACLE) <= set(QUERIES)
@@ -43,8 +57,6 @@ def test_rows_by_themselves(spark):
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted([("4", long + " end"), ("4", "one of its own"), ("None", "alone"), ("None", "None")])
     docs = spark.read.parquet(TEXTS)
     want = {r.text for r in corpus_pipeline.quality_stage(spark, docs, FOLDER).collect()}
-    from tidemark.llm import quality
-
     model = quality.fit_quality(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
     scored = quality.score_quality(docs, model).where("predicted = 1").select("doc_id")
     assert want == {r.text for r in docs.join(scored, "doc_id").collect()}

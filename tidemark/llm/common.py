@@ -87,6 +87,18 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str, pieces: int = 0) -> Data
     return df.mapInArrow(run, schema)
 
 
+def arrow_filter(df: DataFrame, keep: Callable, pieces: int) -> DataFrame:
+    """The rows of ``df`` for which ``keep`` says so, with all their columns; it gets RecordBatches of about ``pieces`` bytes of "text" and returns a flag for each row."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, pieces):
+                yield batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text; a longer text is alone."""
     import pyarrow.compute as pc

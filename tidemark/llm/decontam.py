@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, count_pieces, cut
+from .common import arrow_filter, arrow_map, count_pieces, cut
 
 #: Characters of a q-gram, at most; a power of 2. Items that are too short for it take shorter ones.
 Q = 16
@@ -359,23 +359,55 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, q: i
     The items are a query set: they go to the executors in blocks of about 4 M characters, one pass over
     the documents for each block, one after the other; and no item is left out. Nothing is shuffled.
     """
-    kept = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    chars = kept.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = count_pieces(chars, BLOCK)
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for b in range(blocks):
-        part = kept if blocks == 1 else kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        items = sorted({(r["item_id"], r["text"]) for r in part.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        shared = rows.sparkSession.sparkContext.broadcast(items)
+    blocks, out = list(_blocks(benchmark)), None
+    for part in blocks:
+        shared = _shared(rows, part)
         found = _search(rows, shared, edits, q)
-        if blocks > 1:
+        if len(blocks) > 1:
             found = cut(found, "leaks")
             shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, q: int = Q) -> DataFrame:
+    """The documents in which find_leaks finds nothing, each row by itself, whatever its doc_id, with all their columns. Nothing is shuffled.
+
+    Each block of items is a filter of its own, and each after the first reads what the one before it left from a table.
+    """
+    for k, part in enumerate(_blocks(benchmark)):
+        docs = _clean(cut(docs, "clean") if k else docs, _shared(docs, part), edits, q)
+    return docs
+
+
+def _clean(docs: DataFrame, shared, edits: float, q: int) -> DataFrame:
+    made: dict[str, Index] = {}
+
+    def keep(batch):
+        if "index" not in made:
+            made["index"] = Index(shared.value, q, edits)
+        clean = np.ones(batch.num_rows, bool)
+        clean[[x[0] for x in made["index"].search([t or "" for t in batch.column("text").to_pylist()])]] = False
+        return clean
+
+    return arrow_filter(docs, keep, 1 << 20)
+
+
+def _blocks(benchmark: DataFrame):
+    """The items, in blocks of about BLOCK characters."""
+    kept = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    chars = kept.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = count_pieces(chars, BLOCK)
+    for b in range(blocks):
+        yield kept if blocks == 1 else kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+
+
+def _shared(docs: DataFrame, part: DataFrame):
+    items = sorted({(r["item_id"], r["text"]) for r in part.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    return docs.sparkSession.sparkContext.broadcast(items)
+
+
 def _search(rows: DataFrame, shared, edits: float, q: int) -> DataFrame:
     made: dict[str, Index] = {}
 

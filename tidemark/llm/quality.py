@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix64, powers, texts_of
+from .common import arrow_filter, arrow_map, mix64, powers, texts_of
 
 #: Bytes of a passage; the last of a text is shorter.
 PASSAGE = 1024
@@ -170,3 +170,15 @@ def score_quality(docs: DataFrame, model: GatedAttention | None, threshold: floa
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_column().alias("held_out"), "text")
     return arrow_map(rows, run, "doc_id long, held_out boolean, score double, predicted int, n_passages long", pieces=1 << 20)
+
+
+def keep_quality(docs: DataFrame, model: GatedAttention | None, threshold: float = 0.3) -> DataFrame:
+    """The documents that score_quality does not reject, each row by itself, whatever its doc_id; all without a model. Nothing is shuffled."""
+    if model is None:
+        return docs
+
+    def keep(batch):
+        x, owner = passages(texts_of(batch))
+        return model.forward(x, owner, batch.num_rows)["score"] >= threshold
+
+    return arrow_filter(docs, keep, 1 << 20)
