@@ -29,9 +29,7 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject, each row by itself, whatever its doc_id."""
-    model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows, own = keyed(docs)
-    return without(rows, quality.score_quality(own, model).where("predicted = 0")).select(*docs.columns)
+    return quality.keep_quality(docs, quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +44,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, each row by itself, whatever its doc_id."""
-    rows, own = keyed(docs)
-    leaks = decontam.find_leaks(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(rows, leaks.select("doc_id").distinct()).select(*docs.columns)
+    return decontam.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
