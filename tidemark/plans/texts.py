@@ -104,10 +104,19 @@ def wire_bytes(spark, sf):
 QUERIES = {f.__name__: f for f in (unit_kind, nearest_unit, container_ids, unit_normalize, group_name, launchers, commands, documents_saying, null_aware_sums, user_names, redact_secrets, redact_documents, human_text, prometheus_text, ndjson, otlp_json, wire_bytes)}
 
 _FORMS = "CASE c_custkey % 4 WHEN 0 THEN '/system.slice/app-' || c_custkey || '.service' WHEN 1 THEN '/user.slice/user-7.slice/user@7.service/app.slice/run-' || c_custkey || '.scope' WHEN 2 THEN '/system.slice/x' || c_custkey || '.service' END"
+_FIELDS = {"_msg": "message", "_time": "strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%fZ')", "level": "level", "host": "host", "kind": "kind", "service": "service", "status": "status", "user": "usr", "unit": "unit"}
+_AMOUNTS = ("pid", "elapsed_seconds", "cpu_seconds", "peak_rss_bytes", "io_read_bytes", "io_write_bytes")
+_LINE = " || ',' || ".join([f"""'"{key}":"' || {value} || '"'""" for key, value in _FIELDS.items()] + [f"""'"{key}":' || {key}""" for key in _AMOUNTS])
+_NDJSON = with_sql("records") + f"l AS (SELECT '{{' || {_LINE} || '}}' AS line FROM records) "
 ORACLE = {
     "unit_kind": "SELECT c_custkey, ['service', 'scope', 'slice', 'manager', 'service', 'service'][c_custkey % 6 + 1] AS kind, c_custkey % 6 IN (2, 3) AS is_sum FROM customer",
     "nearest_unit": f"SELECT c_custkey, {_FORMS} AS unit FROM customer",
     "container_ids": "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN sha256(CAST(c_custkey AS VARCHAR)) END AS container FROM customer",
+    # numbers of six digits and more mark an instance of a service after a dash
+    "unit_normalize": f"SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN '/machine.slice/n' || c_custkey || '.slice' WHEN c_custkey % 4 = 2 THEN {_FORMS} || '/inner/deep' ELSE {_FORMS} END AS path, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey >= 100000 THEN 'app.service' ELSE 'app-' || c_custkey || '.service' END WHEN 1 THEN 'ann/run.scope' WHEN 2 THEN 'x' || c_custkey || '.service' END AS unit FROM customer",
+    "prometheus_text": with_sql("samples") + "n AS (SELECT *, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS v FROM samples) SELECT name || '{host=\"' || host || '\",proc=\"' || proc || '\",unit=\"' || unit || '\",user=\"' || usr || '\"} ' || v || ' ' || ts * 1000 AS line FROM n",
+    "ndjson": _NDJSON + "SELECT line FROM l",
+    "wire_bytes": _NDJSON + "SELECT CAST(coalesce(sum(strlen(line) + 1), 0) AS BIGINT) AS bytes FROM l",
     "group_name": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'kworker' ELSE 'kworker' || CASE WHEN p_partkey % 3 = 0 THEN '/' ELSE ':' END || (p_partkey % 8) END AS name FROM part",
     "launchers": "SELECT o_orderkey, o_orderkey % 2 = 0 AS launcher FROM orders",
     "commands": """WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS a, CASE WHEN o_orderkey % 2 > 0 THEN o_orderstatus END AS b FROM orders), c AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND a <> b THEN a || ' → ' || b ELSE coalesce(b, a, 'name') END AS c FROM a)
