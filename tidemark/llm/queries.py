@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed_dedup, licenses, mixing, near_dup, pii, quality, secrets, substring, tokens
+from . import decontam, embed_dedup, fim, html_text, licenses, mixing, near_dup, periodic, pii, quality, secrets, substring, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,24 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    return fim.fill_in_middle(_read(spark, sf_dir, "documents")).drop("output")
+
+
+def op12_html_text(spark, sf_dir):
+    return html_text.extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.periodic_runs(_read(spark, sf_dir, "documents")).drop("collapsed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_token_counts, op4_embedding_dedup, op5_substring_dedup, op6_near_dedup, op7_personal_data, op8_source_mix, op9_quality, op10_license_scan)
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_decontamination, op3_token_counts, op4_embedding_dedup, op5_substring_dedup, op6_near_dedup, op7_personal_data, op8_source_mix, op9_quality, op10_license_scan,
+        op11_fill_in_middle, op12_html_text, op13_periodic_runs,
+    )
 }
 
-ORACLE: dict[str, str] = {"op8_source_mix": mixing.ORACLE, "op10_license_scan": licenses.oracle()}
+ORACLE: dict[str, str] = {"op8_source_mix": mixing.ORACLE, "op10_license_scan": licenses.oracle(), "op11_fill_in_middle": fim.ORACLE}
