@@ -54,6 +54,25 @@ def test_base():
     assert base_spans("4111111111111111 a +1 (826) 555-7388") == [("card", 0, 16), ("phone", 19, 36)]
 
 
+def test_base_is_what_the_patterns_give():
+    """By the patterns as they stand, on texts of the pieces that they are made of."""
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["1", "2", "0", "000", ".", ".", "@", "a", "b-", "_", "%", "+", " ", "-", "(", ")", "255", "256", "4111", "é", "\n"]) for _ in range(rng.randrange(40)))
+        assert base_spans(text) == [(k, *m.span()) for k in KINDS for m in pii.PATTERNS[k].finditer(text) if pii.valid(k, m[0])]
+
+
+@pytest.mark.parametrize("piece", ["0", "1", "a", ".", "1.", "a@", "+", "1 ", "a.b@c.", "-"])
+def test_long_texts_of_one_piece(piece):
+    n = 2_000_000 // len(piece)
+    base, spans = all_spans(default_model(), [piece * n + " x 10.1.2.3"])[0]
+    assert base[-1] == ("ip", len(piece) * n + 3, len(piece) * n + 11) and set(base) <= set(spans)
+
+
+def test_zeros_before_a_number():
+    assert base_spans("0" * 5000 + "1.2.3.4") == [("ip", 0, 5007)] and base_spans("0" * 5000 + "256.2.3.4") == []
+
+
 def test_model_adds_what_runs_together():
     text = "and the oreth was here +1 (826) 555-7388 4111111111111111 and so on with more of it"
     base, spans = all_spans(default_model(), [text])[0]

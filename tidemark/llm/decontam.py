@@ -395,8 +395,8 @@ def _clean(docs: DataFrame, shared, edits: float, q: int) -> DataFrame:
 
 
 def _blocks(benchmark: DataFrame):
-    """The items, in blocks of about BLOCK characters."""
-    kept = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    """The items, each once, in blocks of about BLOCK characters."""
+    kept = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     chars = kept.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = count_pieces(chars, BLOCK)
     for b in range(blocks):

@@ -19,6 +19,10 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+# The pieces of the first two, that a text is walked by.
+_LOCAL, _HOST, _CHAIN = re.compile(r"[A-Za-z0-9._%+-]++"), re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+"), re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+#: The most characters of a span by the model; a tagged run that is longer is none.
+LONGEST = 320
 #: A window of characters, and the step from one to the next.
 WINDOW, STEP = 96, 48
 #: Labelled examples that the default model learns from.
@@ -51,7 +55,7 @@ def valid(kind: str, text: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in text.split(".")))
     digits = "".join(c for c in text if "0" <= c <= "9")
     return 9 <= len(digits) <= 15 if kind == "phone" else 13 <= len(digits) <= 19 and luhn(digits)
 
@@ -73,7 +77,27 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost matches that do not overlap, for each kind by itself; those that are not valid are dropped, and not tried again."""
     if not _PLAIN.search(text):
         return []
-    return [(k, m.start(), m.end()) for k in KINDS for m in PATTERNS[k].finditer(text) if valid(k, m[0])]
+    return [(k, a, b) for k, found in (("email", _emails(text)), ("ip", _dotted(text)), *((k, (m.span() for m in PATTERNS[k].finditer(text))) for k in ("card", "phone"))) for a, b in found if valid(k, text[a:b])]
+
+
+def _emails(text: str):
+    """Matches of the pattern, in time that grows with the text: each run of characters before an @ is walked once, whatever stands in it."""
+    at = 0
+    for run in _LOCAL.finditer(text):
+        start, end = max(run.start(), at), run.end()
+        if start < end and text.startswith("@", end) and (host := _HOST.match(text, end + 1)):
+            at = host.end()
+            yield start, at
+
+
+def _dotted(text: str):
+    """Matches of the pattern, likewise: each chain of numbers and points is walked once and taken four numbers at a time."""
+    for chain in _CHAIN.finditer(text):
+        at, numbers = chain.start(), chain[0].split(".")
+        for k in range(0, len(numbers) - 3, 4):
+            size = sum(map(len, numbers[k : k + 4])) + 3
+            yield at, at + size
+            at += size + 1
 
 
 #: Characters with a class of their own. 0 is padding; other ASCII, letters beyond ASCII and the rest share one each.
@@ -341,13 +365,13 @@ def model_spans(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, in
                 s += 1
             while e > s and not texts[i][e - 1].isalnum():
                 e -= 1
-            if s < e and _TRIGGER.search(texts[i], s, e):
+            if s < e <= s + LONGEST and _TRIGGER.search(texts[i], s, e):
                 out[i].append((KINDS[int(tag[a]) - 1], s, e))
     return out
 
 
 def completed(kind: str, text: str, a: int, b: int) -> tuple[int, int]:
-    """A tagged run that is not plausible as it stands, widened (or cut) to the plausible piece of text that shares most with it, if there is one."""
+    """A tagged run (of LONGEST characters at most) that is not plausible as it stands, widened (or cut) to the plausible piece of text that shares most with it, if there is one."""
     if not plausible(kind, text[a:b]):
         low = max(0, a - BESIDE)
         near = [(min(e, b) - max(s, a), -s, s, e) for s, e in ((low + m.start(), low + m.end()) for m in PLAUSIBLE[kind].finditer(text[low : b + BESIDE])) if s < b and a < e]

@@ -10,8 +10,10 @@ from .common import arrow_filter, arrow_map, mix64, powers, texts_of
 
 #: Bytes of a passage; the last of a text is shorter.
 PASSAGE = 1024
-#: At most so many labelled documents are learned from: those whose id hashes lowest.
-SAMPLE = 3000
+#: At most so many labelled documents are learned from, those whose id hashes lowest, and of each so many passages, spread evenly: it bounds what the driver gets to 70 MB.
+SAMPLE, BAG = 3000, 64
+#: Words are hashed into so many features.
+HASHED = 64
 _CLASSES = ["a-z", "A-Z", "0-9", " ", "\n", ".,;", "!", "?", "|", "#", "$", "%", "&", "*", "'\"", "()[]{}<>", "@+=_/\\-", "other ASCII", "beyond ASCII", "aeiou"]
 
 
@@ -26,14 +28,14 @@ def _table() -> np.ndarray:
 
 
 TABLE = _table()
-WIDTH = 18 + 1 + 5
+SHAPES = 18 + 1 + 5
+WIDTH = SHAPES + HASHED
 
 
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """What is known of each passage (rows of features) and the text that it is from. An empty text has one, all zeros but the last.
 
-    Features: shares of the byte classes, of spaces followed by the same word again, of capital letters after small ones
-    and the like; all of them are counted for all passages at once.
+    Features: shares of the byte classes, of words that are said again, and the like; and the words themselves, hashed with a sign into HASHED sums. All are counted for all passages at once.
     """
     lengths = np.array([len(t) for t in texts], np.int64)
     n = np.maximum(1, -(-lengths // PASSAGE))
@@ -70,6 +72,9 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out[:, 20] = np.bincount(at[order], new, len(owner)) / n_words
         out[:, 21] = np.minimum(4, np.bincount(at, e - s, len(owner)) / n_words / 8)
         last = kind[e - 1]
+        bucket = at * HASHED + (words & np.uint64(HASHED - 1)).astype(np.int64)
+        sign = 1.0 - 2.0 * ((words >> np.uint64(40)) & np.uint64(1)).astype(float)
+        out[:, SHAPES:] = np.bincount(bucket, sign, len(owner) * HASHED).reshape(-1, HASHED) / np.sqrt(n_words)[:, None] / 4
         out[:, 22] = np.bincount(at, (last >= 8) & (last <= 13), len(owner)) / n_words
     out[:, 23] = np.log1p(np.maximum(size, 0)) / 8
     return out, owner
@@ -111,11 +116,12 @@ class GatedAttention:
         g["W"], g["b"] = x.T @ dh, dh.sum(0)
         return g
 
-    def fit(self, x, owner, y, rounds: int = 240, rate: float = 0.02, decay: float = 1e-4) -> GatedAttention:
-        """Adam over all documents at once; both labels weigh the same in sum, but the scale is set back to the share of the labels afterwards."""
+    def fit(self, x, owner, y, rounds: int = 240, rate: float = 0.02, decay: float = 1e-4, share: float | None = None) -> GatedAttention:
+        """Adam over all documents at once; both labels weigh the same in sum, but the scale is set back to the share of the labels (that of y where none is given) afterwards."""
         y = np.asarray(y, float)
-        share = min(max(y.mean(), 1e-3), 1 - 1e-3)
-        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+        own = min(max(y.mean(), 1e-3), 1 - 1e-3)
+        share = own if share is None else min(max(share, 1e-3), 1 - 1e-3)
+        weight = np.where(y == 1, 0.5 / own, 0.5 / (1 - own))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         for i in range(1, rounds + 1):
@@ -129,6 +135,27 @@ class GatedAttention:
         return self
 
 
+def mixed(x: np.ndarray, owner: np.ndarray, y: np.ndarray, seed: int = 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bags, and for each of label 0 one more of that label: its passage that is most unlike those of label 1, among the passages of a document of label 1.
+
+    Such a bag's label hangs on one passage, so attention has to find it; without them all passages of a bag say the same and it would learn nothing.
+    """
+    r, first = np.random.default_rng(seed), np.searchsorted(owner, np.arange(len(y) + 1))
+    bad, good = np.flatnonzero(y == 0), np.flatnonzero((y == 1) & (np.diff(first) > 1))
+    if not len(bad) or not len(good):
+        return x, owner, y
+    of_good = x[(y == 1)[owner]]
+    mean, spread = of_good.mean(0), of_good.std(0) + 1e-2
+    xs, owners = [x], [owner]
+    for k, (b, g) in enumerate(zip(bad, r.choice(good, len(bad)))):
+        passages_of = x[first[b] : first[b + 1]]
+        odd = passages_of[int(((((passages_of - mean) / spread) ** 2)[:, :SHAPES]).sum(1).argmax())]
+        bag = np.insert(x[first[g] : first[g + 1]], int(r.integers(first[g + 1] - first[g] + 1)), odd, axis=0)
+        xs.append(bag)
+        owners.append(np.full(len(bag), len(y) + k))
+    return np.concatenate(xs), np.concatenate(owners), np.r_[y, np.zeros(len(bad), y.dtype)]
+
+
 def held_out_column():
     return (F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
 
@@ -136,7 +163,7 @@ def held_out_column():
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> GatedAttention | None:
     """Learns from labelled documents that are not held out; None where there are none with either label.
 
-    A document with contrary labels, or a null label or id, is left out. ``sample`` bounds the documents learned from.
+    A document with contrary labels, or a null label or id, is left out; of an id with several rows one text is taken. ``sample`` bounds the documents learned from, ``BAG`` the passages of each.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_y"), F.max("quality").alias("_most")).where("_y = _most")
     chosen = known.where(~held_out_column()).select(F.col("doc_id").cast("long").alias("doc_id"), "_y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -145,14 +172,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gat
     def run(batch):
         x, owner = passages(texts_of(batch))
         first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-        return {"doc_id": batch.column("doc_id"), "y": batch.column("_y"), "x": [x[a:b].astype(np.float32).tobytes() for a, b in zip(first, first[1:])]}
+        some = [np.unique(np.linspace(a, b - 1, min(BAG, b - a)).round().astype(np.int64)) for a, b in zip(first, first[1:])]
+        return {"doc_id": batch.column("doc_id"), "y": batch.column("_y"), "x": [x[k].astype(np.float32).tobytes() for k in some]}
 
-    got = sorted(arrow_map(rows, run, "doc_id long, y int, x binary", pieces=4 << 20).collect(), key=lambda r: (r["doc_id"], r["x"]))
+    each_id = arrow_map(rows, run, "doc_id long, y int, x binary", pieces=4 << 20).groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    got = sorted(each_id.collect(), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in got])
     if len(set(y.tolist())) < 2:
         return None
     each = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH).astype(float) for r in got]
-    return GatedAttention().fit(np.concatenate(each), np.repeat(np.arange(len(each)), [len(e) for e in each]), y)
+    return GatedAttention().fit(*mixed(np.concatenate(each), np.repeat(np.arange(len(each)), [len(e) for e in each]), y), share=float(y.mean()))
 
 
 def score_quality(docs: DataFrame, model: GatedAttention | None, threshold: float = 0.3) -> DataFrame:

@@ -45,8 +45,12 @@ def candidates(text: str) -> list[tuple[int, int, bool]]:
             found[m.start(1)] = (m.start(1), end, True)
             at = min(end, m.start(1) + HEAD)
             out.append((m.start(1), at))
+    # both go from left to right, and heads don't overlap
+    k = 0
     for m in _LONG.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in out):
+        while k < len(out) and out[k][1] <= m.start():
+            k += 1
+        if k == len(out) or out[k][0] >= m.end():
             found[m.start()] = (m.start(), m.end(), False)
     return sorted(found.values())
 
