@@ -72,3 +72,21 @@ def test_masked_row_by_row(spark):
     got = sorted((r.doc_id or 0, r.text, r.n_chars) for r in mask_secrets(frame(spark, rows)).collect())
     want = sorted((i or 0, t.replace(KEY, "[SECRET]"), len(t.replace(KEY, "[SECRET]"))) for i, t, _ in rows)
     assert got == want
+
+
+def test_many_in_one_text():
+    import random
+    import time
+
+    from tidemark.llm import secrets
+
+    text, began = "".join(f'token = "abcd{i}efghijkl0123456789"\n{i}abcdefghijklmnopqrstuvw and more\n' for i in range(60_000)), time.perf_counter()
+    got = secrets.candidates(text)
+    assert time.perf_counter() - began < 20 and sum(a for *_, a in got) == 60_000 and len(got) == 120_000
+    rng = random.Random(2)
+    for _ in range(400):
+        text = "".join(rng.choice(['token = "', "secret:", "x" * 30 + "1", "a1" * 15, " ", '"', "\n", "key", "/" * 12, "z9" * 120]) for _ in range(rng.randrange(20)))
+        got = secrets.candidates(text)
+        heads = [(a, min(b, a + secrets.HEAD)) for a, b, assigned in got if assigned]
+        runs = [m.span() for m in secrets._LONG.finditer(text)]
+        assert [(a, b) for a, b, assigned in got if not assigned] == [(a, b) for a, b in runs if not any(x < b and a < y for x, y in heads)]
