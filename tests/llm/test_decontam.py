@@ -106,6 +106,17 @@ def test_blocks(spark, monkeypatch):
     assert sorted(map(tuple, find_leaks(docs, bench).collect())) == whole and whole
 
 
+def test_repeated_items_are_collected_once(spark, monkeypatch):
+    """However often an item is repeated, it is one of its block, and blocks stay small."""
+    monkeypatch.setattr(decontam, "BLOCK", 3000)
+    rows = [(7, "the same item of a benchmark that somebody copied many times")] * 3000 + [(i, f"item number {i} with words of its own, and some more") for i in range(100)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    sizes = [part.count() for part in decontam._blocks(bench)]
+    assert sum(sizes) == 101 and len(sizes) > 1 and max(sizes) < 101
+    docs = frame(spark, [(1, "so it is the same item of a benchmark that somebody copied many times over", "a")])
+    assert [(r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()] == [(1, 7)]
+
+
 def test_table_holds_all_verbatim_leaks(spark):
     folder = TEXTS.rpartition("/")[0].replace("sf0.001", "sf0.01")
     got = {(r.doc_id, r.item_id) for r in find_leaks(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")).collect()}
