@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,31 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column ``name`` of longs that are different for each row and stay the same however often they are read: the row's file, hashed, and its place in it.
+
+    Nothing is written and no text is moved. File hashes are tried until all files have different ones, which is counted. What is not read straight from files
+    is written as a table first.
+    """
+    def placed(df):
+        at = df.metadataColumn("_metadata")
+        return df.withColumn("_file_of_row", at["file_path"]).withColumn(name, at["row_index"])
+
+    try:
+        rows = placed(docs)
+        rows.schema  # noqa: B018
+    except AnalysisException:
+        rows = placed(cut(docs, "rows"))
+    files = rows.groupBy("_file_of_row").agg(F.max(name).alias("_last"))
+    last, n = files.agg(F.max("_last"), F.count("*")).first()
+    bits = max(1, int(last or 0).bit_length())
+    code = lambda seed: F.pmod(F.xxhash64("_file_of_row", F.lit(seed)), F.lit(1 << (63 - bits)))
+    for seed in range(100):
+        if files.agg(F.count_distinct(code(seed))).first()[0] == n:
+            return rows.withColumn(name, F.shiftleft(code(seed), bits).bitwiseOR(F.col(name))).drop("_file_of_row")
+    raise RuntimeError(f"no hash parts {n} files")
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the table that ``cut`` wrote, once nothing reads it any more."""
     if path := getattr(df, "cut_path", None):

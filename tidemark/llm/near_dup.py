@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     said = own.where(F.col("text").rlike(WORD)).select("doc_id", "text", F.md5("text").alias("_md5"))
     # one document for each text
-    of_text = cut(said.groupBy("doc_id").agg(F.min("_md5").alias("_md5")), "texts")
+    of_text = cut(said.groupBy("doc_id").agg(F.min(F.struct("_md5", F.length("text").alias("_chars"))).alias("_of")).select("doc_id", "_of._md5", "_of._chars"), "texts")
     first = cut(of_text.groupBy("_md5").agg(F.min("doc_id").alias("_rep"), F.count("*").alias("_n")), "first")
 
     def sign(batch):
@@ -174,20 +174,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     bands = cut(arrow_map(said.select("doc_id", "text"), sign, "doc_id long, key long", pieces=1 << 20).join(first.select(F.col("_rep").alias("doc_id")), "doc_id", "left_semi"), "bands")
     shared = cut(bands.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("_n")).where("least < most").select("key", "least", "_n"), "shared")
     candidate = connected_components(spread_join(bands, shared, ["key"], "doc_id", bands.count()).select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
-    chosen = candidate.select(F.col("id").alias("doc_id"), F.col("component").alias("_group")).join(of_text, "doc_id")
-    members = cut(said.join(chosen, ["doc_id", "_md5"]).dropDuplicates(["doc_id", "_md5"]).select("doc_id", "_group", "text"), "members")
-    sizes = members.groupBy("_group").agg(F.count("*").alias("_n"), F.sum(F.length("text")).alias("_chars"))
-    sizes = cut(sizes, "sizes").withColumn("_chunks", F.greatest(F.ceil(F.col("_n") / TOGETHER), F.ceil(F.col("_chars") / CHARS)).cast("int"))
-    small = sizes.where("_chunks = 1").agg(F.sum("_n"), F.sum("_chars")).first()
-    packs = max(count_pieces(small[0] or 0, TOGETHER), count_pieces(small[1] or 0, CHARS))
     drop_cut(bands)
     drop_cut(shared)
-    sized = spread_join(members, sizes.select("_group", "_chunks", "_n"), ["_group"], "doc_id", members.count())
-    chunk = F.pmod(F.xxhash64("doc_id"), F.col("_chunks")).cast("int")
-    packed = sized.where("_chunks = 1").select("doc_id", "text", F.pmod(F.xxhash64("_group"), F.lit(packs)).alias("_g"), F.lit(-1).alias("_i"), F.lit(-1).alias("_j"), F.lit(0).alias("_part"))
+    chosen = cut(candidate.select(F.col("id").alias("doc_id"), F.col("component").alias("_group")).join(of_text, "doc_id"), "chosen")
+    sizes = chosen.groupBy("_group").agg(F.count("*").alias("_n"), F.sum("_chars").alias("_sum"))
+    sizes = cut(sizes.withColumn("_chunks", F.greatest(F.ceil(F.col("_n") / TOGETHER), F.ceil(F.col("_sum") / CHARS)).cast("int")), "sizes")
+    small = sizes.where("_chunks = 1").agg(F.sum("_n"), F.sum("_sum")).first()
+    packs = max(count_pieces(small[0] or 0, TOGETHER), count_pieces(small[1] or 0, CHARS))
+    sized = spread_join(chosen, sizes.select("_group", "_chunks", "_n"), ["_group"], "doc_id", chosen.count()).withColumn("_c", F.pmod(F.xxhash64("doc_id"), F.col("_chunks")).cast("int"))
+    task = lambda g, i, j, part: F.struct(g.cast("long").alias("_g"), i.alias("_i"), j.alias("_j"), part.alias("_part"))
+    packed = F.array(task(F.pmod(F.xxhash64("_group"), F.lit(packs)), F.lit(-1), F.lit(-1), F.lit(0)))
     # chunk c meets every other: the tasks (i, j) with i <= j in which it is
-    meets = sized.where("_chunks > 1").withColumn("_c", chunk).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    chunked = meets.select("doc_id", "text", F.col("_group").alias("_g"), F.least("_c", "_o").alias("_i"), F.greatest("_c", "_o").alias("_j"), F.when(F.col("_c") > F.col("_o"), 1).otherwise(0).alias("_part"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("_chunks") - 1), lambda o: task(F.col("_group"), F.least("_c", o), F.greatest("_c", o), F.when(F.col("_c") > o, 1).otherwise(0)))
+    tasks = sized.select("doc_id", "_md5", F.when(F.col("_chunks") == 1, packed).otherwise(meets).alias("_tasks"))
+    # the one join that moves texts; never by broadcast, as the number of candidates has no bound
+    members = said.join(tasks.hint("shuffle_hash"), ["doc_id", "_md5"]).dropDuplicates(["doc_id", "_md5"]).select("doc_id", "text", F.inline("_tasks"))
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -197,15 +198,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         a, b = links_within(texts, table.column("doc_id").to_numpy(), part, similarity)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    links = packed.unionByName(chunked).groupBy("_g", "_i", "_j").applyInArrow(verify, "a long, b long")
+    links = members.groupBy("_g", "_i", "_j").applyInArrow(verify, "a long, b long")
     classes = connected_components(links).select(F.col("id").alias("_rep"), F.col("component").alias("_class"))
     by_text = cut(first.join(classes, "_rep", "left").select("_md5", "_n", F.coalesce("_class", "_rep").alias("class_id")), "by_text")
     n = cut(by_text.groupBy("class_id").agg(F.sum("_n").alias("n_class"), F.count("*").alias("_n")), "n")
     sized = spread_join(by_text.withColumnRenamed("_n", "_of_text"), n, ["class_id"], "_md5", by_text.count()).withColumnRenamed("_of_text", "_n")
     named = spread_join(of_text, cut(sized, "sized"), ["_md5"], "doc_id", of_text.count()).select("doc_id", "class_id", "n_class")
-    drop_cut(members)
     out = cut(own.select("doc_id").distinct().join(named, "doc_id", "left"), "classes")
-    for table in (of_text, first, by_text, n):
+    for table in (of_text, first, by_text, n, chosen, sizes):
         drop_cut(table)
     class_id = F.coalesce("class_id", "doc_id")
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"), (F.col("doc_id") == class_id).alias("kept"))
