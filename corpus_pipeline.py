@@ -9,24 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, mixing, near_dup, quality, secrets
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, numbered
 
 
 #: The key that a stage gives each row; no column of documents is called so.
 ROW = "_row_of_stage"
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with an own key, the same with that key as their doc_id), from a table in the shared folder, so that a row keeps its key."""
-    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    return rows, rows.withColumn("doc_id", F.col(ROW)).drop(ROW)
-
-
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose key is not in ``gone``, without their key."""
-    return rows.join(gone.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").drop(ROW)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject, each row by itself, whatever its doc_id."""
     return quality.keep_quality(docs, quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -34,12 +23,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id; rows without one come last. Each row is a document, whatever its doc_id."""
-    rows, own = keyed(docs)
-    classes = near_dup.near_duplicates(own).where("n_class > 1").select(F.col("doc_id").alias(ROW), "class_id")
+    rows = numbered(docs, ROW)
+    classes = near_dup.near_duplicates(rows.withColumn("doc_id", F.col(ROW)).drop(ROW)).where("n_class > 1").select(F.col("doc_id").alias(ROW), "class_id")
     named = classes.join(rows.select(ROW, "doc_id"), ROW)
     kept = named.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW].alias(ROW)).select(ROW)
-    gone = classes.join(kept, ROW, "left_anti").select(F.col(ROW).alias("doc_id"))
-    return without(rows, gone).select(*docs.columns)
+    gone = classes.join(kept, ROW, "left_anti").select(ROW)
+    # texts move once; never by broadcast, as the number of copies has no bound
+    return rows.join(gone.hint("shuffle_hash"), ROW, "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
