@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import derived, jobs, kernel, records, samples, texts, upkeep
+from . import derived, jobs, kernel, lifecycle, records, samples, texts, upkeep
 
 QUERIES, ORACLE = {}, {}
-for _area in (samples, records, jobs, derived, kernel, texts, upkeep):
+for _area in (samples, records, jobs, derived, kernel, lifecycle, texts, upkeep):
     QUERIES |= _area.QUERIES
     ORACLE |= _area.ORACLE

@@ -37,8 +37,8 @@ def _streamed(spark, rows: DataFrame, step, mode: str = "append") -> DataFrame:
     rows.write.parquet(f"{at}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/in")
     out = step(stream)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
-    live.run_once(out, lambda df, batch: df.write.mode("overwrite").parquet(f"{at}/out/batch={batch}"), f"{at}/checkpoint", mode).awaitTermination()
+    with live.provider(spark, "HDFSBackedStateStoreProvider"):
+        live.run_once(out, lambda df, batch: df.write.mode("overwrite").parquet(f"{at}/out/batch={batch}"), f"{at}/checkpoint", mode).awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out").select(*out.columns)
 
 

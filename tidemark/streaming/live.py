@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -83,6 +84,23 @@ def merge_threads(tasks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     return tasks.groupBy("host", "tgid").applyInPandasWithState(step, schema, state, "append", timeout)
 
 
+@contextmanager
+def provider(spark: SparkSession, name: str):
+    """Queries that start within keep their state in this store; the session's own setting comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.get(key, None)
+    spark.conf.set(key, f"org.apache.spark.sql.execution.streaming.state.{name}")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+
+
+def rocksdb(spark: SparkSession):
+    """State on the executors' disks, which timers and lists need, and which may outgrow memory."""
+    return provider(spark, "RocksDBStateStoreProvider")
+
+
 def run_once(stream: DataFrame, write, checkpoint: str, mode: str = "append"):
     """All that is there now, in bounded batches, to ``write(rows, batch)``; then it ends. The next run goes on from the checkpoint."""
     return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
