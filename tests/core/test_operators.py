@@ -127,7 +127,7 @@ def test_trees_of_any_depth(spark):
 
 
 def test_paging_finds_each_record_once(spark):
-    records = spark.createDataFrame([(i // 7, i) for i in range(100)], "ts_us bigint, pid bigint")
+    records = spark.createDataFrame([(i // 7, i, "h") for i in range(100)], "ts_us bigint, pid bigint, host string")
     seen, cursor = set(), None
     for _ in range(40):
         rows = exits.page(records, cursor, 20).collect()
@@ -139,13 +139,29 @@ def test_paging_finds_each_record_once(spark):
     assert len(seen) == 100
 
 
-def test_paging_by_time_and_pid_passes_full_ties(spark):
-    records = spark.createDataFrame([(5, i) for i in range(50)] + [(4, 1)], "ts_us bigint, pid bigint")
+def test_paging_over_hosts_passes_full_ties(spark):
+    """Two hosts have processes of the same numbers that ended at the same moments."""
+    records = spark.createDataFrame([(5, i, h) for i in range(50) for h in ("a", "b")] + [(4, 1, "a")], "ts_us bigint, pid bigint, host string")
     seen, cursor = [], None
-    while rows := exits.page(records, cursor, 20).collect():
-        seen += [(r.ts_us, r.pid) for r in rows]
+    while rows := exits.page(records, cursor, 13).collect():
+        seen += [(r.ts_us, r.pid, r.host) for r in rows]
         cursor = seen[-1]
-    assert seen == sorted(seen, reverse=True) and len(seen) == 51
+    assert seen == sorted(seen, reverse=True) and len(seen) == 101
+    assert exits.once(records.unionByName(records)).count() == 101
+
+
+def test_labels_with_signs_of_their_own(spark):
+    sets = [{"a": "1,b=2"}, {"a": "1", "b": "2"}, {"a": "1\\,b=2"}, {"a=1,b": "2"}, {"a": None}, {}, {"a": ""}, {"b": "2", "a": "1"}]
+    s = spark.createDataFrame([("m", "h", x, 5, float(k)) for k, x in enumerate(sets)], "name string, host string, labels map<string,string>, ts bigint, value double")
+    got = read.latest(s, 5, 5).collect()
+    assert len(got) == 7 and len({r.series for r in got}) == 7
+    assert {r.series for r in got} >= {"a=1,b=2", "a=1\\,b\\=2", "a", "a=", ""}
+
+
+def test_names_that_begin_alike(spark):
+    s = spark.createDataFrame([("rx", "h", {"iface": i}, 5, v) for i, v in (("lo", 1.0), ("lora0", 2.0), ("eth0", 4.0))], "name string, host string, labels map<string,string>, ts bigint, value double")
+    r = read.snapshot_host(s, 5, 5, {"net": ("rx", "iface", "lo")}, {"most": ("rx", "iface", "eth0")}).first()
+    assert (r.net, r.most) == (6.0, 2.0)
 
 
 def test_spacing_and_ticks(spark):
@@ -210,26 +226,97 @@ def test_a_change_that_stops_midway_leaves_all_as_it_was(spark, tmp_path, monkey
     store = Store(spark, str(tmp_path / "store"))
     store.append("samples", day_of_samples(spark, 100, 0), 0)
     store.append("samples", day_of_samples(spark, 100, 10))
-    reader, n = store.read("samples"), 20
 
     def dies(*_):
-        raise RuntimeError("the writer was lost")
+        raise RuntimeError("the maintainer was lost")
 
-    with monkeypatch.context() as m:
-        m.setattr(Store, "_switch", dies)
-        for step in (lambda: store.compact("samples", 100), lambda: store.append("samples", day_of_samples(spark, 100, 30), 0), lambda: store.drop("samples", 100)):
+    for _ in range(2):  # twice: what the first left is there as well
+        with monkeypatch.context() as m:
+            m.setattr(Store, "_delete", dies)
             with pytest.raises(RuntimeError):
-                step()
-            assert store.read("samples").count() == n
+                store.compact("samples", 100)
+        assert store.read("samples").count() == 20
+    store.append("samples", day_of_samples(spark, 100, 0), 0)
+    assert store.read("samples").count() == 20
     store.compact("samples", 100)
+    assert store.read("samples").count() == 20 and len(store._partitions("samples")[100]) == 1
     store.drop("samples", 100)
-    assert store.read("samples").count() == 0 and reader.count() == n  # who began before reads on
+    assert store.read("samples").count() == 0
     for k in range(10):
         store.append("samples", day_of_samples(spark, 102, 0), 7)
-    assert store.read("samples").count() == 10 and store.read("samples").columns == reader.columns == ["name", "host", "labels", "ts", "value", "day"]
-    assert store.clean("samples") > 0  # what the lost writers left
-    on_disk = {str(p.relative_to(tmp_path / "store" / "samples")) for p in (tmp_path / "store" / "samples").glob("write=*/day=*/*.parquet")}
-    assert on_disk == {f["file"] for v in store._versions("samples") for f in store._list("samples", v)} and len(store._versions("samples")) == 8
+    assert store.read("samples").count() == 10 and store.read("samples").columns == ["name", "host", "labels", "ts", "value", "day"]
+
+
+@pytest.mark.parametrize("change", ["compact", "drop", "cut"])
+def test_an_append_meanwhile_is_kept(spark, tmp_path, monkeypatch, change):
+    """A stream appends while maintenance has read what it changes and has not yet changed it."""
+    store, stream = Store(spark, str(tmp_path / "store")), Store(spark, str(tmp_path / "store"))
+    for batch, first in enumerate((0, 10)):
+        store.append("samples", day_of_samples(spark, 100, first), batch)
+    store.append("samples", day_of_samples(spark, 99, 0), 2)
+    own, done = Store._delete, []
+
+    def deletes(self, *args):
+        if not done:
+            done.append(1)
+            stream.append("samples", day_of_samples(spark, 100, 20), 3)
+        own(self, *args)
+
+    monkeypatch.setattr(Store, "_delete", deletes)
+    if change == "compact":
+        store.compact("samples", 100)
+        want = 40
+    elif change == "drop":
+        store.drop("samples", 99)
+        want = 30
+    else:
+        store.drop_before("samples", 100 * 86_400 + 10 * 400)
+        want = 20
+    assert done and store.read("samples").count() == want
+    stream.append("samples", day_of_samples(spark, 100, 20), 3)
+    assert store.read("samples").count() == want
+
+
+def test_rows_without_a_time(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = day_of_samples(spark, 100, 0).unionByName(spark.createDataFrame([("m", "h", {"a": "b"}, None, 1.0)], "name string, host string, labels map<string,string>, ts bigint, value double"))
+    for _ in range(2):
+        store.writer("samples")(rows, 5)
+    assert store.read("samples").count() == 11 and store.read("samples").where("day is null").count() == 1
+    assert [d for d, _ in store.days("samples")] == [100] and store.between("samples", 0, 1e9).count() == 10
+    assert maintain.retain(store, 200 * 86_400) == [("samples", 100)] and store.read("samples").count() == 1
+
+
+def test_the_cap_by_rounds(spark, tmp_path):
+    """Samples are cut to what the limit leaves, within a day; records stay whole, and nothing reaches into the last hour."""
+    store = Store(spark, str(tmp_path / "store"))
+    rows = [("m", f"host{h}", {"a": f"{h}-{t * 7919 % 10007}"}, 100 * 86_400 + t * 60, float(t * 31 % 977)) for t in range(2000) for h in range(3)]
+    store.append("samples", spark.createDataFrame(rows, "name string, host string, labels map<string,string>, ts bigint, value double"), 1)
+    store.append("records", spark.createDataFrame([(100 * 86_400_000_000 + t, "exit", t) for t in range(50)], "ts_us bigint, kind string, pid bigint"), 1)
+    whole, records = store.bytes(), store.read("records").count()
+    gone, met = maintain.fit_by_rounds(store, whole * 6 // 10)
+    assert met and [k for k, _ in gone] == ["samples"] and store.read("records").count() == records
+    left = store.read("samples").select("ts").collect()
+    assert min(r.ts for r in left) >= gone[0][1] > 100 * 86_400 + 600 * 60 and 0 < len(left) < len(rows)
+    gone, met = maintain.fit_by_rounds(store, 1)
+    last = 100 * 86_400 + 1999 * 60
+    assert not met and min(r.ts for r in store.read("samples").select("ts").collect()) <= last - 3500 + 60 * 6
+
+
+def test_rounds_of_the_cap():
+    """Against a loop over moments: chunks of 100 s can only go whole."""
+    held, calls = list(range(0, 36_000, 100)), []
+
+    def freed(moment):
+        calls.append(moment)
+        held[:] = [c for c in held if c + 100 > moment]
+        return len(held) <= 200, held[0]
+
+    reached = maintain.cutoffs(0, 36_000, freed)
+    assert len(held) <= 200 and reached == calls[-1] and calls[0] == 3600
+    assert maintain.cutoffs(0, 3500, freed) is None
+    moments = []
+    assert maintain.cutoffs(0, 10_000, lambda m: (moments.append(m), (False, 0.0))[1]) is None and moments == [1000, 2000, 4000, 6400]
 
 
 def test_each_tier_of_rollups_is_kept_for_its_own_time(spark, tmp_path):

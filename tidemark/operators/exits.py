@@ -25,25 +25,30 @@ def exits(records: DataFrame, since_us: int | None = None, until_us: int | None
     return out if levels is None else out.where(F.col("level").isin(list(levels)))
 
 
+#: What tells records apart: two hosts may have a process of one number end at one moment.
+RECORD = ("ts_us", "pid", "host")
+
+
 def last(rows: DataFrame, n: int) -> DataFrame:
-    return rows.orderBy(F.col("ts_us").desc(), F.col("pid").desc()).limit(n)
+    return rows.orderBy(*[F.col(c).desc() for c in RECORD]).limit(n)
 
 
 def page(records: DataFrame, cursor, n: int) -> DataFrame:
-    """The next n by time, then pid. The cursor is the last page's oldest (time, pid), which is not read again however many share its time; or its oldest
+    """The next n by time, then pid, then host. The cursor is the last page's oldest (time, pid, host), which is not read again however many share its time; or its oldest
     time alone, which is read again: once() then takes out what was seen before, and a page must be longer than the records of a moment.
     """
     if cursor is None:
         return last(records, n)
     if isinstance(cursor, tuple):
-        at, pid = cursor
-        return last(records.where((F.col("ts_us") < at) | ((F.col("ts_us") == at) & (F.col("pid") < pid))), n)
+        at, pid, host = cursor
+        same = F.col("ts_us") == at
+        return last(records.where((F.col("ts_us") < at) | (same & (F.col("pid") < pid)) | (same & (F.col("pid") == pid) & (F.col("host") < host))), n)
     return last(records.where(F.col("ts_us") <= cursor), n)
 
 
 def once(rows: DataFrame) -> DataFrame:
     """Each record once, over pages that overlap."""
-    return rows.dropDuplicates(["ts_us", "pid"])
+    return rows.dropDuplicates(list(RECORD))
 
 
 def saying(records: DataFrame, text: str, fields=("message",)) -> DataFrame:

@@ -80,3 +80,47 @@ def fit(store: Store, limit: int | None, now: float) -> list[Held]:
     for h in gone:
         store.drop(h.kind, h.first // DAY)
     return gone
+
+
+def cutoffs(first: float, last: float, freed, least: float = 60) -> float | None:
+    """How far a kind is given up, round by round: a tenth of what is held at a time (a minute at least), twice as much after a round that freed nothing, never into its last hour.
+
+    ``freed`` (moment) gives up all before a moment and says (enough, the first moment held now). Returns the last such moment, None if there was none.
+    """
+    reached, step = None, None
+    while True:
+        held = last - first
+        this = step if step is not None else max(held / 10, least)
+        if held <= HOUR or this >= held:
+            return reached
+        moment = min(first + this, last - HOUR)
+        enough, begins = freed(moment)
+        if begins is not None and begins > first:
+            reached, first, step = moment, begins, None
+        elif moment >= last - HOUR:
+            return reached
+        else:
+            step = this * 2
+        if enough:
+            return reached
+
+
+def fit_by_rounds(store: Store, limit: int | None) -> tuple[list[tuple[str, float]], bool]:
+    """([(kind, the moment before which it is gone)], whether the store is within its limit now): the same order, cut within days, so that it lands near the limit."""
+    gone: list[tuple[str, float]] = []
+    if limit is None or store.bytes() <= limit:
+        return gone, True
+    for kind in ORDER:
+        if (held := store.range(kind)) is None:
+            continue
+
+        def freed(moment: float, kind: str = kind) -> tuple[bool, float | None]:
+            store.drop_before(kind, moment)
+            left = store.range(kind)
+            return store.bytes() <= limit, left[0] if left else None
+
+        if (moment := cutoffs(*held, freed)) is not None:
+            gone.append((kind, moment))
+        if store.bytes() <= limit:
+            return gone, True
+    return gone, store.bytes() <= limit

@@ -20,8 +20,9 @@ def label(key: str) -> Column:
 
 
 def series_key() -> Column:
-    """The label set as text: the same for equal sets, whatever their order."""
-    return F.concat_ws(",", F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    """The label set as text: the same for equal sets, whatever their order, and different for different ones. A backslash stands before a comma, an equals sign or a backslash of a label; a label without value has no equals sign."""
+    plain = lambda c: F.regexp_replace(c, r"([\\,=])", r"\\$1")
+    return F.concat_ws(",", F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.coalesce(F.concat(plain(e["key"]), F.lit("="), plain(e["value"])), plain(e["key"]))))
 
 
 def pick(samples: DataFrame, names=None, since=None, until=None, host: str | None = None, **labels: str) -> DataFrame:
@@ -89,11 +90,12 @@ def snapshot_units(samples: DataFrame, at: float, within: float, columns: dict[s
 def snapshot_host(samples: DataFrame, at: float, within: float, sums: dict, highest: dict, host=None) -> DataFrame:
     """Totals of a host at a moment: ``sums`` and ``highest`` are column -> (metric, label key, excluded value). Null where no series is."""
     every = {m for m, _, _ in [*sums.values(), *highest.values()]}
-    last = latest(samples, at, within, list(every), host)
+    near = pick(samples, list(every), at - within, at, host)
+    last = near.groupBy("name", "host", series_key().alias("_series")).agg(_last(near).alias("value"), F.first("labels").alias("labels"))
 
     def of(metric, key, without):
         mine = F.col("name") == metric
-        return F.when(mine & ~F.coalesce(F.contains("series", F.lit(f"{key}={without}")), F.lit(False)) if without else mine, F.col("value"))
+        return F.when(mine & ~F.coalesce(label(key) == without, F.lit(False)) if without else mine, F.col("value"))
 
     return last.groupBy("host").agg(*[F.sum(of(*x)).alias(c) for c, x in sums.items()], *[F.max(of(*x)).alias(c) for c, x in highest.items()])
 

@@ -1,8 +1,7 @@
-"""The store: a folder of Parquet files for samples, records, spans and rollups, in partitions by day, and a list of the files that count."""
+"""The store: a folder of Parquet files for samples, records, spans and rollups, in partitions by day and batch."""
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 from collections.abc import Callable
@@ -17,8 +16,8 @@ TIERS = (300, 3600)
 SCHEMAS = {"samples": model.SAMPLES, "records": model.RECORDS, "spans": model.SPANS, "rollups": "name string, host string, labels map<string,string>, resolution int, bucket bigint, highest double, lowest double, mean double, total double, n bigint"}
 TIME = {"samples": ("ts", 1), "records": ("ts_us", 1_000_000), "spans": ("start_ns", 1_000_000_000), "rollups": ("bucket", 1)}
 TABLES = ("samples", "records", "spans", *(f"rollups-{t}" for t in TIERS))
-#: Lists that are kept, so that readers who began with an older one still find its files.
-LISTS = 8
+#: What the batch of compacted rows begins with; the names of later ones sort after those of earlier ones.
+COMPACT = "compact-"
 
 
 def choose(given: str | None = None, own: str | None = None, host: str | None = None) -> str:
@@ -36,11 +35,12 @@ def own_store(environment=None) -> str | None:
 
 
 class Store:
-    """One writer appends; many readers read what was there when they began.
+    """One writer appends, a maintainer compacts and drops, many readers read: partitions by day and batch, and nothing else.
 
-    Data files never change. Which of them count is in a list, of which each change writes a new version; the rename of its file is the
-    moment of the change, so a writer that dies before leaves all as it was. Rows know the batch that they came with: a batch that comes again replaces
-    its own rows, also after they were compacted with others. Files go when none of the last lists names them.
+    A batch goes into partitions of its own, which are overwritten if it comes again, so a stream that starts anew repeats nothing. Compaction writes a day's batches
+    as one, in which rows know where they came from, and then deletes theirs; as long as a batch has a partition of its own, its rows in the compacted one don't
+    count. So a compaction that stops midway changes nothing, an append meanwhile has a partition that compaction does not touch, and a batch that comes again afterwards replaces
+    its rows. Rows without a time are of no day: their day is null. A reader who began before days are dropped or compacted begins again.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -51,50 +51,40 @@ class Store:
         at = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _versions(self, table: str) -> list[int]:
-        fs, at = self._at(table, "_lists")
-        return sorted(int(f.getPath().getName()[:-5]) for f in fs.listStatus(at) if f.getPath().getName().endswith(".json")) if fs.exists(at) else []
-
-    def _list(self, table: str, version: int | None = None) -> list[dict]:
-        """Files that count: file, day, bytes, and the batches that have rows in it."""
-        if version is None:
-            versions = self._versions(table)
-            if not versions:
-                return []
-            version = versions[-1]
-        fs, at = self._at(table, "_lists", f"{version:012d}.json")
-        return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(at), "UTF-8"))
-
-    def _switch(self, table: str, files: list[dict]) -> None:
-        """The list from now on; files that only lists older than the last few name are deleted."""
-        versions = self._versions(table)
-        version = versions[-1] + 1 if versions else 0
-        fs, new = self._at(table, "_lists", f"{version:012d}.json")
-        _, draft = self._at(table, "_lists", f"_{uuid.uuid4().hex}")
-        out = fs.create(draft)
-        out.write(bytearray(json.dumps(files).encode()))
-        out.close()
-        if fs.exists(new) or not fs.rename(draft, new):
-            raise RuntimeError(f"{table}: another writer has changed the store")
-        named = {f["file"] for v in [*versions, version][-LISTS:] for f in self._list(table, v)}
-        for v in versions[: max(0, len(versions) + 1 - LISTS)]:
-            for f in self._list(table, v):
-                if f["file"] not in named:
-                    fs.delete(self._at(table, f["file"])[1], False)
-            fs.delete(self._at(table, "_lists", f"{v:012d}.json")[1], False)
-
-    def _read(self, table: str, files: list[dict]) -> DataFrame:
-        schema = f"{SCHEMAS[table.partition('-')[0]]}, _batch bigint, day int"
-        if not files:
+    def _partitions(self, table: str) -> dict[int | None, list[str]]:
+        """The batches of each day, by name."""
+        fs, at = self._at(table, "day=*", "batch=*")
+        out: dict[int | None, list[str]] = {}
+        for s in fs.globStatus(at) or []:
+            day, batch = (x.getName().partition("=")[2] for x in (s.getPath().getParent(), s.getPath()))
+            out.setdefault(int(day) if day.lstrip("-").isdigit() else None, []).append(batch)
+        return {day: sorted(batches) for day, batches in out.items()}
+
+    def _rows(self, table: str, of_days=lambda day: True) -> DataFrame:
+        """Rows that count, of some days, with day, batch and _from (the batch that a compacted row came with)."""
+        schema = f"{SCHEMAS[table.partition('-')[0]]}, _from string, day int, batch string"
+        held = {day: batches for day, batches in self._partitions(table).items() if of_days(day)}
+        if not held:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*[f"{self.path}/{table}/{f['file']}" for f in files]).drop("write")
+        # of several compactions (one stopped before it deleted what it had read) the last has all
+        old = [b for batches in held.values() for b in [b for b in batches if b.startswith(COMPACT)][:-1]]
+        again = [(day, b) for day, batches in held.items() if batches[-1:] and any(b.startswith(COMPACT) for b in batches) for b in batches if not b.startswith(COMPACT)]
+        days = [d for d in held if d is not None]
+        wanted = F.col("day").isin(days) if days else F.lit(False)
+        out = self.spark.read.schema(schema).parquet(f"{self.path}/{table}").where(wanted | F.col("day").isNull() if None in held else wanted)
+        if old:
+            out = out.where(~F.col("batch").isin(old))
+        if again:  # at most the batches that came since a day was compacted
+            twice = self.spark.createDataFrame(again, "_day int, _batch string")
+            out = out.join(F.broadcast(twice), F.col("batch").startswith(COMPACT) & F.col("day").eqNullSafe(F.col("_day")) & (F.col("_from") == F.col("_batch")), "left_anti")
+        return out
 
     def _tables(self, table: str) -> list[str]:
         return [t for t in TABLES if t.startswith("rollups-")] if table == "rollups" else [table]
 
     def read(self, table: str, days=None) -> DataFrame:
-        """The table, with its day; an empty one of the same columns if nothing was ever written (a store without spans has no jobs). ``days``: (first, last), others are not even listed. rollups: all tiers."""
-        parts = [self._read(t, [f for f in self._list(t) if days is None or days[0] <= f["day"] <= days[1]]).drop("_batch") for t in self._tables(table)]
+        """The table, with its day; an empty one of the same columns if nothing was ever written (a store without spans has no jobs). ``days``: (first, last), others are not read. rollups: all tiers."""
+        parts = [self._rows(t, lambda day: days is None or (day is not None and days[0] <= day <= days[1])).drop("_from", "batch") for t in self._tables(table)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -105,64 +95,81 @@ class Store:
         column, scale = TIME[table.partition("-")[0]]
         return self.read(table, (int(since // 86_400), int(until // 86_400))).where(F.col(column).between(int(since * scale), int(until * scale)))
 
-    def _write(self, table: str, rows: DataFrame, batches: list[int], sort=()) -> list[dict]:
-        """New files, which no list names yet."""
+    def _dated(self, table: str, rows: DataFrame) -> DataFrame:
         column, scale = TIME[table.partition("-")[0]]
-        write = f"write={uuid.uuid4().hex}"
-        dated = rows.withColumn("day", F.floor(F.col(column) / (scale * 86_400)).cast("int"))
-        (dated.sortWithinPartitions(*sort) if sort else dated).write.partitionBy("day").parquet(f"{self.path}/{table}/{write}")
-        fs, at = self._at(table, write, "day=*", "part-*")
-        found = [(s.getPath().getParent().getName(), s.getPath().getName(), int(s.getLen())) for s in fs.globStatus(at) or []]
-        return [{"file": f"{write}/{day}/{name}", "day": int(day[4:]), "bytes": size, "batches": batches} for day, name, size in found]
+        return rows.withColumn("day", F.floor(F.col(column) / (scale * 86_400)).cast("int"))
+
+    def _delete(self, table: str, day: int | None, batch: str | None = None) -> None:
+        fs, at = self._at(table, f"day={'__HIVE_DEFAULT_PARTITION__' if day is None else day}", *([f"batch={batch}"] if batch else []))
+        fs.delete(at, True)
 
     def append(self, table: str, rows: DataFrame, batch: int | None = None) -> None:
-        """Adds rows. A batch that was added before (a stream that starts again) is replaced and so not there twice."""
-        kept, mixed = [], []
-        for f in self._list(table):
-            if batch is None or batch not in f["batches"]:
-                kept.append(f)
-            elif len(f["batches"]) > 1 or None in f["batches"]:
-                mixed.append(f)
-        new = self._write(table, rows.withColumn("_batch", F.lit(batch).cast("bigint")), [batch])
-        if mixed:  # compacted with others, whose rows stay
-            others = self._read(table, mixed).where(~F.col("_batch").eqNullSafe(batch)).drop("day")
-            new += self._write(table, others, sorted({b for f in mixed for b in f["batches"] if b != batch}, key=lambda b: (b is not None, b or 0)))
-        self._switch(table, kept + new)
+        """Adds rows. A batch that was added before (a stream that starts again) is replaced and so not there twice, also where it has other days now."""
+        name = f"b{batch}" if batch is not None else f"w{uuid.uuid4().hex}"
+        dated = self._dated(table, rows).withColumns({"_from": F.lit(name), "batch": F.lit(name)})
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{self.path}/{table}")
+        if batch is None:
+            return
+        for day, batches in self._partitions(table).items():
+            if (name in batches or any(b.startswith(COMPACT) for b in batches)) and dated.where(F.col("day").eqNullSafe(F.lit(day).cast("int"))).isEmpty():
+                # a day that it had before, by itself or compacted, and has no more
+                if not self._rows(table, lambda d, day=day: d == day).where(F.col("_from") == name).isEmpty():
+                    self._rewrite(table, day, F.col("_from") != name)
 
     def writer(self, table: str) -> Callable[[DataFrame, int], None]:
         """For ``foreachBatch``."""
         return lambda rows, batch: self.append(table, rows, batch)
 
     def days(self, table: str) -> list[tuple[int, int]]:
-        """(day, bytes) of what is held, from the list alone."""
+        """(day, bytes) of what is held, from the folders alone; rows without a time are of none."""
         out: dict[int, int] = {}
         for t in self._tables(table):
-            for f in self._list(t):
-                out[f["day"]] = out.get(f["day"], 0) + f["bytes"]
+            fs, at = self._at(t, "day=*")
+            for s in fs.globStatus(at) or []:
+                day = s.getPath().getName()[4:]
+                if day.lstrip("-").isdigit() and (size := int(fs.getContentSummary(s.getPath()).getLength())):
+                    out[int(day)] = out.get(int(day), 0) + size
         return sorted(out.items())
 
+    def range(self, table: str) -> tuple[float, float] | None:
+        """The first and last moment that is held, in epoch seconds; read from the first and last day alone."""
+        column, scale = TIME[table.partition("-")[0]]
+        days = sorted(d for d in self._partitions(table) if d is not None)
+        if not days:
+            return None
+        low, high = self._rows(table, lambda d: d in (days[0], days[-1])).agg(F.min(column), F.max(column)).first()
+        return None if low is None else (low / scale, high / scale)
+
     def drop(self, table: str, day: int) -> None:
         for t in self._tables(table):
-            self._switch(t, [f for f in self._list(t) if f["day"] != day])
+            self._delete(t, day)
+
+    def drop_before(self, table: str, moment: float) -> None:
+        """All before a moment in epoch seconds: days before its own whole, of that the rows."""
+        column, scale = TIME[table.partition("-")[0]]
+        for day in self._partitions(table):
+            if day is not None and (day + 1) * 86_400 <= moment:
+                self._delete(table, day)
+            elif day is not None and day * 86_400 < moment:
+                self._rewrite(table, day, F.col(column) >= int(moment * scale))
 
     def bytes(self) -> int:
         return sum(size for table in TABLES for _, size in self.days(table))
 
-    def clean(self, table: str) -> int:
-        """Deletes files that no kept list names: those of writers that were lost before they were done. For the one writer, between its changes; says how many."""
-        named = {f["file"] for v in self._versions(table) for f in self._list(table, v)}
-        fs, at = self._at(table, "write=*", "day=*", "part-*")
-        lost = [p for p in (s.getPath() for s in fs.globStatus(at) or []) if "/".join(p.toString().split("/")[-3:]) not in named]
-        for p in lost:
-            fs.delete(p, False)
-        return len(lost)
+    def _rewrite(self, table: str, day: int | None, keep=None, files: int = 1, sort=()) -> None:
+        """A day's rows (those to keep) as one batch of their own; then what they were read from is deleted."""
+        seen = self._partitions(table).get(day, [])
+        rows = self._rows(table, lambda d: d == day)
+        rows = (rows if keep is None else rows.where(keep)).repartition(files)
+        rows = rows.sortWithinPartitions(*sort) if sort else rows
+        last = max((int(b[len(COMPACT) :].partition("-")[0]) for b in seen if b.startswith(COMPACT)), default=0)
+        name = f"{COMPACT}{last + 1:09d}-{uuid.uuid4().hex}"
+        rows.withColumn("batch", F.lit(name)).write.mode("append").partitionBy("day", "batch").parquet(f"{self.path}/{table}")
+        for b in seen:
+            self._delete(table, day, b)
 
     def compact(self, table: str, day: int, files: int = 1, sort=()) -> None:
-        """A day's files written again as few, in the order in which they are read."""
+        """A day's batches written again as one, of few files, in the order in which they are read."""
         for t in self._tables(table):
-            of_day = [f for f in self._list(t) if f["day"] == day]
-            if len(of_day) < 2:
-                continue
-            batches = sorted({b for f in of_day for b in f["batches"]}, key=lambda b: (b is not None, b or 0))
-            new = self._write(t, self._read(t, of_day).drop("day").repartition(files), batches, sort)
-            self._switch(t, [f for f in self._list(t) if f["day"] != day] + new)
+            if len(self._partitions(t).get(day, [])) > 1:
+                self._rewrite(t, day, None, files, sort)
