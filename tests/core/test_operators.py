@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -117,13 +118,44 @@ def test_trees(spark):
     assert [r.more for r in traces.tree_rows(spans, most=2).collect()] == [3, 3]
 
 
-def test_trees_of_any_depth(spark):
-    schema = "trace long, span long, parent long, start_s long"
-    chain = spark.createDataFrame([(1, i, i - 1 if i else None, i) for i in range(70)], schema)
-    assert sorted((r.span, r.depth, r.place) for r in traces.tree_rows(chain).collect()) == [(i, i, i + 1) for i in range(70)]
-    cycle = spark.createDataFrame([(1, 0, None, 0), (1, 1, 0, 1), (1, 2, 1, 2), (1, 1, 2, 3)], schema)
+def test_trees_of_any_depth(spark, monkeypatch):
+    schema, rounds = "trace long, span long, parent long, start_s long", []
+    own = traces.cut
+    monkeypatch.setattr(traces, "cut", lambda df: rounds.append(1) or own(df))
+    chain = spark.createDataFrame([(1, i, i - 1 if i else None, i) for i in range(5000)] + [(2, 7, None, 0)], schema)
+    got = sorted((r.trace, r.span, r.depth, r.place) for r in traces.tree_rows(chain).collect())
+    assert got == [(1, i, i, i + 1) for i in range(5000)] + [(2, 7, 0, 1)] and len(rounds) < 20
+    cycle = spark.createDataFrame([(1, 0, None, 0), (1, 1, 2, 1), (1, 2, 1, 2)], schema)
     with pytest.raises(ValueError, match="cycle"):
-        traces.tree_rows(cycle, deepest=3)
+        traces.tree_rows(cycle)
+
+
+def test_trees_against_a_walk(spark):
+    """Random forests with repeated spans, against a walk from the roots."""
+    rng = random.Random(5)
+    rows = [(t, i, rng.randrange(i) if i and rng.random() < 0.93 else rng.choice([None, 900]), rng.randrange(20)) for t in range(4) for i in range(rng.choice([1, 30, 120]))]
+    rows += [(t, i, p, s + 30) for t, i, p, s in rows[:10]]
+    first = {}
+    for t, i, p, s in rows:
+        if (t, i) not in first or s < first[t, i][1]:
+            first[t, i] = (p, s)
+    want = []
+    for t in range(4):
+        mine = {i: x for (u, i), x in first.items() if u == t}
+        below = {}
+        for i, (p, s) in mine.items():
+            below.setdefault(p if p in mine else None, []).append((s, i))
+
+        def walk(up, depth, place, t=t, below=below):
+            for k, (s, i) in enumerate(ordered := sorted(below.get(up, []))):
+                place += 1
+                want.append((t, i, depth, place, k == len(ordered) - 1))
+                place = walk(i, depth + 1, place)
+            return place
+
+        walk(None, 0, 0)
+    got = traces.tree_rows(spark.createDataFrame(rows, "trace long, span long, parent long, start_s long")).select("trace", "span", "depth", "place", "last_sibling").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_paging_finds_each_record_once(spark):

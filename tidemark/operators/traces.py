@@ -53,36 +53,51 @@ def trees(spans: DataFrame, least: int = 2, n: int = 5, failed: bool = False, co
     return figures.where(F.col("matched").isNotNull() & (F.col("processes") >= least)).orderBy(F.col("matched").desc(), F.col("trace").desc()).limit(n)
 
 
-def tree_rows(spans: DataFrame, most: int | None = None, start="start_s", deepest: int | None = None) -> DataFrame:
+def tree_rows(spans: DataFrame, most: int | None = None, start="start_s") -> DataFrame:
     """Each span with its depth, its place in the order in which its trace's tree is drawn, and whether it is the last of its siblings.
 
-    A root has no parent in its trace. Siblings are in order of start, then id. Levels are joined one after the other, by (trace, parent), until one is empty;
-    a place is the row number by the path of sibling ranks. Each level is written to the shared folder, so that the next is one join and no more. most: of each trace only so many rows, with what is left out in ``more``.
-    Trees may have any depth. A level below ``deepest``, by default the different spans of the largest trace, is an error: then repeated spans make a cycle.
+    A root has no parent in its trace. Siblings are in order of start, then id. Of spans with one id in a trace the first to start counts. Trees may have any depth: every
+    span jumps to its parent, then to its parent's parent, and so on over twice the way in each step, while numbers of descendants go the same ways upwards; so the rounds, each of two steps and one table in the
+    shared folder, are as many as half the depth's binary digits, twice. A span's place is the sum, over itself and those above it, of what is drawn before it under its parent. most: of each trace only so many rows,
+    with what is left out in ``more``. Spans in a cycle have no root: that is an error.
     """
-    by = Window.partitionBy("trace", "_up").orderBy(start, "span")
-    ids = spans.select(F.col("trace"), F.col("span").alias("_up"))
-    known = spans.join(ids.distinct().withColumn("_known", F.lit(True)), (spans["trace"] == ids["trace"]) & (spans["parent"] == ids["_up"]), "left").select(spans["*"], F.when(F.col("_known"), F.col("parent")).alias("_up"))
-    ranked = cut(known.withColumn("_rank", F.row_number().over(by)).withColumn("last_sibling", F.lead("span").over(by).isNull()))
-    step = F.lpad(F.conv(F.col("_rank").cast("string"), 10, 36), 6, "0")
-    level = ranked.where("_up is null").withColumn("depth", F.lit(0)).withColumn("_path", step)
-    out, depth = level, 0
-    while True:
-        depth += 1
-        above = level.select(F.col("trace"), F.col("span").alias("_up"), F.col("_path").alias("_above"))
-        level = cut(ranked.where("_up is not null").join(above, ["trace", "_up"]).withColumn("depth", F.lit(depth)).withColumn("_path", F.concat("_above", step)).select(*out.columns))
-        if level.isEmpty():
-            break
-        if deepest is None and depth % 64 == 0:
-            deepest = ranked.groupBy("trace").agg(F.count_distinct("span").alias("n")).agg(F.max("n")).first()[0]
-        if deepest is not None and depth > deepest:
-            raise ValueError(f"spans below depth {deepest}: a cycle, or a deeper tree than was asked for")
-        out = out.unionByName(level)
-        if depth % 64 == 0:
-            out = cut(out)
-    drawn = out.withColumn("place", F.row_number().over(Window.partitionBy("trace").orderBy("_path"))).drop("_path", "_rank", "_up")
+    key = ["trace", "span"]
+    one = spans.withColumn("_first", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(start), "parent"))).where("_first = 1").drop("_first")
+    ids = one.select("trace", F.col("span").alias("parent"), F.lit(True).alias("_known"))
+    known = one.select(*key, "parent", F.col(start).alias("_start")).join(ids, ["trace", "parent"], "left")
+    nodes = cut(known.select(*key, "_start", F.when(F.col("_known"), F.col("parent")).alias("_up")))
+
+    def up(rows: DataFrame, **sums: str) -> DataFrame:
+        """All jump twice as far; columns of the one that is jumped to are added."""
+        far = rows.select("trace", F.col("span").alias("_jump"), F.col("_jump").alias("_next"), *[F.col(c).alias(f"_far_{c}") for c in sums])
+        both = rows.join(far, ["trace", "_jump"], "left")
+        return both.select(*key, F.col("_next").alias("_jump"), *[(F.col(c) + F.coalesce(f"_far_{c}", F.lit(0))).alias(c) for c in sums], *[c for c in rows.columns if c not in (*key, "_jump", *sums)])
+
+    def down(rows: DataFrame) -> DataFrame:
+        """All add their descendants' number, as far as it is known, to that of the span they jump to."""
+        told = rows.where("_jump is not null").groupBy("trace", F.col("_jump").alias("span")).agg(F.sum("_size").alias("_more"))
+        return rows.join(told, key, "left").withColumn("_size", F.col("_size") + F.coalesce("_more", F.lit(0))).drop("_more")
+
+    def settled(rows: DataFrame, step) -> DataFrame:
+        rows, reach, longest = cut(rows), 1, None
+        while not rows.where("_jump is not null").isEmpty():
+            if longest is None and reach >= 64:
+                longest = rows.groupBy("trace").count().agg(F.max("count")).first()[0]
+            if longest is not None and reach > longest:
+                raise ValueError("spans that are each other's parents: a cycle has no root")
+            rows, reach = cut(step(step(rows))), reach * 4
+        return rows
+
+    linked = nodes.select(*key, F.col("_up").alias("_jump"), F.when(F.col("_up").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.lit(1).cast("bigint").alias("_size"))
+    sized = settled(linked, lambda rows: up(down(rows), depth="")).select(*key, "depth", "_size")
+    siblings = Window.partitionBy("trace", "_up").orderBy("_start", "span")
+    before = F.coalesce(F.sum("_size").over(siblings.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = cut(nodes.join(sized, key).select(*key, F.col("_up").alias("_jump"), "depth", (before + 1).alias("_place"), F.lead("span").over(siblings).isNull().alias("last_sibling")))
+    placed = settled(offsets.select(*key, "_jump", "_place"), lambda rows: up(rows, _place="")).select(*key, F.col("_place").cast("int").alias("place"))
+    drawn = one.join(offsets.select(*key, F.col("depth").cast("int").alias("depth"), "last_sibling"), key).join(placed, key)
     if most is not None:
-        drawn = drawn.withColumn("more", F.greatest(F.lit(0), F.count("*").over(Window.partitionBy("trace")) - most)).where(F.col("place") <= most)
+        size = nodes.groupBy("trace").agg(F.count("*").alias("_all"))
+        drawn = drawn.where(F.col("place") <= most).join(size, "trace").withColumn("more", F.greatest(F.lit(0), F.col("_all") - most)).drop("_all")
     return drawn
 
 
