@@ -28,20 +28,49 @@ def nearest(left: DataFrame, right: DataFrame, on=("host", "pid"), time: str = "
     return out.select(*left.columns, F.col("_best._time").alias(f"{prefix}{time}"), *[F.col(f"_best._kept.{c}").alias(f"{prefix}{c}") for c in keep])
 
 
+#: Kinds of evidence of a process, from what has known it longest to what knows it least: a sweep, a sweep whose process is gone without a word, its exec, its end, and what is there now.
+EVIDENCE = ("sample", "unexplained", "exec", "ending", "live")
+
+
+def known_parents(children: DataFrame, evidence: DataFrame, keep=("pgid",), tolerance: float = TOLERANCE, kinds=EVIDENCE) -> DataFrame:
+    """``children`` (host, ppid, start, ...) with parent_kind, parent_start and parent_<keep>: their parents by the best kind of evidence.
+
+    Of evidence (host, pid, start, kind, ...) the first of ``kinds`` counts that there is for the parent's pid, and of that kind the greatest start that is no later than the child's, give or take the tolerance:
+    what took the number later is no parent. One union and one window by (host, pid), which holds the last of each kind; no pairs are made.
+    """
+    told = evidence.where(F.col("kind").isin(*kinds)).select("host", F.col("pid").alias("_pid"), F.col("start").alias("_t"), F.lit(0).alias("_ask"), F.struct(F.col("kind").alias("kind"), F.col("start").alias("start"), *keep).alias("_known"))
+    asked = children.withColumns({"_pid": F.col("ppid"), "_t": F.col("start") + tolerance, "_ask": F.lit(1)})
+    w = Window.partitionBy("host", "_pid").orderBy("_t", "_ask", "_known").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = [F.last(F.when(F.col("_known")["kind"] == k, F.col("_known")), True).over(w) for k in kinds]
+    both = asked.unionByName(told, allowMissingColumns=True).withColumn("_best", F.coalesce(*last))
+    return both.where("_ask = 1").select(*children.columns, F.col("_best.kind").alias("parent_kind"), F.col("_best.start").alias("parent_start"), *[F.col(f"_best.{c}").alias(f"parent_{c}") for c in keep])
+
+
 def described(exits: DataFrame, sampled: DataFrame, execs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """``exits`` (host, pid, start, comm, ppid, forked) with cmdline, unit and described_by: what each had been running.
 
-    First the sample of the process, then its exec; if it only forked and has its parent's name, what the parent was; else nothing but the sample's or exec's unit.
+    First the sample of the process, then its exec; if it only forked and has its parent's name, what the parent was: the last sample of the parent that began no later than the child, or else its exec, if that process
+    began when the child did, give or take the tolerance; else nothing but the sample's or exec's unit.
     """
     keep = ("cmdline", "unit")
     a = nearest(exits, sampled, tolerance=tolerance, keep=keep, prefix="s_")
     b = nearest(a, execs, tolerance=tolerance, keep=keep, prefix="e_")
-    parents = sampled.groupBy("host", F.col("pid").alias("ppid"), "comm").agg(F.max_by(F.struct("cmdline", "unit"), "start").alias("_parent"))
-    c = b.join(parents, ["host", "ppid", "comm"], "left")
-    parent = F.when(F.col("forked"), F.col("_parent"))
-    said = F.coalesce(F.nullif("s_cmdline", F.lit("")), F.nullif("e_cmdline", F.lit("")), F.nullif(parent["cmdline"], F.lit("")))
-    by = F.when(F.nullif("s_cmdline", F.lit("")).isNotNull(), "sample").when(F.nullif("e_cmdline", F.lit("")).isNotNull(), "exec").when(F.nullif(parent["cmdline"], F.lit("")).isNotNull(), "parent")
-    return c.select(*exits.columns, said.alias("cmdline"), F.coalesce("s_unit", "e_unit", parent["unit"]).alias("unit"), by.alias("described_by"))
+
+    def parents(children: DataFrame, rows: DataFrame, name: str, band: bool) -> DataFrame:
+        """By (host, ppid, comm), so one of another name in between hides none."""
+        told = rows.select("host", F.col("pid").alias("ppid"), "comm", F.col("start").alias("_t"), F.lit(0).alias("_ask"), F.struct("start", "cmdline", "unit").alias("_p"))
+        asked = children.withColumns({"_t": F.col("start") + tolerance, "_ask": F.lit(1)})
+        w = Window.partitionBy("host", "ppid", "comm").orderBy("_t", "_ask", "_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = asked.unionByName(told, allowMissingColumns=True).withColumn("_last", F.last("_p", True).over(w)).where("_ask = 1")
+        near = F.col("_last.start") >= F.col("start") - tolerance if band else F.lit(True)
+        return found.select(*children.columns, F.when(F.col("forked") & near, F.col("_last")).alias(name))
+
+    c = parents(parents(b, sampled, "_sampled", False), execs, "_called", True)
+    text = lambda x: F.nullif(x, F.lit(""))
+    parent = F.coalesce(text(F.col("_sampled.cmdline")), text(F.col("_called.cmdline")))
+    said = F.coalesce(text(F.col("s_cmdline")), text(F.col("e_cmdline")), parent)
+    by = F.when(text(F.col("s_cmdline")).isNotNull(), "sample").when(text(F.col("e_cmdline")).isNotNull(), "exec").when(parent.isNotNull(), "parent")
+    return c.select(*exits.columns, said.alias("cmdline"), F.coalesce("s_unit", "e_unit", "_sampled.unit", "_called.unit").alias("unit"), by.alias("described_by"))
 
 
 def vanished(sampled: DataFrame, exits: DataFrame, sweeps: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

@@ -187,8 +187,8 @@ SELECT host, unit, ts, CAST(sum(greatest(v - CASE WHEN bt = earlier THEN b ELSE
 SELECT l_orderkey, round(v, 10) AS rate, CASE WHEN c > 0 THEN round(100.0::DOUBLE * d / c, 10) END AS pct, CASE WHEN v IS NULL THEN 100.0 ELSE round(least(v / 10, 100), 10) END AS util, round(v / 1000, 10) AS queue, round(CASE WHEN c > d THEN (a - b) / (c - d) ELSE 0 END, 10) AS await, CASE WHEN s > 0 THEN round(least(greatest(CASE WHEN l_orderkey % 3 = 0 THEN b - a ELSE a - b END, 0) / s / 10000, 100), 10) END AS stall, CASE WHEN s > 0 AND (l_orderkey % 3 > 0 OR a = b) THEN round((a - b) / s / 10000, 10) END AS stall_rate, round(v / 1e6, 10) AS watts, round(swap, 10) AS swap, CASE WHEN c + d > 0 THEN round(100.0::DOUBLE * a / (c + d), 10) END AS committed, round(CASE WHEN a > 0 THEN 100.0::DOUBLE * (a - d) / a END, 10) AS disk, (a // 30 + 1) * 30 AS tick FROM r""",
     "exit_band_join": _E + ", a AS (SELECT * FROM e WHERE id % 2 = 0), t AS (SELECT * FROM e WHERE id % 2 = 1) SELECT id, v AS near_id FROM " + _NEAR.format(a="a", t="t", b="x.id", tol="86400"),
     "describe_priority": _E + ", o AS (SELECT host, pid, start, id, CASE WHEN id % 5 > 0 THEN 'run ' || id END AS cmdline, 'c' || (pid % 3) AS comm FROM e), a AS (SELECT * FROM e WHERE id % 3 = 0), s AS (SELECT * FROM o WHERE id % 3 = 1), t AS (SELECT * FROM o WHERE id % 3 = 2), "
-    + "p AS (SELECT host, pid, comm, arg_max({'c': cmdline}, start) AS st FROM s GROUP BY ALL), n1 AS " + _NEAR.format(a="a", t="s", b="{'c': x.cmdline}", tol="43200") + ", n2 AS " + _NEAR.format(a="a", t="t", b="{'c': x.cmdline}", tol="43200")
-    + ", j AS (SELECT a.id, n1.v.c AS x, n2.v.c AS y, CASE WHEN a.id % 2 = 0 THEN p.st.c END AS z FROM a JOIN n1 USING (id) JOIN n2 USING (id) LEFT JOIN p ON p.host = a.host AND p.pid = (a.pid + 3) % 500 AND p.comm = 'c' || (a.pid % 3)) SELECT id, coalesce(x, y, z) AS cmdline, CASE WHEN x IS NOT NULL THEN 'sample' WHEN y IS NOT NULL THEN 'exec' WHEN z IS NOT NULL THEN 'parent' END AS described_by FROM j",
+    + "p AS (SELECT a.id, arg_max({'c': s.cmdline}, s.start) AS st FROM a JOIN s ON s.host = a.host AND s.pid = (a.pid + 3) % 500 AND s.comm = 'c' || (a.pid % 3) AND s.start <= a.start + 43200 GROUP BY a.id), p2 AS (SELECT a.id, arg_max({'c': t.cmdline, 's': t.start}, t.start) AS st FROM a JOIN t ON t.host = a.host AND t.pid = (a.pid + 3) % 500 AND t.comm = 'c' || (a.pid % 3) AND t.start <= a.start + 43200 GROUP BY a.id), n1 AS " + _NEAR.format(a="a", t="s", b="{'c': x.cmdline}", tol="43200") + ", n2 AS " + _NEAR.format(a="a", t="t", b="{'c': x.cmdline}", tol="43200")
+    + ", j AS (SELECT a.id, n1.v.c AS x, n2.v.c AS y, CASE WHEN a.id % 2 = 0 THEN coalesce(p.st.c, CASE WHEN p2.st.s >= a.start - 43200 THEN p2.st.c END) END AS z FROM a JOIN n1 USING (id) JOIN n2 USING (id) LEFT JOIN p ON p.id = a.id LEFT JOIN p2 ON p2.id = a.id) SELECT id, coalesce(x, y, z) AS cmdline, CASE WHEN x IS NOT NULL THEN 'sample' WHEN y IS NOT NULL THEN 'exec' WHEN z IS NOT NULL THEN 'parent' END AS described_by FROM j",
     "vanished_antijoin": _E + ", f AS (SELECT *, CAST(floor(start / 86400) AS BIGINT) AS day FROM e), w AS (SELECT host, day, lead(day, 2) OVER (PARTITION BY host ORDER BY day) AS noticed FROM (SELECT DISTINCT host, day FROM f)) SELECT f.host, f.id, f.day AS last_seen, noticed FROM f JOIN w USING (host, day) WHERE f.id % 4 = 0 AND noticed IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e x WHERE x.id % 4 <> 0 AND x.host = f.host AND x.pid = f.pid AND abs(x.start - f.start) <= 3600)",
     "thread_merge": _MERGED + "SELECT tgid, threads, d AS user_us, 5 * d AS read_bytes, 16 * peak AS peak_rss_kb, comm, forked, exit_status, round(el, 6) AS elapsed_seconds, round(fin - el, 6) AS start_epoch FROM m".replace("5 * d AS read_bytes", f"{threads.SUMS.index('read_bytes') + 1} * d AS read_bytes").replace("16 * peak", f"{len(threads.SUMS) + 1} * peak"),
     "exit_records": _MERGED + f", c AS (SELECT *, greatest(d / 1e6, tgid / 1e5) + 2 * d / 1e6 AS cpu FROM m) SELECT tgid AS pid, CAST(trunc(fin * 1e6) AS BIGINT) AS ts_us, CASE WHEN exit_status = 0 THEN 'info' ELSE 'notice' END AS level, CAST(exit_status // 256 AS VARCHAR) AS status, round((fin - el) * 1e6) / 1e6 AS started, round(el * 1e6) / 1e6 AS elapsed_seconds, round(cpu * 1e6) / 1e6 AS cpu_seconds, CASE WHEN el > 0 THEN round(1000.0::DOUBLE * cpu / el) / 10 END AS cpu_pct, {len(threads.SUMS) + 1} * peak * 1024 AS peak_rss_bytes FROM c",

@@ -14,7 +14,7 @@ from ..sources import captures
 from ..sources.model import table
 
 #: Names that stand for numbers of an order in the templates below; the same expressions are valid in SQL.
-NUMBERS = {"k": "o_orderkey", "c": "o_custkey", "h": "o_orderkey % 4", "k7": "o_orderkey % 7", "c9": "o_custkey % 9", "k2": "o_orderkey * 2", "k3": "o_orderkey * 3", "k4": "o_orderkey * 4", "c2": "o_custkey * 2", "c3": "o_custkey * 3", "ck": "o_custkey + o_orderkey"}
+NUMBERS = {"k": "o_orderkey", "c": "o_custkey", "h": "o_orderkey % 4", "k7": "o_orderkey % 7", "c9": "o_custkey % 9", "k2": "o_orderkey * 2", "k3": "o_orderkey * 3", "k4": "o_orderkey * 4", "c2": "o_custkey * 2", "c3": "o_custkey * 3", "ck": "o_custkey + o_orderkey", "fl": "CASE WHEN o_orderkey % 5 = 0 THEN 2097152 ELSE 0 END"}
 
 
 def _text(template: str):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.threads import PEAKS, SUMS
@@ -104,3 +106,54 @@ def rocksdb(spark: SparkSession):
 def run_once(stream: DataFrame, write, checkpoint: str, mode: str = "append"):
     """All that is there now, in bounded batches, to ``write(rows, batch)``; then it ends. The next run goes on from the checkpoint."""
     return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def bounded(write, most: int, note=None, queue: str = "exits", host: str | None = None):
+    """For ``foreachBatch``: of each partition of a batch the first ``most`` rows go to ``write(rows, batch)``; the rest is lost, and how many were is told.
+
+    A partition is a queue of its own with room for so many. What came and what was kept is observed while the rows are written (no second pass, no shuffle), and ``note(samples, batch)`` gets a row of samples with the number of those lost.
+    The returned function has the totals of all batches so far in ``lost``.
+    """
+
+    def take(rows: DataFrame, batch: int) -> None:
+        seen = Observation(f"queue-{queue}-{batch}-{uuid.uuid4().hex}")
+        # the number of a row within its partition is in the lower 33 bits
+        kept = F.col("_place").bitwiseAND((1 << 33) - 1) < most
+        counted = rows.withColumn("_place", F.monotonically_increasing_id()).observe(seen, F.count(F.lit(1)).alias("came"), F.count_if(kept).alias("kept"), F.count_if(F.col("_place").isNull()).alias("none"))
+        write(counted.where(kept).drop("_place"), batch)
+        lost = seen.get["came"] - seen.get["kept"]
+        take.lost += lost
+        take.came += seen.get["came"]
+        if note is not None:
+            labels = F.create_map(F.lit("queue"), F.lit(queue))
+            note(rows.sparkSession.range(1).select(F.lit("acct_lost").alias("name"), F.lit(host).cast("string").alias("host"), labels.alias("labels"), F.unix_timestamp().alias("ts"), F.lit(float(lost)).alias("value")), batch)
+
+    take.lost = take.came = 0
+    return take
+
+
+class Counted(StreamingQueryListener):
+    """Totals of what named observations of streaming queries counted: ``stream.observe(name, ...)`` before the sink. They are there when the batch's progress is reported."""
+
+    def __init__(self):
+        self.totals: dict[str, dict[str, int]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in (event.progress.observedMetrics or {}).items():
+            held = self.totals.setdefault(name, {})
+            for key, n in row.asDict().items():
+                held[key] = held.get(key, 0) + (n or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def samples(self, spark: SparkSession, ts: int, host: str) -> DataFrame:
+        """The totals as samples: name is the counted thing, the observation is a label."""
+        rows = [(key, host, {"observed": name}, ts, float(n)) for name, held in sorted(self.totals.items()) for key, n in sorted(held.items())]
+        return spark.createDataFrame(rows, "name string, host string, labels map<string,string>, ts bigint, value double")
