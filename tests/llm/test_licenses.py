@@ -78,3 +78,39 @@ def test_rows_by_themselves(spark):
     mit = "Words. " * 3 + ". ".join(SENTENCES[k].rstrip(":") for k in keys) + "."
     rows = [(None, mit, "s"), (None, mit, "s"), (1, mit, "s"), (1, mit, "s"), (2, SENTENCES["mit-grant"], "s"), (2, "x. " + ". ".join(SENTENCES[k] for k in keys[1:]), "s")]
     assert scan(spark, rows) == {(None, "mit-text"): 2, (1, "mit-text"): 2}
+
+
+def test_expressions(spark):
+    """Identifiers in expressions; notices by their terms, and notices that go on."""
+    lines = {
+        "MIT OR Apache-2.0": {"MIT", "Apache-2.0"}, "(MIT AND BSD-3-Clause)": {"MIT", "BSD-3-Clause"}, "GPL-2.0-only WITH Classpath-exception-2.0": {"GPL-2.0-only"}, "((GPL-2.0+ WITH MIT) OR mit) AND ISC */": {"GPL-2.0-or-later", "MIT", "ISC"},
+        "Apache-2.0+": {"Apache-2.0"}, "GPL-3.0": {"GPL-3.0-only"}, "MIT.": {"MIT"}, "LicenseRef-Own OR nothing": set(), "": set(),
+    }
+    rows = [(k, f"// SPDX-License-Identifier: {line}\nint x; // MIT, ISC", "s") for k, line in enumerate(lines)]
+    rows += [(50, "Licensed under the MIT License, see LICENSE.", "s"), (51, "It is so. Licensed under the terms of the MIT license.", "s"), (52, "Released under the terms and conditions of the ISC License which is in COPYING", "s"), (53, "Released under the MIT License and more", "s")]
+    got = {}
+    for r in scan_licenses(frame(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+        assert r.n_found == 1
+    assert got == {**{k: v for k, v in enumerate(lines.values()) if v}, 50: {"MIT"}, 51: {"MIT"}, 52: {"ISC"}}
+
+
+def test_sql_has_the_same_rules(spark):
+    """Documents of notices, expressions and texts, each sentence on a line of its own, by the SQL too."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from tidemark.llm.licenses import oracle
+
+    rng, docs = random.Random(7), []
+    pieces = list(SENTENCES.values()) + [f"{b} {name}" for b in BEGIN for names in NAMES.values() for name in names] + [f"# SPDX-License-Identifier: {a} {j} {b}" for a in NAMES for j, b in (("OR", "MIT"), ("WITH", "ISC"), ("AND", "(GPL-2.0+ OR 0BSD)"))]
+    pieces += ["words of no licence", "Licensed under the MIT License, see LICENSE", "Released under the terms of the ISC License"]
+    for i in range(300):
+        docs.append((i, "\n".join(rng.choice(pieces) + "." for _ in range(rng.randrange(8))), "s"))
+    documents = pd.DataFrame([(i, t) for i, t, _ in docs], columns=["doc_id", "text"])
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = sorted(con.execute(f"SELECT doc_id, rule, license, n_found FROM ({oracle()})").fetchall())
+    assert sorted(map(tuple, scan_licenses(frame(spark, docs)).select("doc_id", "rule", "license", "n_found").collect())) == want and len(want) > 500

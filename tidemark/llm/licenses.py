@@ -96,8 +96,19 @@ NAMES = {
 BEGIN = ("Licensed under", "Released under", "Distributed under", "Available under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This file is licensed under", "This code is released under")
 #: A sentence ends at a line's end, or at . ! ? ; or : before white space.
 END = "[.!?;:]+[\\x20\\x09-\\x0D]+|[\\x0A-\\x0D]+"
-#: The line that names a licence by its identifier; its colon ends no sentence.
+#: A notice ends with the licence's name, or goes on with one of these words, such as "see LICENSE".
+ON = ("see", "which", "as", "in", "that", "with", "for", "available", "found", "and is")
+#: What stands before an expression of licences' identifiers: these, AND, OR, WITH an exception, brackets, and + for later versions.
 SPDX = "spdx-license-identifier"
+_LATER = "+"
+
+
+def identifiers() -> dict[str, str]:
+    """What stands in such expressions -> the licence: identifiers in small letters, with a plus where later versions are meant; and GNU ones as they were before "only"."""
+    known = {key.lower(): key for key in NAMES}
+    old = {key.lower().removesuffix("-only"): key for key in NAMES if key.endswith("-only")}
+    plain = known | old
+    return plain | {f"{k}{_LATER}": known.get(f"{k}-or-later", v) for k, v in plain.items()}
 
 
 def normal(sentence: str) -> str:
@@ -119,7 +130,7 @@ def all_rules() -> tuple:
 def known_sentences(sentences=None) -> list[tuple[str, str]]:
     """(normalised part, identifier) of each known sentence; one that END cuts gives parts id, id+1, id+2 and so on.
 
-    Where no others are given, the names of licences too, after NOTICE in the place of how a notice begins; and SPDX lines. All of one licence have one identifier.
+    Where no others are given, the names of licences too, after NOTICE in the place of how a notice begins. All of one licence have one identifier.
     """
     import re
 
@@ -128,7 +139,7 @@ def known_sentences(sentences=None) -> list[tuple[str, str]]:
         parts = [normal(p) for p in re.split(END, text) if normal(p)]
         out += [(p, key if k == 0 else f"{key}+{k}") for k, p in enumerate(parts)]
     if sentences is None:
-        out += [(NOTICE + normal(name), f"notice:{key}") for key, names in NAMES.items() for name in names] + [(normal(f"{SPDX} {key}"), f"notice:{key}") for key in NAMES]
+        out += [(NOTICE + normal(name), f"notice:{key}") for key, names in NAMES.items() for name in names]
     # the same sentence under two names keeps the first
     return list({p: (p, i) for p, i in reversed(out)}.values())
 
@@ -142,7 +153,7 @@ def _rule_ids(ids, sentences=None) -> list[str]:
 
 
 def _begins(space: str) -> str:
-    return "(?:" + "|".join(normal(b).replace(" ", space) for b in sorted(BEGIN, key=len, reverse=True)) + f")(?:{space}the)?{space}"
+    return "(?:" + "|".join(normal(b).replace(" ", space) for b in sorted(BEGIN, key=len, reverse=True)) + f")(?:{space}the{space}terms(?:{space}and{space}conditions)?{space}of)?(?:{space}the)?{space}"
 
 
 def _any(texts) -> str:
@@ -158,9 +169,10 @@ def _matcher(sentences=None) -> str:
             words = p.split(" ")
             heads.setdefault("[ B]".join(words[:2]), []).append(" ".join(["", *words[2:]]))
     each = [h + _any(rest) for h, rest in heads.items()]
+    whole = "(?:" + "|".join(each) + ")(?=[AB])"
     if names := [p[len(NOTICE) :] for p in parts if p.startswith(NOTICE)]:
-        each.append(_begins("[ B]") + _any(names))
-    return "[AB](" + "|".join(each) + ")(?=[AB])"
+        whole += "|" + _begins("[ B]") + _any(names) + "(?=[AB]| (?:" + "|".join(ON) + ")[ AB])"
+    return "[AB](" + whole + ")"
 
 
 def _marks(sentences=None, rules=RULES) -> list[str]:
@@ -183,7 +195,7 @@ def _flat(text):
 
     What is neither letter nor digit goes, and with it comment leaders; one that begins a line ends no sentence, whatever its signs, and a line of nothing else is blank.
     """
-    low = F.regexp_replace(F.replace(F.lower(text), F.lit(SPDX + ":"), F.lit(SPDX + " ")), "(?<=[\\x0A-\\x0D])[\\x20\\x09]*(?:@?rem|dnl)(?=[\\x20\\x09\\x0A-\\x0D])", "")
+    low = F.regexp_replace(F.lower(text), "(?<=[\\x0A-\\x0D])[\\x20\\x09]*(?:@?rem|dnl)(?=[\\x20\\x09\\x0A-\\x0D])", "")
     # each run of other characters is tried once, from its beginning
     line, noise = "(?>\\x0D\\x0A|[\\x0A-\\x0D])", "[^a-z0-9\\x0A-\\x0D]*"
     hard = F.regexp_replace(low, f"(?<![^a-z0-9])(?:{noise}[.!?;:][\\x20\\x09-\\x0D]|{noise}+{line}{noise}+{line})[^a-z0-9]*+", "A")
@@ -199,6 +211,9 @@ def scan_licenses(docs: DataFrame, sentences=None, rules=None) -> DataFrame:
     What is not known leaves no identifier, so other lines may stand between the sentences of a rule. The identifiers
     of a row, in order, are matched against each rule; a rule that only repeats part of a longer one counts by itself.
 
+    Lines with SPDX-License-Identifier count for the notice of each licence that their expression names, however it is joined with AND, OR and brackets; an exception after WITH is no licence, and a plus means the
+    licence with later versions, where it has an identifier of its own.
+
     Null, empty and unlicensed texts give no row. Each row is matched by itself; the findings of rows that repeat a doc_id,
     or have none, add up. Other columns are ignored.
     """
@@ -206,17 +221,28 @@ def scan_licenses(docs: DataFrame, sentences=None, rules=None) -> DataFrame:
     table_of_rules = rules or (all_rules() if sentences is None else RULES)
     low = F.lower("text")
     marked = docs.where(reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in _marks(sentences, rules or RULES)] + ([low.rlike(_NOTICE_LIKE)] if sentences is None else [])))
-    found = marked.select("doc_id", F.regexp_extract_all(_flat(F.col("text")), F.lit(_matcher(sentences)), F.lit(1)).alias("_found")).where(F.size("_found") > 0)
-    plain = found.withColumn("_found", F.transform("_found", lambda x: F.replace(x, F.lit("B"), F.lit(" "))))
-    runs = plain.select("doc_id", F.transform("_found", lambda x: F.coalesce(names[x], names[F.regexp_replace(x, "^" + _begins(" "), NOTICE)])).alias("_run"))
-    text = F.concat(F.lit("|"), F.array_join("_run", "|"), F.lit("|"))
-    table = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(lic).alias("license"), F.lit("|" + "|".join(_rule_ids(ids, sentences)) + "|").alias("ids")) for n, lic, ids in table_of_rules])
-    each = runs.select("doc_id", text.alias("_text"), F.explode(table).alias("_r"))
+    marked = marked.select("doc_id", F.regexp_extract_all(_flat(F.col("text")), F.lit(_matcher(sentences)), F.lit(1)).alias("_found"), (_expressions("text") if sentences is None else F.array().cast("array<string>")).alias("_spdx"))
+    plain = marked.where((F.size("_found") > 0) | (F.size("_spdx") > 0)).withColumn("_found", F.transform("_found", lambda x: F.replace(x, F.lit("B"), F.lit(" "))))
+    run = F.transform("_found", lambda x: F.coalesce(names[x], names[F.regexp_replace(x, "^" + _begins(" "), NOTICE)]))
     # identifiers share their bars, so bars are doubled for counting
-    wide = F.replace(F.col("_text"), F.lit("|"), F.lit("||"))
-    ids = F.concat(F.lit("|"), F.replace(F.expr("substring(_r.ids, 2, length(_r.ids) - 2)"), F.lit("|"), F.lit("||")), F.lit("|"))
-    n = ((F.length(wide) - F.length(F.replace(wide, ids, F.lit("")))) / F.length(ids)).cast("long")
-    return each.select("doc_id", F.col("_r.rule").alias("rule"), F.col("_r.license").alias("license"), n.alias("_n")).where("_n > 0").groupBy("doc_id", "rule", "license").agg(F.sum("_n").alias("n_found"))
+    runs = plain.select("doc_id", "_spdx", F.concat(F.lit("||"), F.array_join(run, "||"), F.lit("||")).alias("_run"))
+    table = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(lic).alias("license"), F.lit("|" + "||".join(_rule_ids(ids, sentences)) + "|").alias("ids")) for n, lic, ids in table_of_rules])
+    times = lambda ids: ((F.length("_run") - F.length(F.replace(F.col("_run"), ids, F.lit("")))) / F.length(ids)).cast("long")
+    by_rule = F.filter(F.transform(table, lambda r: F.struct(r["rule"].alias("rule"), r["license"].alias("license"), times(r["ids"]).alias("n"))), lambda r: r["n"] > 0)
+    by_name = F.transform("_spdx", lambda x: F.struct(F.concat(F.lit("notice-of-"), F.lower(x)).alias("rule"), x.alias("license"), F.lit(1).cast("long").alias("n")))
+    each = runs.select("doc_id", F.explode(F.concat(by_rule, by_name)).alias("_r"))
+    return each.groupBy("doc_id", F.col("_r.rule").alias("rule"), F.col("_r.license").alias("license")).agg(F.sum("_r.n").alias("n_found"))
+
+
+def _expressions(text) -> Column:
+    """The licences that the lines with identifiers name, one after the other: exceptions after WITH are none, words that are no identifier neither."""
+    said = F.transform(F.regexp_extract_all(F.lower(text), F.lit(SPDX + ":([^\\x0A\\x0D]*)"), F.lit(1)), lambda x: F.regexp_replace(x, _EXCEPTION, " "))
+    known = F.create_map(*[F.lit(x) for pair in identifiers().items() for x in pair])
+    words = F.flatten(F.transform(said, lambda x: F.regexp_extract_all(x, F.lit(_WORD), F.lit(0))))
+    return F.array_compact(F.transform(words, lambda w: known[w]))
+
+
+_EXCEPTION, _WORD = "[\\x20\\x09(]with[\\x20\\x09]+[a-z0-9.-]+", "[a-z0-9]+(?:[.-][a-z0-9]+)*[+]?"
 
 
 def _q(text: str) -> str:
@@ -228,11 +254,15 @@ def oracle() -> str:
     rules = ", ".join(f"({_q(n)}, {_q(lic)}, {_q('|' + '||'.join(_rule_ids(ids)) + '|')})" for n, lic, ids in all_rules())
     return f"""
 WITH k(sentence, id) AS (VALUES {known}), r(rule, license, ids) AS (VALUES {rules}),
-p AS (SELECT doc_id, string_split_regex(replace(lower(text), '{SPDX}:', '{SPDX} '), '{END}') AS parts FROM documents),
+p AS (SELECT doc_id, string_split_regex(lower(text), '{END}') AS parts FROM documents),
 l AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM p),
 m AS (SELECT doc_id, pos, trim(regexp_replace(line, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM l),
-i AS (SELECT doc_id, pos, coalesce(a.id, b.id) AS id FROM m LEFT JOIN k a ON a.sentence = m.sentence LEFT JOIN k b ON b.sentence = regexp_replace(m.sentence, '^{_begins(" ")}', '{NOTICE}')),
-f AS (SELECT doc_id, '||' || string_agg(id, '||' ORDER BY pos) || '||' AS run FROM i WHERE id IS NOT NULL GROUP BY doc_id)
-SELECT doc_id, rule, license, ((length(run) - length(replace(run, ids, ''))) // length(ids))::BIGINT AS n_found
-FROM f, r WHERE contains(run, ids)
+g AS (SELECT *, regexp_replace(sentence, '^({_begins(" ")}.*?) (?:{"|".join(ON)})(?: .*)?$', '\\1') AS base FROM m),
+i AS (SELECT doc_id, pos, coalesce(a.id, CASE WHEN b.id IS NOT NULL THEN c.id END, b.id) AS id FROM g LEFT JOIN k a ON a.sentence = g.sentence LEFT JOIN k b ON b.sentence = regexp_replace(base, '^{_begins(" ")}', '{NOTICE}') LEFT JOIN k c ON c.sentence = base),
+f AS (SELECT doc_id, '||' || string_agg(id, '||' ORDER BY pos) || '||' AS run FROM i WHERE id IS NOT NULL GROUP BY doc_id),
+s(word, license) AS (VALUES {", ".join(f"({_q(k)}, {_q(v)})" for k, v in identifiers().items())}),
+e AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{SPDX}:([^\x0A\x0D]*)', 1)) AS said FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(said, '{_EXCEPTION}', ' ', 'g'), '{_WORD}')) AS word FROM e),
+u AS (SELECT doc_id, rule, license, (length(run) - length(replace(run, ids, ''))) // length(ids) AS n FROM f, r WHERE contains(run, ids) UNION ALL SELECT doc_id, 'notice-of-' || lower(license), license, 1 FROM w JOIN s USING (word))
+SELECT doc_id, rule, license, sum(n)::BIGINT AS n_found FROM u GROUP BY ALL
 """
