@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import duckdb
@@ -110,6 +111,27 @@ def test_forms_beyond_the_patterns():
         assert all_spans(default_model(), [text])[0] == ([], [])
 
 
+def test_harmless_numbers_and_forms_that_the_generator_does_not_know():
+    harmless = [
+        "ISBN 978-3-16-148410-0 of the book", "see ISBN 0-306-40615-2 there", "order 4711-0815-2024 was sent", "invoice 2024-001-123456 is due", "his number is 078-05-1120 so", "it cost 123.456.789 in all", "part 112-98-77-45 is out", "from 2024-01-02 to 2024-03-04", "at 48.858370, 2.294481 on the map",
+        "account DE89 3704 0044 0532 0130 00 there", "the range 100-200-300 and 1000-2000", "case no. 19-cv-01234-567", "serial 555-12345-678", "pages 123-130, 145-167 and 201-210", "order no. 0471-1234567-89 of 2023", "item 0123456789012 in stock", "UUID 550e8400-e29b-41d4-a716-446655440000", "code 3.14159265358979",
+    ]
+    assert [h for h, (base, spans) in zip(harmless, all_spans(default_model(), harmless)) if spans != base] == []
+    forms = [
+        ("call me at (415) 555-0132 please", "phone"), ("call 415-555-0132 now", "phone"), ("ring 415.555.0132 today", "phone"), ("tel 030/1234567890", "phone"), ("0033 1 42 68 53 00 is hers", "phone"), ("jane(at)mail(dot)org", "email"), ("jane [at] mail [dot] net", "email"), ("bob AT mail DOT de", "email"),
+        ("ip 10[.]1[.]2[.]3 seen", "ip"), ("ip 192 . 168 . 0 . 1 seen", "ip"), ("card 4111_1111_1111_1111 used", "card"), ("card 4111 - 1111 - 1111 - 1111", "card"), ("card 4111.1111.1111.1111 used", "card"), ("mobile (0171) 234 5678", "phone"),
+    ]
+    found = [any(k == kind for k, *_ in spans) for (_, kind), (_, spans) in zip(forms, all_spans(default_model(), [t for t, _ in forms]))]
+    assert sum(found) >= 12
+
+
+def test_a_model_that_is_stored(spark, tmp_path):
+    pii.save_model(spark, default_model(), str(tmp_path / "model"))
+    again = pii.load_model(spark, str(tmp_path / "model"))
+    texts = ["call (826) 555-7388 today", "write to jane at mailer dot org about it", "4539.5787.6362.1486"]
+    assert all_spans(again, texts) == all_spans(default_model(), texts)
+
+
 def test_base_of_a_table_in_sql(spark):
     """Counts of the four base kinds, the second time by DuckDB."""
     path = TEXTS.replace("sf0.001", "sf0.01")
@@ -126,6 +148,16 @@ def test_base_of_a_table_in_sql(spark):
     assert all(r.n_spans >= r.n_email + r.n_ip + r.n_card + r.n_phone for r in got)
 
 
+def test_positions_and_digests_of_a_table(spark):
+    """By the patterns as they stand, over whole texts."""
+    docs = spark.read.parquet(TEXTS)
+    got = {r.doc_id: r for r in find_personal_data(docs).collect()}
+    for r in docs.collect():
+        base = [(k, *m.span()) for k in KINDS for m in pii.PATTERNS[k].finditer(r.text or "") if pii.valid(k, m[0])]
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(said.encode()).hexdigest() and {x for x in said.split(",") if x} <= set(got[r.doc_id].spans.split(","))
+
+
 def test_odd_rows(spark):
     rows = [*odd_rows(), (9, "a" * 5000 + " me@example.org " + "b" * 5000, "a")]
     got = find_personal_data(frame(spark, rows, clashing=True)).collect()

@@ -7,7 +7,7 @@ import hashlib
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map
 
@@ -69,8 +69,12 @@ def plausible(kind: str, text: str) -> bool:
     if kind == "ip":
         return all(int(n) <= 255 for n in re.findall("[0-9]+", text))
     digits = re.sub("[^0-9]", "", text)
-    # a bare run of digits is no phone, but a number with a prefix or in groups
-    return 9 <= len(digits) <= 15 and digits != text if kind == "phone" else 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    # a bare run of digits is no phone, nor are groups of any sizes, but a number with a prefix, with an area code in brackets or after a 0, or in groups of 3, 3 and 4
+    groups, head = [len(g) for g in re.findall("[0-9]+", text)], text.lstrip()
+    area = head.startswith(("+", "(", "00")) or (head[0] == "0" and len(digits) >= 10 and head.lstrip("0123456789")[:1] in ("/", " "))
+    return 9 <= len(digits) <= 15 and digits != text and (area or groups == [3, 3, 4])
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -320,6 +324,20 @@ def default_model(examples: int = EXAMPLES, rounds: int = ROUNDS) -> Tagger:
     return _MODELS[examples, rounds]
 
 
+def save_model(spark: SparkSession, model: Tagger, path: str) -> None:
+    """Writes the model as a table of its arrays, for load_model: so that it is learned once and not in each driver."""
+    rows = [(k, list(v.shape), v.astype(np.float64).reshape(-1).tolist()) for k, v in sorted(model.p.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, numbers array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Tagger:
+    """What save_model wrote; a dozen rows, as large as the model."""
+    model = Tagger(0)
+    model.p = {r["name"]: np.array(r["numbers"], np.float32).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+    model.hidden = len(model.p["Rf"])
+    return model
+
+
 def model_spans(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """Spans by the model: windows are decoded, and each character takes its tag from the window in whose middle it lies most.
 
