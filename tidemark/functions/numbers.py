@@ -122,6 +122,17 @@ def filesystem_pct(blocks, free, available) -> Column:
     return percent(used, used + _c(available))
 
 
+def inodes_pct(inodes, free) -> Column:
+    """Null on filesystems that don't count them."""
+    return percent(_c(inodes) - _c(free), inodes)
+
+
+def hugepages(total, free) -> dict[str, Column]:
+    """Both null on a host that has set none aside."""
+    some = _c(total) > 0
+    return {"total": F.when(some & _c(free).isNotNull(), _c(total)), "free": F.when(some, _c(free))}
+
+
 def bucket(ts, width: int) -> Column:
     """The start of the epoch-aligned interval that holds ts."""
     return (F.floor(_c(ts) / width) * width).cast("bigint")

@@ -83,3 +83,15 @@ def is_whole_disk(name) -> Column:
     """Not a loop or memory device, nor a partition."""
     n = _c(name)
     return ~n.rlike("^(loop|ram|zram)[0-9]") & ~n.rlike("^(sd|hd|vd|xvd)[a-z]+[0-9]+$") & ~n.rlike("^(nvme[0-9]+n[0-9]+|mmcblk[0-9]+)p[0-9]+$")
+
+
+def is_counted_interface(name, excluded=("lo",)) -> Column:
+    """Whether a host's network totals count an interface: all but those that are named, by their whole name."""
+    return ~_c(name).isin(*excluded)
+
+
+def interface_totals(readings: DataFrame, by=("host",), time: str = "ts", columns=("rx_bytes", "tx_bytes"), excluded=("lo",)) -> DataFrame:
+    """by, time and for each counter the sum of all interfaces' rates; an interface's first reading, and a counter that went back, add nothing, and there is no figure where none was left."""
+    counted = previous(readings.where(is_counted_interface("iface", excluded)), (*by, "iface"), [time], [time, *columns])
+    seconds = F.col(time) - F.col(f"before_{time}")
+    return counted.where(F.col(f"before_{time}").isNotNull()).groupBy(*by, time).agg(*[F.sum(rate(c, f"before_{c}", seconds)).alias(c) for c in columns])

@@ -126,3 +126,14 @@ def spans_of(records: DataFrame, identities: DataFrame) -> DataFrame:
 
     joined = records.join(identities, ["host", "pid", "start_us"])
     return joined.select("trace_id", "span_id", "parent_span_id", F.col("service").alias("name"), F.concat_ws("/", "host", F.coalesce("unit", F.lit("-"))).alias("service"), "unit", span_status("status").alias("status"), span_ending("status").alias("ending"), (F.col("start_us") * 1000).alias("start_ns"), F.round(F.col("elapsed_seconds") * 1e9).cast("bigint").alias("duration_ns"))
+
+
+#: What a record says beyond the kernel's numbers -> the column that has it.
+KNOWN = {"path": "exe", "cmdline": "cmdline", "started_as": "started_as", "unit": "unit"}
+
+
+def with_known(records: DataFrame, known: DataFrame, on=("host", "pid", "started")) -> DataFrame:
+    """Records with what was learned of their processes, each field only where it is not empty; without any of it a record stays as it is."""
+    learned = known.select(*on, *[F.nullif(F.col(c), F.lit("")).alias(f"_{k}") for k, c in KNOWN.items()]).dropDuplicates(list(on))
+    own = {k: F.coalesce(F.col(k), F.col(f"_{k}")) if k in records.columns else F.col(f"_{k}") for k in KNOWN}
+    return records.join(learned, list(on), "left").withColumns(own).drop(*[f"_{k}" for k in KNOWN])

@@ -115,3 +115,13 @@ def running_jobs(processes: DataFrame, now: float, max_age: float) -> DataFrame:
     first = F.struct("start_s", "pid")
     found = processes.groupBy("pgid").agg(F.coalesce(leader, F.min("start_s")).alias("started"), F.count("*").alias("processes"), F.sum("cpu_seconds").alias("cpu"), F.min_by("unit", first).alias("unit"), F.min_by("comm", first).alias("command"))
     return found.where((F.lit(now) - F.col("started") <= max_age) & (F.col("processes") >= 2))
+
+
+def jobs_now(processes: DataFrame, spans: DataFrame, now: float, max_age: float, live: bool = True, **reach) -> DataFrame:
+    """Jobs that run, the newest first, and then those that have ended, in their order: place, running and what both have. At any other moment than now (``live`` false) only what has ended."""
+    ended = jobs(spans, **reach).select(F.lit(False).alias("running"), F.col("trace").cast("string").alias("job"), "started", "processes", "cpu", "unit", "command")
+    if live:
+        runs = running_jobs(processes, now, max_age).select(F.lit(True).alias("running"), F.col("pgid").cast("string").alias("job"), "started", "processes", "cpu", "unit", "command")
+        ended = runs.unionByName(ended)
+    order = [F.col("running").desc(), F.col("started").desc(), F.col("job").desc()]
+    return ended.orderBy(*order)
