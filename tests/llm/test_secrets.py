@@ -17,6 +17,16 @@ def test_held_out_findings(spark):
     assert np.mean([r.label == r.prediction for r in got]) > 0.95
 
 
+def test_a_session_in_which_something_was_observed(spark):
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation("rows before a scan")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    docs = frame(spark, [(1, f'The token = "{KEY}" and more', "src1")])
+    assert seen.get == {"n": 3} and scan_secrets(docs).where("is_secret").count() == 1 and mask_secrets(docs).first().text == 'The token = "[SECRET]" and more'
+
+
 def test_found_and_masked(spark):
     rows = [
         (1, f'The token = "{KEY}" and more', "src1"),

@@ -189,6 +189,8 @@ def fit_forest(spark: SparkSession, findings=None, trees: int = 24, depth: int =
     language = Language([f"{f[1]} {f[2]}" for f in rows] + [f[0] for f in rows if not f[5]])
     data = spark.createDataFrame([(float(f[5]), features(language, f[0], f[1], f[2], f[3], f[4])) for f in rows], "label double, x array<double>").coalesce(1)
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=17, featureSubsetStrategy="sqrt").fit(data.select("label", array_to_vector("x").alias("features")))
+    # the summary of the training holds the session, which tasks cannot take once anything was observed in it
+    forest._java_obj.setSummary(spark._jvm.scala.Option.empty())
     if findings is None:
         _FOREST[key] = forest, language
     return forest, language
