@@ -195,6 +195,14 @@ def _attribute(key: str, tag: str, value: str) -> str:
     return f"""'{{"key":"{key}","value":{{"{tag}":' || {value} || '}}}}'"""
 
 
+def _bodies(attributes: str, half: int) -> str:
+    """Bodies of spans, as text put together piece by piece."""
+    return with_sql("spans") + """j AS (SELECT host, unit, start_s, substr(md5(trace || '-' || span), 1, 16) AS span_id, '{"traceId":"' || md5(CAST(trace AS VARCHAR)) || '","spanId":"' || substr(md5(trace || '-' || span), 1, 16) || '","name":"' || name || '","kind":1,"startTimeUnixNano":"' || start_s * 1000000000 || '","endTimeUnixNano":"' || (start_s + duration_s) * 1000000000
+  || '","status":{"code":' || CASE status WHEN 'error' THEN 2 ELSE 1 END || '}'""" + attributes + f""" || '}}' AS s FROM spans),
+b AS (SELECT *, sum(strlen(s) + 1) OVER (PARTITION BY host, unit ORDER BY start_s, span_id ROWS UNBOUNDED PRECEDING) // {half} AS p FROM j), g AS (SELECT host, unit, p, string_agg(s, ',' ORDER BY start_s, span_id) AS spans FROM b GROUP BY ALL)
+""" + """SELECT host, unit, CAST(row_number() OVER (PARTITION BY host, unit ORDER BY p) - 1 AS INTEGER) AS part, '{"resourceSpans":[{"resource":{"attributes":[{"key":"host.name","value":{"stringValue":"' || host || '"}},{"key":"service.name","value":{"stringValue":"' || unit || '"}}]},"scopeSpans":[{"scope":{"name":"tidemark"},"spans":[' || spans || ']}]}]}' AS body FROM g"""
+
+
 ORACLE = {
     "process_gauges": _O + _named(_P.format(unit="'app' || h || '.service'", ts=10), _SECOND, "fl = 0", "o JOIN nation ON n_nationkey = c9"),
     "once_report": _O + _named(_P.format(unit="CAST(NULL AS VARCHAR)", ts=20), _THIRD, "true", "o JOIN nation ON n_nationkey = 0"),
@@ -207,8 +215,6 @@ ORACLE = {
     "known_parents": with_sql("records") + "e AS (SELECT host, pid % 500 AS pid, ts_us / 1e6 AS start, pid AS id FROM records), j AS (SELECT a.id, x.id AS pgid, x.id % 5 AS r, row_number() OVER (PARTITION BY a.id ORDER BY x.id % 5, x.start DESC, x.id DESC) AS n FROM e a LEFT JOIN e x ON x.host = a.host AND x.pid = (a.pid + 3) % 500 AND x.start <= a.start + 5 WHERE a.id % 3 = 0) "
     + f"SELECT id, CASE WHEN r IS NOT NULL THEN {list(reconcile.EVIDENCE)!r}[r + 1] END AS parent_kind, pgid AS parent_pgid FROM j WHERE n = 1",
     "lost_counts": f"WITH w AS (SELECT count(*) AS n FROM events GROUP BY epoch_us(ts) // 604800000000) SELECT 'acct_lost' AS name, CAST(sum(greatest(n - {QUEUE}, 0)) AS DOUBLE) AS lost, count(*) FILTER (n > {QUEUE}) AS overflows, CAST(sum(least(n, {QUEUE})) AS BIGINT) AS kept FROM w",
-    "otlp_bodies": with_sql("spans") + """j AS (SELECT host, unit, start_s, substr(md5(trace || '-' || span), 1, 16) AS span_id, '{"traceId":"' || md5(CAST(trace AS VARCHAR)) || '","spanId":"' || substr(md5(trace || '-' || span), 1, 16) || '","name":"' || name || '","kind":1,"startTimeUnixNano":"' || start_s * 1000000000 || '","endTimeUnixNano":"' || (start_s + duration_s) * 1000000000
-  || '","status":{"code":' || CASE status WHEN 'error' THEN 2 ELSE 1 END || '},"attributes":[' || CASE WHEN span > 0 THEN """ + _attribute("turn", "intValue", "span") + " || ',' ELSE '' END || " + _attribute("half", "doubleValue", "duration_s || '.5'") + " || ',' || " + _attribute("even", "boolValue", "CASE WHEN span % 2 = 0 THEN 'true' ELSE 'false' END") + " || ',' || " + _attribute("role", "stringValue", """'"' || name || '"'""") + """ || ']}' AS s FROM spans),
-b AS (SELECT *, sum(strlen(s) + 1) OVER (PARTITION BY host, unit ORDER BY start_s, span_id ROWS UNBOUNDED PRECEDING) // 10000 AS p FROM j), g AS (SELECT host, unit, p, string_agg(s, ',' ORDER BY start_s, span_id) AS spans FROM b GROUP BY ALL)
-SELECT host, unit, CAST(row_number() OVER (PARTITION BY host, unit ORDER BY p) - 1 AS INTEGER) AS part, '{"resourceSpans":[{"resource":{"attributes":[{"key":"host.name","value":{"stringValue":"' || host || '"}},{"key":"service.name","value":{"stringValue":"' || unit || '"}}]},"scopeSpans":[{"scope":{"name":"tidemark"},"spans":[' || spans || ']}]}]}' AS body FROM g""",
+    "otlp_json": _bodies("", 2 << 20),
+    "otlp_bodies": _bodies(""" || ',"attributes":[' || CASE WHEN span > 0 THEN """ + _attribute("turn", "intValue", "span") + " || ',' ELSE '' END || " + _attribute("half", "doubleValue", "duration_s || '.5'") + " || ',' || " + _attribute("even", "boolValue", "CASE WHEN span % 2 = 0 THEN 'true' ELSE 'false' END") + " || ',' || " + _attribute("role", "stringValue", """'"' || name || '"'""") + " || ']'", 10_000),
 }
