@@ -118,3 +118,11 @@ def test_a_number_that_is_used_again_is_another_process(spark):
     assert {r.ts for r in processes.gauges(rows, kernel_threads=True).where("labels.pid = '8'").collect()} == {30}
     assert processes.gauges(rows, min_age=17).count() == 0 and ("proc_rss_bytes", 20) in got
     assert processes.once(captures.where("ts = 0"), boots, users).count() == 0
+
+
+def test_files_of_a_process_are_read_in_one_pass(spark):
+    """Only users and boots are joined, whatever the size of the captures."""
+    captures = spark.createDataFrame([("h", 0, "7/stat", "7 (a) S 1 7 1 0")], "host string, ts long, path string, content string")
+    boots, users = spark.createDataFrame([("h", -5.0)], "host string, boot double"), spark.createDataFrame([(0, "root")], "uid long, user string")
+    plan = processes.admitted(captures, boots, users)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3

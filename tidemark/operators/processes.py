@@ -28,12 +28,8 @@ def admitted(captures: DataFrame, boots: DataFrame, users: DataFrame, hz: int =
     one could not be read, and is 0 where none ever was; bytes and waiting time that were not shown are null, not 0.
     """
     by = ["host", "ts", "pid"]
-    status = read.pid_status(captures).select(*by, "uid", "rss_kb", "swap_kb", (F.col("voluntary_switches") + F.col("involuntary_switches")).alias("switches"))
-    io = read.pid_io(captures).select(*by, "read_bytes", "write_bytes")
-    groups = unit_of(read.pid_cgroup(captures).withColumnRenamed("cgroup", "path"), users).select(*by, F.col("path").alias("cgroup"), "unit")
-    rows = read.pid_stat(captures)
-    for part in (status, io, read.pid_schedstat(captures).select(*by, "wait_ns"), groups):
-        rows = rows.join(part, by, "left")
+    rows = read.pid_files(captures).withColumn("switches", F.col("voluntary_switches") + F.col("involuntary_switches"))
+    rows = unit_of(rows.withColumn("path", F.col("cgroup")), users).drop("path")
     life = Window.partitionBy("host", "pid", "start_ticks").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({
         "uid": F.coalesce(F.first("uid", False).over(life), F.lit(0)), "switches": F.coalesce(F.last("switches", True).over(life), F.lit(0)),
@@ -74,6 +70,7 @@ def gauges(rows: DataFrame, min_age: float = 0, kernel_threads: bool = False, de
 def once(captures: DataFrame, boots: DataFrame, users: DataFrame, **wanted) -> DataFrame:
     """Samples of each host's second capture, against the one before it: the first is for the differences alone. Nothing for a host with one capture, or with captures over an hour apart."""
     moments = captures.select("host", "ts").distinct().withColumn("_k", F.row_number().over(Window.partitionBy("host").orderBy(F.col("ts").desc()))).where("_k <= 2")
+    # a row for each host, which is sent to all: hosts are few, and dealing the captures out by host would leave most tasks without any
     two = moments.groupBy("host").agg(F.min("ts").alias("_first"), F.max("ts").alias("_second")).where(f"_second > _first and _second - _first <= {HOUR}")
-    near = captures.join(two, "host").where("ts in (_first, _second)").select(*captures.columns)
+    near = captures.join(F.broadcast(two), "host").where("ts in (_first, _second)").select(*captures.columns)
     return gauges(admitted(near, boots, users), **wanted)

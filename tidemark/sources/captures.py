@@ -140,24 +140,45 @@ def _pid_files(captures: DataFrame, file: str) -> DataFrame:
     return captures.withColumn("pid", F.regexp_extract("path", rf"^([0-9]+)/{file}$", 1)).where("pid <> ''").withColumn("pid", F.col("pid").cast("bigint"))
 
 
+#: Field of stat -> its place.
+_PLACES = {"ppid": 4, "pgrp": 5, "flags": 9, "minflt": 10, "majflt": 12, "utime": 14, "stime": 15, "nice": 19, "threads": 20, "start_ticks": 22, "vsize_bytes": 23, "rss_pages": 24}
+_IN_BRACKETS, _NAME = r"(?s)\(.*\)", r"(?s)^[^(]*\((.*)\)"
+
+
+def _after_name() -> Column:
+    return F.split(F.trim(F.regexp_extract("content", r"(?s)^.*\)(.*)$", 1)), r"\s+")
+
+
+def _stat_fields(f: Column) -> list[Column]:
+    return [F.get(f, 0).alias("state"), *[_at(f, n - 3).alias(c) for c, n in _PLACES.items()], _zero(_at(f, 39)).alias("blkio_ticks")]
+
+
+_COMPLETE = " and ".join(f"{c} is not null" for c in _PLACES)
+
+
 def pid_stat(captures: DataFrame) -> DataFrame:
     """A row for each process; its name, which may hold anything, ends at the last parenthesis."""
-    rows = _pid_files(captures, "stat").withColumn("comm", F.regexp_extract("content", r"(?s)^[^(]*\((.*)\)", 1)).withColumn("_f", F.split(F.trim(F.regexp_extract("content", r"(?s)^.*\)(.*)$", 1)), r"\s+"))
-    places = {"ppid": 4, "pgrp": 5, "flags": 9, "minflt": 10, "majflt": 12, "utime": 14, "stime": 15, "nice": 19, "threads": 20, "start_ticks": 22, "vsize_bytes": 23, "rss_pages": 24}
-    out = rows.where(F.col("content").rlike(r"(?s)\(.*\)")).select("host", "ts", "pid", "comm", F.get("_f", 0).alias("state"), *[_at(F.col("_f"), n - 3).alias(c) for c, n in places.items()], _zero(_at(F.col("_f"), 39)).alias("blkio_ticks"))
-    return out.where(" and ".join(f"{c} is not null" for c in places))
+    rows = _pid_files(captures, "stat").withColumn("comm", F.regexp_extract("content", _NAME, 1)).withColumn("_f", _after_name())
+    return rows.where(F.col("content").rlike(_IN_BRACKETS)).select("host", "ts", "pid", "comm", *_stat_fields(F.col("_f"))).where(_COMPLETE)
+
+
+def _status() -> list[Column]:
+    of = lambda pattern: _n(F.regexp_extract("content", rf"(?m)^{pattern}", 1))
+    return [of(r"Uid:\s+\S+\s+([0-9]+)").alias("uid"), of(r"VmRSS:\s+([0-9]+)").alias("rss_kb"), of(r"VmSwap:\s+([0-9]+)").alias("swap_kb"), _zero(of(r"voluntary_ctxt_switches:\s+([0-9]+)")).alias("voluntary_switches"), _zero(of(r"nonvoluntary_ctxt_switches:\s+([0-9]+)")).alias("involuntary_switches")]
+
+
+def _io() -> list[Column]:
+    return [_zero(_n(F.regexp_extract("content", rf"(?m)^{k}:\s*([0-9]+)", 1))).alias(k) for k in ("rchar", "wchar", "read_bytes", "write_bytes")]
 
 
 def pid_status(captures: DataFrame) -> DataFrame:
     """Effective uid, resident and swapped kB (null for kernel threads) and context switches."""
-    of = lambda pattern: _n(F.regexp_extract("content", rf"(?m)^{pattern}", 1))
-    return _pid_files(captures, "status").select("host", "ts", "pid", of(r"Uid:\s+\S+\s+([0-9]+)").alias("uid"), of(r"VmRSS:\s+([0-9]+)").alias("rss_kb"), of(r"VmSwap:\s+([0-9]+)").alias("swap_kb"), _zero(of(r"voluntary_ctxt_switches:\s+([0-9]+)")).alias("voluntary_switches"), _zero(of(r"nonvoluntary_ctxt_switches:\s+([0-9]+)")).alias("involuntary_switches"))
+    return _pid_files(captures, "status").select("host", "ts", "pid", *_status())
 
 
 def pid_io(captures: DataFrame) -> DataFrame:
     """Bytes read and written. A file that could not be read is no capture, and so no row and no zeros."""
-    of = lambda key: _zero(_n(F.regexp_extract("content", rf"(?m)^{key}:\s*([0-9]+)", 1)))
-    return _pid_files(captures, "io").select("host", "ts", "pid", *[of(k).alias(k) for k in ("rchar", "wchar", "read_bytes", "write_bytes")])
+    return _pid_files(captures, "io").select("host", "ts", "pid", *_io())
 
 
 def pid_schedstat(captures: DataFrame) -> DataFrame:
@@ -165,14 +186,36 @@ def pid_schedstat(captures: DataFrame) -> DataFrame:
     return _pid_files(captures, "schedstat").select("host", "ts", "pid", _at(f, 0).alias("run_ns"), _at(f, 1).alias("wait_ns")).where("run_ns is not null and wait_ns is not null")
 
 
+def pid_files(captures: DataFrame) -> DataFrame:
+    """What pid_stat, pid_status, pid_io, pid_schedstat and pid_cgroup say of each process whose stat was read, in one row; null where the other files were not.
+
+    One pass over the captures and one exchange, by (host, pid), which windows over a process's life need as well; nothing is joined, so nothing is sent to all.
+    """
+    named = captures.where(F.col("path").rlike("^[0-9]+/(stat|status|io|schedstat|cgroup)$"))
+    rows = named.select("host", F.substring_index("path", "/", 1).cast("bigint").alias("pid"), "ts", F.substring_index("path", "/", -1).alias("_file"), "content").repartition("host", "pid")
+    of = lambda file, what, where=F.lit(True): F.max(F.when((F.col("_file") == file) & where, what)).alias(f"_{file}")
+    f = F.split(F.trim("content"), r"\s+")
+    stat = of("stat", F.struct(F.regexp_extract("content", _NAME, 1).alias("comm"), _after_name().alias("f")), F.col("content").rlike(_IN_BRACKETS))
+    waited = of("schedstat", F.struct(_at(f, 0).alias("run_ns"), _at(f, 1).alias("wait_ns")))
+    each = rows.groupBy("host", "pid", "ts").agg(stat, of("status", F.struct(*_status())), of("io", F.struct(*_io())), waited, of("cgroup", _cgroup(), F.col("content").rlike("(?m)^0::")))
+    known = F.col("_schedstat.run_ns").isNotNull() & F.col("_schedstat.wait_ns").isNotNull()
+    return each.select(
+        "host", "ts", "pid", F.col("_stat.comm").alias("comm"), *_stat_fields(F.col("_stat.f")), "_status.*", "_io.*",
+        *[F.when(known, F.col(f"_schedstat.{c}")).alias(c) for c in ("run_ns", "wait_ns")], F.col("_cgroup").alias("cgroup"),
+    ).where(_COMPLETE)
+
+
 def pid_cmdline(captures: DataFrame, most: int = 400) -> DataFrame:
     return _pid_files(captures, "cmdline").select("host", "ts", "pid", command_lines(most)(F.col("content")).alias("cmdline"))
 
 
+def _cgroup() -> Column:
+    return F.regexp_extract("content", r"(?m)^0::(.*?)\s*$", 1)
+
+
 def pid_cgroup(captures: DataFrame) -> DataFrame:
     """The path on the unified hierarchy's line."""
-    path = F.regexp_extract("content", r"(?m)^0::(.*?)\s*$", 1)
-    return _pid_files(captures, "cgroup").where(F.col("content").rlike(r"(?m)^0::")).select("host", "ts", "pid", path.alias("cgroup"))
+    return _pid_files(captures, "cgroup").where(F.col("content").rlike(r"(?m)^0::")).select("host", "ts", "pid", _cgroup().alias("cgroup"))
 
 
 def cgroup_io(captures: DataFrame) -> DataFrame:
