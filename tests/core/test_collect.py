@@ -1,3 +1,4 @@
+import io
 import json
 
 import pytest
@@ -21,6 +22,24 @@ def test_messages_of_every_kind():
     assert list(execs.events(b"")) == list(execs.events(b"\0" * 64)) == []
 
 
+def test_captures_are_held_in_blocks():
+    """A file is never read whole, and wherever a block ends the events are the same."""
+
+    class Stream(io.BytesIO):
+        largest = 0
+
+        def read(self, n):
+            self.largest = max(self.largest, n)
+            return super().read(n)
+
+    data = b"".join(execs.message(2 - (p % 3 == 0), 0, 1000 * p, p, p) + execs.NETLINK.pack(18, 2, 0, 0, 0) + b"xx\0\0" for p in range(50))
+    want = list(execs.events(data))
+    assert len(want) == 33 and want[1][0] > want[0][0] == 96
+    for block in (1, 7, 16, 77, 4096):
+        stream = Stream(data)
+        assert list(execs.events_of(stream, block)) == want and stream.largest <= max(block, 100)
+
+
 def test_a_stream_of_captures_goes_on_where_it_was(spark, tmp_path):
     def add(host, name, *pids):
         (tmp_path / "in" / f"host={host}").mkdir(parents=True, exist_ok=True)

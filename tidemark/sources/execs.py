@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
@@ -19,6 +20,8 @@ EVENT, EXEC_TASK = struct.Struct("=IIQ"), struct.Struct("=II")
 CN_IDX_PROC, CN_VAL_PROC, PROC_EVENT_EXEC = 1, 1, 2
 #: Events in one Arrow batch.
 MANY = 65_536
+#: Bytes of a file that are read at once.
+BLOCK = 1 << 20
 
 
 def events(data: bytes) -> Iterator[tuple[int, int, int, int, int]]:
@@ -27,17 +30,32 @@ def events(data: bytes) -> Iterator[tuple[int, int, int, int, int]]:
     Each message says its length and begins at a multiple of 4. Other events and messages of others are passed over; a message that is cut off ends what can be read, and
     one that says it is shorter than its own header as well.
     """
-    at, least = 0, NETLINK.size + CONNECTOR.size + EVENT.size
-    while at + NETLINK.size <= len(data):
-        size = NETLINK.unpack_from(data, at)[0]
-        if size < NETLINK.size or at + size > len(data):
-            return
-        if size >= least + EXEC_TASK.size:
-            idx, val, *_ = CONNECTOR.unpack_from(data, at + NETLINK.size)
-            what, cpu, when = EVENT.unpack_from(data, at + NETLINK.size + CONNECTOR.size)
-            if (idx, val, what) == (CN_IDX_PROC, CN_VAL_PROC, PROC_EVENT_EXEC):
-                yield at, when, cpu, *EXEC_TASK.unpack_from(data, at + least)
-        at += (size + 3) & ~3
+    return events_of(io.BytesIO(data))
+
+
+def events_of(stream, block: int = BLOCK) -> Iterator[tuple[int, int, int, int, int]]:
+    """The same from what can be read, of which a block and the message it cuts are held at a time."""
+    # held begins at base; the next message at held[at], which may lie beyond its end
+    held, base, at, least = b"", 0, 0, NETLINK.size + CONNECTOR.size + EVENT.size
+    need = 0
+    while more := stream.read(max(block, need)):
+        held += more
+        need = 0
+        while at + NETLINK.size <= len(held):
+            size = NETLINK.unpack_from(held, at)[0]
+            if size < NETLINK.size:
+                return
+            if at + size > len(held):
+                need = at + size - len(held)
+                break
+            if size >= least + EXEC_TASK.size:
+                idx, val, *_ = CONNECTOR.unpack_from(held, at + NETLINK.size)
+                what, cpu, when = EVENT.unpack_from(held, at + NETLINK.size + CONNECTOR.size)
+                if (idx, val, what) == (CN_IDX_PROC, CN_VAL_PROC, PROC_EVENT_EXEC):
+                    yield base + at, when, cpu, *EXEC_TASK.unpack_from(held, at + least)
+            at += (size + 3) & ~3
+        passed = min(at, len(held))
+        held, base, at = held[passed:], base + passed, at - passed
 
 
 def message(what: int, cpu: int, when: int, thread: int, pid: int) -> bytes:
@@ -77,14 +95,13 @@ class _Files:
 
     def read(self, part: _File) -> Iterator[pa.RecordBatch]:
         system, base = self.system()
-        with system.open_input_stream(f"{base}/host={part.host}/{part.file}") as f:
-            data = f.read()
         held: list[tuple] = []
-        for e in events(data):
-            held.append((part.host, part.file, *e))
-            if len(held) == MANY:
-                yield self._batch(held)
-                held = []
+        with system.open_input_stream(f"{base}/host={part.host}/{part.file}") as f:
+            for e in events_of(f):
+                held.append((part.host, part.file, *e))
+                if len(held) == MANY:
+                    yield self._batch(held)
+                    held = []
         if held:
             yield self._batch(held)
 
@@ -137,18 +154,34 @@ class ExecEvents(DataSource):
 
 
 def write_captures(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` (host, file, what, cpu, when, thread, pid) as captures under ``path``, in order of time; host, file and number of messages of each. A task that runs again writes the same file again."""
+    """``rows`` (host, file, what, cpu, when, thread, pid) as captures under ``path``, in order of time; host, file and number of messages of each. A task that runs again writes the same file again.
+
+    Rows come to a task sorted and are written as they come, so a file may be larger than the task's memory.
+    """
     files = _Files(path)
 
-    def write(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = files.system()
-        system.create_dir(f"{base}/host={key[0]}", recursive=True)
-        data = b"".join(message(*map(int, r)) for r in frame.sort_values(["when", "pid"])[["what", "cpu", "when", "thread", "pid"]].itertuples(index=False))
-        with system.open_output_stream(f"{base}/host={key[0]}/{key[1]}") as f:
-            f.write(data)
-        return pd.DataFrame([(*key, len(frame))], columns=["host", "file", "n"])
-
-    return rows.groupBy("host", "file").applyInPandas(write, "host string, file string, n long")
+        key, f, n = None, None, 0
+        try:
+            for frame in frames:
+                for k, rows_ in frame.groupby(["host", "file"], sort=False, dropna=False):
+                    k = tuple(None if pd.isna(x) else x for x in k)
+                    if k != key:
+                        if f is not None:
+                            f.close()
+                            yield pd.DataFrame([(*key, n)], columns=["host", "file", "n"])
+                        system.create_dir(f"{base}/host={k[0]}", recursive=True)
+                        key, f, n = k, system.open_output_stream(f"{base}/host={k[0]}/{k[1]}"), 0
+                    f.write(b"".join(message(*r) for r in zip(*(rows_[c].astype("int64").tolist() for c in ("what", "cpu", "when", "thread", "pid")))))
+                    n += len(rows_)
+        finally:
+            if f is not None:
+                f.close()
+        if key is not None:
+            yield pd.DataFrame([(*key, n)], columns=["host", "file", "n"])
+
+    return rows.repartition("host", "file").sortWithinPartitions("host", "file", "when", "pid").mapInPandas(write, "host string, file string, n long")
 
 
 def read_execs(spark: SparkSession, path: str) -> DataFrame:
