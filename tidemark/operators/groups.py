@@ -66,6 +66,6 @@ def unit_gauges(captures: DataFrame, users: DataFrame, containers: DataFrame | N
         "unit_io_write_bytes_per_sec": F.col("write_bytes") / F.col("_s"), "unit_oom_kills_per_sec": F.col("oom_kills") / F.col("_s"), **{f"unit_pressure_{r}_pct": F.when(F.col(f"{r}_stalled").isNotNull(), F.least(share(f"{r}_stalled"), F.lit(100.0))) for r in ("cpu", "memory", "io")},
     }
     at = {"unit_tasks": "tasks", "unit_memory_bytes": "memory", "unit_memory_anon_bytes": "anon", "unit_memory_file_bytes": "file", "unit_swap_bytes": "swap"}
-    rows = lambda df, what: df.select("host", "unit", "ts", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in what.items()])).alias("_g"))
+    rows = lambda df, what: df.select("host", "unit", "ts", F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in what.items()]), lambda g: finite(g["value"]))).alias("_g"))
     both = rows(levels, {k: F.col(c) for k, c in at.items()}).unionByName(rows(used, gauges))
-    return both.select("_g.name", "host", F.create_map(F.lit("unit"), F.col("unit"), F.lit("kind"), unit_kind("unit")).alias("labels"), "ts", "_g.value").where(finite("value"))
+    return both.select("_g.name", "host", F.create_map(F.lit("unit"), F.col("unit"), F.lit("kind"), unit_kind("unit")).alias("labels"), "ts", "_g.value")

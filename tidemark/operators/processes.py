@@ -62,9 +62,10 @@ def gauges(rows: DataFrame, min_age: float = 0, kernel_threads: bool = False, de
         "proc_rss_bytes": own("rss_bytes"), "proc_vsize_bytes": own("vsize_bytes"), "proc_swap_bytes": own("swap_bytes"), "proc_io_read_bytes_per_sec": moved("read_bytes"), "proc_io_write_bytes_per_sec": moved("write_bytes"),
         "proc_cpu_wait_pct": rate("wait_ns", "_wait_ns", "_s") / 1e7, **({"proc_io_wait_pct": percent(used("blkio_ticks"), "_s")} if delay_accounting else {}),
     }
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in named.items()]))
+    # what is no sample goes before rows are made of the rest; so the figures are also no part of the loop that makes them, which would be too long a method to be compiled
+    each = F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in named.items()]), lambda g: finite(g["value"])))
     out = both.select("host", labels(F.col("pid"), F.col("comm"), F.col("user"), F.col("unit")).alias("labels"), "ts", each.alias("_g"))
-    return out.select("_g.name", "host", "labels", "ts", "_g.value").where(finite("value"))
+    return out.select("_g.name", "host", "labels", "ts", "_g.value")
 
 
 def once(captures: DataFrame, boots: DataFrame, users: DataFrame, **wanted) -> DataFrame:

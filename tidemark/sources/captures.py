@@ -145,8 +145,8 @@ _PLACES = {"ppid": 4, "pgrp": 5, "flags": 9, "minflt": 10, "majflt": 12, "utime"
 _IN_BRACKETS, _NAME = r"(?s)\(.*\)", r"(?s)^[^(]*\((.*)\)"
 
 
-def _after_name() -> Column:
-    return F.split(F.trim(F.regexp_extract("content", r"(?s)^.*\)(.*)$", 1)), r"\s+")
+def _after_name(content: str = "content") -> Column:
+    return F.split(F.trim(F.regexp_extract(content, r"(?s)^.*\)(.*)$", 1)), r"\s+")
 
 
 def _stat_fields(f: Column) -> list[Column]:
@@ -162,13 +162,20 @@ def pid_stat(captures: DataFrame) -> DataFrame:
     return rows.where(F.col("content").rlike(_IN_BRACKETS)).select("host", "ts", "pid", "comm", *_stat_fields(F.col("_f"))).where(_COMPLETE)
 
 
-def _status() -> list[Column]:
-    of = lambda pattern: _n(F.regexp_extract("content", rf"(?m)^{pattern}", 1))
-    return [of(r"Uid:\s+\S+\s+([0-9]+)").alias("uid"), of(r"VmRSS:\s+([0-9]+)").alias("rss_kb"), of(r"VmSwap:\s+([0-9]+)").alias("swap_kb"), _zero(of(r"voluntary_ctxt_switches:\s+([0-9]+)")).alias("voluntary_switches"), _zero(of(r"nonvoluntary_ctxt_switches:\s+([0-9]+)")).alias("involuntary_switches")]
+def _found(content: str, pattern: str) -> Column:
+    """The number in the group; what is not there is null before it is cast, as a cast that fails raises inside, which is slow."""
+    return _n(F.nullif(F.regexp_extract(content, pattern, 1), F.lit("")))
 
 
-def _io() -> list[Column]:
-    return [_zero(_n(F.regexp_extract("content", rf"(?m)^{k}:\s*([0-9]+)", 1))).alias(k) for k in ("rchar", "wchar", "read_bytes", "write_bytes")]
+def _status(content: str = "content") -> list[Column]:
+    """A text that is null says nothing; one that is not has switched 0 times where it does not say how often."""
+    of = lambda pattern: _found(content, rf"(?m)^{pattern}")
+    zero = lambda pattern: F.when(F.col(content).isNotNull(), _zero(of(pattern)))
+    return [of(r"Uid:\s+\S+\s+([0-9]+)").alias("uid"), of(r"VmRSS:\s+([0-9]+)").alias("rss_kb"), of(r"VmSwap:\s+([0-9]+)").alias("swap_kb"), zero(r"voluntary_ctxt_switches:\s+([0-9]+)").alias("voluntary_switches"), zero(r"nonvoluntary_ctxt_switches:\s+([0-9]+)").alias("involuntary_switches")]
+
+
+def _io(content: str = "content") -> list[Column]:
+    return [F.when(F.col(content).isNotNull(), _zero(_found(content, rf"(?m)^{k}:\s*([0-9]+)"))).alias(k) for k in ("rchar", "wchar", "read_bytes", "write_bytes")]
 
 
 def pid_status(captures: DataFrame) -> DataFrame:
@@ -193,24 +200,24 @@ def pid_files(captures: DataFrame) -> DataFrame:
     """
     named = captures.where(F.col("path").rlike("^[0-9]+/(stat|status|io|schedstat|cgroup)$"))
     rows = named.select("host", F.substring_index("path", "/", 1).cast("bigint").alias("pid"), "ts", F.substring_index("path", "/", -1).alias("_file"), "content").repartition("host", "pid")
-    of = lambda file, what, where=F.lit(True): F.max(F.when((F.col("_file") == file) & where, what)).alias(f"_{file}")
-    f = F.split(F.trim("content"), r"\s+")
-    stat = of("stat", F.struct(F.regexp_extract("content", _NAME, 1).alias("comm"), _after_name().alias("f")), F.col("content").rlike(_IN_BRACKETS))
-    waited = of("schedstat", F.struct(_at(f, 0).alias("run_ns"), _at(f, 1).alias("wait_ns")))
-    each = rows.groupBy("host", "pid", "ts").agg(stat, of("status", F.struct(*_status())), of("io", F.struct(*_io())), waited, of("cgroup", _cgroup(), F.col("content").rlike("(?m)^0::")))
-    known = F.col("_schedstat.run_ns").isNotNull() & F.col("_schedstat.wait_ns").isNotNull()
-    return each.select(
-        "host", "ts", "pid", F.col("_stat.comm").alias("comm"), *_stat_fields(F.col("_stat.f")), "_status.*", "_io.*",
-        *[F.when(known, F.col(f"_schedstat.{c}")).alias(c) for c in ("run_ns", "wait_ns")], F.col("_cgroup").alias("cgroup"),
-    ).where(_COMPLETE)
+    files = ("stat", "status", "io", "schedstat", "cgroup")
+    each = rows.groupBy("host", "pid", "ts").agg(*[F.max(F.when(F.col("_file") == f, F.col("content"))).alias(f"_{f}") for f in files]).withColumn("_f", _after_name("_stat"))
+    # the condition names the fields once: it is moved below them, and would split the text again for each mention
+    whole = F.size(F.filter("_f", lambda x, i: i.isin(*[n - 3 for n in _PLACES.values()]) & x.try_cast("bigint").isNotNull())) == len(_PLACES)
+    waited = each.where(F.col("_stat").rlike(_IN_BRACKETS) & whole).withColumn("_w", F.split(F.trim("_schedstat"), r"\s+"))
+    run, wait = _at(F.col("_w"), 0), _at(F.col("_w"), 1)
+    return waited.select(
+        "host", "ts", "pid", F.regexp_extract("_stat", _NAME, 1).alias("comm"), *_stat_fields(F.col("_f")), *_status("_status"), *_io("_io"), F.when(wait.isNotNull(), run).alias("run_ns"), F.when(run.isNotNull(), wait).alias("wait_ns"),
+        F.when(F.col("_cgroup").rlike("(?m)^0::"), _cgroup("_cgroup")).alias("cgroup"),
+    )
 
 
 def pid_cmdline(captures: DataFrame, most: int = 400) -> DataFrame:
     return _pid_files(captures, "cmdline").select("host", "ts", "pid", command_lines(most)(F.col("content")).alias("cmdline"))
 
 
-def _cgroup() -> Column:
-    return F.regexp_extract("content", r"(?m)^0::(.*?)\s*$", 1)
+def _cgroup(content: str = "content") -> Column:
+    return F.regexp_extract(content, r"(?m)^0::(.*?)\s*$", 1)
 
 
 def pid_cgroup(captures: DataFrame) -> DataFrame:
