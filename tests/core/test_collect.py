@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import processes, reconcile
+from tidemark.operators import groups, processes, reconcile
 from tidemark.sources import encode, execs
 from tidemark.streaming import live
 
@@ -145,3 +145,11 @@ def test_files_of_a_process_are_read_in_one_pass(spark):
     boots, users = spark.createDataFrame([("h", -5.0)], "host string, boot double"), spark.createDataFrame([(0, "root")], "uid long, user string")
     plan = processes.admitted(captures, boots, users)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 3
+
+
+def test_groups_are_read_once(spark):
+    """What the files say is a table before levels, moments and rises are made of it: the plan that follows has no captures in it."""
+    captures = spark.createDataFrame([("h", t, f"/a.slice/b.service/{f}", c) for t in (0, 10) for f, c in (("pids.current", "2"), ("memory.current", "5"), ("cpu.stat", f"usage_usec {t}00000"))], "host string, ts long, path string, content string")
+    out = groups.unit_gauges(captures, spark.createDataFrame([(0, "root")], "uid long, user string"))
+    assert "pids.current" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.name, r.ts, r.value) for r in out.collect()} >= {("unit_tasks", 0, 2.0), ("unit_tasks", 10, 2.0), ("unit_memory_bytes", 10, 5.0), ("unit_cpu_pct", 10, 10.0)}

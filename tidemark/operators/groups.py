@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import finite, percent
 from ..functions.units import kind, normalize, unit_kind, unit_of
 from ..sources import captures as read
+from ..sources.shared import cut
 from .derive import ancestors, unit_deltas
 
 #: What is counted up: over an interval its rise is a gauge.
@@ -17,7 +18,9 @@ LEVELS = ("tasks", "memory", "swap", "anon", "file")
 
 def _files(captures: DataFrame) -> DataFrame:
     """host, ts, path (of the group), _file, content."""
-    return captures.where(F.col("path").startswith("/")).select("host", "ts", F.regexp_extract("path", r"^(/.*)/[^/]+$", 1).alias("path"), F.regexp_extract("path", r"([^/]+)$", 1).alias("_file"), "content").where("path <> ''")
+    file = F.substring_index("path", "/", -1)
+    group = F.substr("path", F.lit(1), F.length("path") - F.length(file) - 1)
+    return captures.where(F.col("path").startswith("/") & (file != "") & (group != "")).select("host", "ts", group.alias("path"), file.alias("_file"), "content")
 
 
 def walked(captures: DataFrame) -> DataFrame:
@@ -57,6 +60,8 @@ def unit_gauges(captures: DataFrame, users: DataFrame, containers: DataFrame | N
     found = counters(captures).where(kind(F.element_at(F.split("path", "/"), -1)).isNotNull() & F.col("tasks").isNotNull())
     last = F.element_at(F.split("path", "/"), -1)
     named = unit_of(found, users, containers).withColumn("unit", F.coalesce("unit", normalize(last))).where("unit is not null and unit <> ''")
+    # read, walked and named once: three plans below begin with it
+    named = cut(named.select("host", "unit", "path", "ts", *LEVELS, *COUNTERS))
     levels = named.groupBy("host", "unit", "ts").agg(*[F.sum(c).alias(c) for c in LEVELS])
     moments = named.select("host", "ts").distinct().withColumn("_s", (F.col("ts") - F.lag("ts").over(Window.partitionBy("host").orderBy("ts"))).cast("double"))
     used = unit_deltas(named.select("host", "unit", "path", "ts", *COUNTERS), columns=COUNTERS).join(moments.where("_s > 0"), ["host", "ts"])
