@@ -382,3 +382,12 @@ def test_timeline(spark, width):
     kept = spark.createDataFrame([(0, 9.0), (300, 8.0)], "bucket bigint, highest double")
     got = sorted(tuple(r) for r in read.timeline(s, kept, 0, 1200, width).collect())
     assert got == ([(t, float(t)) for t in range(0, 1200, 100)] if width == 0 else [(0, 9.0), (300, 8.0), (600, 800.0), (900, 1100.0)])
+
+
+def test_rows_of_a_nearest_join_are_numbered_once(spark):
+    """The numbers are read from a table, not made again for each side of the join."""
+    from tidemark.operators import reconcile
+
+    rows = spark.createDataFrame([("h", 1, 10.0)], "host string, pid long, start double")
+    out = reconcile.nearest(rows, rows)
+    assert "monotonically_increasing_id" not in out._jdf.queryExecution().optimizedPlan().toString() and out.collect()[0].near_start == 10.0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.endings import describe, level, status_text
 from ..functions.numbers import micros, percent_text
 from ..functions.text import human_bytes, human_duration
+from ..sources.shared import cut
 from .lineage import TOLERANCE
 
 
@@ -18,7 +19,8 @@ def nearest(left: DataFrame, right: DataFrame, on=("host", "pid"), time: str = "
     Of equally near rows the earlier counts, then the smaller values. Each left row stays once.
     """
     on = list(on)
-    tagged = left.withColumn("_row", F.monotonically_increasing_id())
+    # written before it is read twice: numbers made anew by each reader differ where rows come out of an exchange in another order
+    tagged = cut(left.withColumn("_row", F.monotonically_increasing_id()))
     piece = lambda t: F.floor(F.col(t) / tolerance)
     asked = tagged.withColumn("_piece", F.explode(F.array(*[piece(time) + d for d in (-1, 0, 1)])))
     told = right.select(*on, piece(time).alias("_piece"), F.col(time).alias("_time"), F.struct(*keep).alias("_kept"))
