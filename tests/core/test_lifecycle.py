@@ -1,5 +1,7 @@
 import random
 
+import pandas as pd
+
 from tidemark.streaming import lifecycle as L
 from tidemark.streaming import live
 
@@ -79,3 +81,52 @@ def test_what_is_unexplained_at_the_close_is_told_once(spark, tmp_path):
     assert [r.pid for r in spark.read.schema(L.ENDS).parquet(str(tmp_path / "out")).collect()] == [1]
     left = L.leftover(spark, str(tmp_path / "checkpoint"), 115.0).collect()
     assert [(r.host, r.pid, r.noticed, r.heard, r.cmdline, r.described_by, r.cpu_seconds) for r in left] == [("h", 2, 115.0, False, "b 2", "sample", 2.0)]
+
+
+class Kept:
+    """A processor's handle and its list state, in memory; counts what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.timers, self.reads, self.set = [], set(), 0, 0
+
+    def getListState(self, name, schema):
+        return self if name == "waiting" else Kept()
+
+    def registerTimer(self, ms):
+        self.set += 1
+        self.timers.add(ms)
+
+    def get(self):
+        self.reads += 1
+        return iter(list(self.rows))
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+
+def test_what_waits_is_read_once_for_a_batch(spark):
+    """However much news of a process's number comes, there is one timer for it, and all that the watermark has passed is done when that expires."""
+
+    class Moment:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    names = [c.split()[0] for c in L.NEWS.split(", ")][2:]
+    news = [("sample", 100.0 * k, 100.0 * k + 10, f"c{k}", f"cmd {k}", "u", None) for k in range(300)] + [("exit", 100.0 * k + 1, 100.0 * k + 15, f"c{k}", None, None, float("nan")) for k in range(0, 300, 2)]
+    lives, kept, got = L.Lives(SWEEP), Kept(), []
+    for piece, watermark in ((news[:200], 0), (news[200:], 15_000_000), ([], 99_000_000)):
+        kept.reads = kept.set = 0
+        lives.init(kept)  # as each batch does
+        if piece:
+            assert list(lives.handleInputRows(("h", 1), iter([pd.DataFrame(piece, columns=names)]), None)) == []
+        for ms in sorted(t for t in kept.timers if t <= watermark):
+            got += [tuple(r) for frame in lives.handleExpiredTimer(("h", 1), Moment(watermark), ms) for r in frame.itertuples(index=False)]
+            kept.timers.remove(ms)
+        assert kept.reads == (watermark > 0) and kept.set <= 2
+    assert [(*e[2:5], e[5]) for e in got] == [(*e[0:3], e[3]) for e in L.follow([], L._rows(pd.DataFrame(news, columns=names)), float("inf"), SWEEP)[1]] and len(got) == 300

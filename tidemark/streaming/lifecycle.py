@@ -67,8 +67,17 @@ def _said(life: list) -> tuple:
     return life[2], life[3] or life[4], life[5], "sample" if life[3] else "exec" if life[4] else None
 
 
+def _rows(frame: pd.DataFrame) -> list[tuple]:
+    """A frame of NEWS as tuples of _NEWS; what is of no known kind or has no time is left out."""
+    cells = frame[[c.split()[0] for c in _NEWS.split(", ")]].astype(object)
+    return [n for n in cells.where(cells.notna(), None).itertuples(index=False, name=None) if n[0] in _KINDS and n[1] is not None and n[2] is not None]
+
+
 class Lives(StatefulProcessor):
-    """The state of one (host, pid): news that the watermark has not reached yet, and its lives. A timer is set for each moment at which there is something to do."""
+    """The state of one (host, pid): news that the watermark has not reached yet, and its lives.
+
+    A timer is set for the first moment at which there is something to do. When it expires all that the watermark has passed is done at once, so what waits is read once for a batch, not once for each piece of news.
+    """
 
     def __init__(self, sweep: float, tolerance: float = TOLERANCE):
         self.sweep, self.tolerance = sweep, tolerance
@@ -77,31 +86,36 @@ class Lives(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        #: Keys that are done in this batch: a second timer of one that expires with the first finds nothing.
+        self.done = set()
         self.waiting = handle.getListState("waiting", self.schemas[0])
         self.lives = handle.getListState("lives", self.schemas[1])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if pd.isna(x) else x for x in r) for frame in rows for r in frame[[c.split()[0] for c in _NEWS.split(", ")]].itertuples(index=False)]
-        new = [n for n in new if n[0] in _KINDS and n[1] is not None and n[2] is not None]
+        new = [n for frame in rows for n in _rows(frame)]
         if new:
             self.waiting.appendList(new)
-            for at in {n[2] for n in new}:
-                self._wake(at)
+            self._wake(min(n[2] for n in new))
         yield from ()
 
     def _wake(self, at: float) -> None:
         self.handle.registerTimer(int(at * 1000) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if key in self.done:
+            return
+        self.done.add(key)
         now = timerValues.getCurrentWatermarkInMs() / 1000
         waiting = [tuple(x) for x in self.waiting.get()]
         lives = [list(x) for x in self.lives.get()]
         ready, later = [n for n in waiting if n[2] <= now], [n for n in waiting if n[2] > now]
         lives, ends, due = follow(lives, ready, now, self.sweep, self.tolerance)
-        self._put(self.waiting, later)
+        if ready:
+            self._put(self.waiting, later)
         self._put(self.lives, [tuple(x) for x in lives])
-        if due is not None:
-            self._wake(max(due, now))
+        todo = [n[2] for n in later] + ([] if due is None else [max(due, now)])
+        if todo:
+            self._wake(min(todo))
         if ends:
             yield pd.DataFrame([(*key, *e) for e in ends], columns=[c.split()[0] for c in ENDS.split(", ")])
 
@@ -135,8 +149,7 @@ def ends_of(news: DataFrame, sweep: float, tolerance: float = TOLERANCE, until:
     """The same of a table, up to a moment (by default until all have ended): one group for each (host, pid), which bounds what a task holds."""
 
     def all_of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [tuple(None if pd.isna(x) else x for x in r) for r in frame[[c.split()[0] for c in _NEWS.split(", ")]].itertuples(index=False)]
-        rows = [n for n in rows if n[0] in _KINDS and n[1] is not None and n[2] is not None and (until is None or n[2] <= until)]
+        rows = [n for n in _rows(frame) if until is None or n[2] <= until]
         _, found, _ = follow([], rows, float("inf") if until is None else until, sweep, tolerance)
         return pd.DataFrame([(*key, *e) for e in found], columns=[c.split()[0] for c in ENDS.split(", ")])
 
