@@ -153,3 +153,20 @@ def test_groups_are_read_once(spark):
     out = groups.unit_gauges(captures, spark.createDataFrame([(0, "root")], "uid long, user string"))
     assert "pids.current" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.name, r.ts, r.value) for r in out.collect()} >= {("unit_tasks", 0, 2.0), ("unit_tasks", 10, 2.0), ("unit_memory_bytes", 10, 5.0), ("unit_cpu_pct", 10, 10.0)}
+
+
+def test_a_walk_reads_the_captures_once(spark):
+    """Groups are not joined with those above them: one join, with the empty slices, whose size is known. Empty units within others, in slices, and beside names that begin alike."""
+    tasks = {
+        "/a.service": "0", "/a.service/x": "3", "/a.service/x/b.service": None, "/a.service2": "1", "/a.service-b.service": "2", "/u.service": "4", "/u.service/e.scope": "0\n", "/u.service/e.scope/f.scope": "0", "/u.service/e.scope/g": "1", "/u.service/e.scope!": "5",
+        "/u.service/h": "0", "/s.slice": "0", "/s.slice/t.slice/k.service": "1", "/s.slice/m": "1", "/s.slices/n.service": "1", "/p.slice": None, "/p.slice/q.service": "6", "/r": "0", "/r/v.service": "7",
+    }
+    rows = [(h, p + ("/pids.current" if n else "/cpu.stat"), n or "x") for p, n in tasks.items() for h in ("h", None)]
+    captures = spark.createDataFrame([(h, 5, p, c) for h, p, c in rows], "host string, ts long, path string, content string")
+    out = groups.walked(captures)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "pids.current" not in plan
+    gone = {p for p in tasks for q, n in tasks.items() if n and int(n) == 0 and q.endswith((".service", ".scope", ".slice")) and (p + "/").startswith(q + "/")}
+    got = out.collect()
+    assert {r.path for r in got if r.host} == set(tasks) - gone and len(gone) == 9
+    assert {(r.path, r.tasks) for r in got if r.host is None} == {(p, n and int(n)) for p, n in tasks.items()} and len(got) == 2 * len(tasks) - len(gone)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite, percent
@@ -18,22 +18,45 @@ LEVELS = ("tasks", "memory", "swap", "anon", "file")
 
 def _files(captures: DataFrame) -> DataFrame:
     """host, ts, path (of the group), _file, content."""
-    file = F.substring_index("path", "/", -1)
-    group = F.substr("path", F.lit(1), F.length("path") - F.length(file) - 1)
-    return captures.where(F.col("path").startswith("/") & (file != "") & (group != "")).select("host", "ts", group.alias("path"), file.alias("_file"), "content")
+    # a name after the last "/", and a second one before it
+    whole = F.col("path").startswith("/") & ~F.col("path").endswith("/") & (F.locate("/", F.col("path"), 2) > 0)
+    return captures.where(whole).select("host", "ts", _above(F.col("path")).alias("path"), F.substring_index("path", "/", -1).alias("_file"), "content")
+
+
+def _root(path) -> Column:
+    """The nearest service or scope to the root at or above a group, which is what is walked together; null in slices and elsewhere."""
+    whole = F.concat(path, F.lit("/"))
+    ends = [F.nullif(F.instr(whole, f"{k}/"), F.lit(0)) + len(k) - 1 for k in (".service", ".scope")]
+    return F.substr(path, F.lit(1), F.least(*ends))
+
+
+def _above(path) -> Column:
+    """All but the last part of a path."""
+    return F.substr(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)
 
 
 def walked(captures: DataFrame) -> DataFrame:
     """host, ts, path, tasks of the groups that a walk from the root reads.
 
     pids.current counts what is in a group and below it. So where a unit's is 0, the whole subtree is left out; where it was not read, that says nothing of the groups
-    below, and the walk goes on. The groups above each are joined by equality, as many rows as a path has parts.
+    below, and the walk goes on. What lies in one service or scope is put in the order of a walk, in which a subtree is without gaps: one exchange and one sort, and no group is
+    joined with those above it. Slices, which are few, are looked at by themselves; below them are too many groups for a key.
+    A group without a host or a moment is in no known tree, and is kept.
     """
-    rows = _files(captures)
-    groups = rows.groupBy("host", "ts", "path").agg(F.max(F.when(F.col("_file") == "pids.current", F.trim("content").try_cast("bigint"))).alias("tasks"))
-    empty = groups.where((F.col("tasks") == 0) & kind(F.element_at(F.split("path", "/"), -1)).isNotNull()).select("host", "ts", F.col("path").alias("_above"))
-    above = groups.select("host", "ts", "path", F.explode(ancestors("path")).alias("_above"))
-    return groups.join(above.join(empty, ["host", "ts", "_above"], "left_semi").select("host", "ts", "path").distinct(), ["host", "ts", "path"], "left_anti")
+    tasks = F.max(F.when(F.col("_file") == "pids.current", F.trim("content").try_cast("bigint"))).alias("tasks")
+    found = _files(captures).groupBy("host", "ts", "path").agg(tasks).withColumn("_root", _root(F.col("path")))
+    # a table: two plans below begin with it, and none works out again what a group is in
+    groups = cut(found.withColumn("_slice", F.when(F.col("_root").isNull(), F.col("path")).otherwise(_above(F.col("_root")))))
+    empty = (F.col("tasks") == 0) & kind("path").isNotNull() & F.col("host").isNotNull() & F.col("ts").isNotNull()
+    # a subtree's names are between its group's and the group's with the character after the one that stands for "/"; an end that is further on is of a group above
+    placed = groups.withColumn("_root", F.coalesce("_root", "path")).withColumn("_place", F.replace("path", F.lit("/"), F.lit("\0")))
+    ends = F.max(F.when(empty, F.concat("_place", F.lit("\1")))).over(Window.partitionBy("host", "ts", "_root").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+    left = placed.withColumn("_end", ends).where("_end is null or _place >= _end")
+    # slices, and what is in no unit, by themselves; as a rule none is empty, which the table's size says before it is joined
+    slices = groups.groupBy("host", "ts", "_slice").agg(F.max(F.when(F.col("path") == F.col("_slice"), F.col("tasks"))).alias("tasks")).withColumnRenamed("_slice", "path")
+    none = slices.where(empty).select("host", "ts", F.col("path").alias("_above"))
+    below = slices.select("host", "ts", F.col("path").alias("_slice"), F.explode(ancestors("path")).alias("_above")).join(none, ["host", "ts", "_above"], "left_semi").select("host", "ts", "_slice").distinct()
+    return left.join(cut(below), ["host", "ts", "_slice"], "left_anti").select("host", "ts", "path", "tasks")
 
 
 def counters(captures: DataFrame) -> DataFrame:
