@@ -170,3 +170,36 @@ def test_a_walk_reads_the_captures_once(spark):
     got = out.collect()
     assert {r.path for r in got if r.host} == set(tasks) - gone and len(gone) == 9
     assert {(r.path, r.tasks) for r in got if r.host is None} == {(p, n and int(n)) for p, n in tasks.items()} and len(got) == 2 * len(tasks) - len(gone)
+
+
+def test_gauges_of_units_take_one_pass(spark):
+    """Each capture is made once, whatever is said of it; what is written is not dealt out again but by unit."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(content):
+        made.add(1)
+        return content
+
+    files = lambda t: {"pids.current": "2", "memory.current": "5", "cpu.stat": f"usage_usec {t}00000", "io.stat": f"8:0 rbytes={t} wbytes={2 * t}\n\n253:0 rbytes=900\n", "cpu.pressure": f"some total={t}"}
+    rows = [("h", t, f"/a.slice/{u}.service/{f}", c) for t in (0, 10) for u in "bc" for f, c in files(t).items()]
+    captures = spark.createDataFrame(rows, "host string, ts long, path string, content string").withColumn("content", text("content"))
+    out = groups.unit_gauges(captures, spark.createDataFrame([(0, "root")], "uid long, user string"))
+    got = {(r.name, r.labels["unit"], r.ts): r.value for r in out.collect()}
+    assert made.value == len(rows) == 20
+    assert len(got) == 2 * (2 + 2 + 6) and got["unit_io_read_bytes_per_sec", "c.service", 10] == 1.0 and got["unit_io_write_bytes_per_sec", "c.service", 10] == 2.0 and got["unit_cpu_pct", "b.service", 10] == 10.0
+
+
+def test_the_reading_before_a_slice_was_empty(spark):
+    """Where only one slice was empty at the moment between, its units have used all of their counters; where the whole host was, the interval is from the reading before that."""
+    rows = [(h, t, f"/{s}.slice/{s}.service/{f}", c) for h in "gh" for t in (0, 10, 20) for s in "ab" for f, c in (("pids.current", "1"), ("cpu.stat", f"usage_usec {t + 5}00000"))]
+    rows += [(h, 10, f"/{s}.slice/pids.current", "0") for h, s in ("ga", "ha", "hb")]
+    captures = spark.createDataFrame(rows, "host string, ts long, path string, content string")
+    out = groups.unit_gauges(captures, spark.createDataFrame([(0, "root")], "uid long, user string")).where("name = 'unit_cpu_pct'")
+    assert {(r.host, r.labels["unit"], r.ts): r.value for r in out.collect()} == {("g", "a.service", 20): 25.0, ("g", "b.service", 10): 10.0, ("g", "b.service", 20): 10.0, ("h", "a.service", 20): 10.0, ("h", "b.service", 20): 10.0}
+
+
+def test_memory_of_a_group_without_a_host(spark):
+    captures = spark.createDataFrame([(None, 5, f"/a.service/{f}", c) for f, c in (("pids.current", "2"), ("memory.current", "7"))], "host string, ts long, path string, content string")
+    out = groups.unit_gauges(captures, spark.createDataFrame([(0, "root")], "uid long, user string"))
+    assert {(r.name, r.value) for r in out.collect()} == {("unit_tasks", 2.0), ("unit_memory_bytes", 7.0)}

@@ -88,8 +88,9 @@ def _decoded(text, escape: str, byte) -> Column:
 
 
 def unescaped(name) -> Column:
-    r"""systemd's \xNN, byte by byte; what is not hexadecimal stays."""
-    return _decoded(name, r"\\x[0-9a-fA-F]{2}", lambda p: F.substring(p, 3, 2))
+    r"""systemd's \xNN, byte by byte; what is not hexadecimal stays. Names without a backslash, nearly all, are not cut in pieces."""
+    decoded = _decoded(name, r"\\x[0-9a-fA-F]{2}", lambda p: F.substring(p, 3, 2))
+    return F.when(_c(name).contains("\\"), decoded).otherwise(F.make_valid_utf8(name))
 
 
 def octal_unescaped(path) -> Column:

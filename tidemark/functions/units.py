@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,10 @@ STABLE = (
 def stable_name(name) -> Column:
     """A unit's name without what marks one instance of it: one launch of an application, one connection, one container."""
     n = _c(name)
-    out = n
-    for pattern, kept in reversed(STABLE):
-        out = F.when(n.rlike(pattern), F.regexp_replace(n, pattern, kept)).otherwise(out)
-    return F.regexp_replace(out, r"^\.(service|scope)$", "transient.$1")
+    fits = lambda *numbers: reduce(lambda out, i: F.regexp_replace(out, *STABLE[i]), numbers, n)
+    bare = lambda out: F.regexp_replace(out, r"^\.(service|scope)$", "transient.$1")
+    # which can fit: a template's name has an @, a mark a digit; what one of them has left, none of the others fits
+    return F.when(n.contains("@"), fits(0, 1)).when(n.startswith("run-"), fits(2)).when(n.rlike("[0-9]"), bare(fits(3, 4))).when(n.startswith("."), bare(n)).otherwise(n)
 
 
 def normalize(name) -> Column:
@@ -63,7 +65,11 @@ def container_id(component) -> Column:
 
 def nearest_unit(path) -> Column:
     """The path up to the nearest service or scope at or above a control group; null in slices and the root."""
-    return F.nullif(F.regexp_extract(_c(path), r"^(/.*?[^/]*\.(?:service|scope))(?:/(?!.*\.(?:service|scope)(?:/|$)).*)?$", 1), F.lit(""))
+    p = _c(path)
+    found = F.nullif(F.regexp_extract(p, r"^(/.*?[^/]*\.(?:service|scope))(?:/(?!.*\.(?:service|scope)(?:/|$)).*)?$", 1), F.lit(""))
+    # most groups that are asked for are units themselves, which their end says without a search
+    itself = p.startswith("/") & (p.endswith(".service") | p.endswith(".scope")) & ~p.rlike(r"[\n\r\x{85}\x{2028}\x{2029}]")
+    return F.when(itself, p).otherwise(found)
 
 
 def owners(paths: DataFrame) -> DataFrame:
@@ -88,9 +94,9 @@ def unit_of(groups: DataFrame, users: DataFrame, containers: DataFrame | None =
         at = at.withColumn("_container", container_id(F.element_at(F.split("_unit", "/"), -1))).join(containers.withColumnRenamed("container", "_container"), "_container", "left")
         at = at.withColumn("_unit", F.coalesce("owner", "_unit")).drop("owner", "_container")
     above = F.regexp_extract("_unit", "^(.*)/[^/]*$", 1)
-    uid = F.nullif(F.regexp_extract(above, r"/user@([0-9]+)\.service", 1), F.lit("")).cast("bigint")
+    uid = F.when(F.col("_unit").contains("/user@"), F.nullif(F.regexp_extract(above, r"/user@([0-9]+)\.service", 1), F.lit("")).cast("bigint"))
     named = at.withColumn("_uid", uid).join(users.select(F.col("uid").alias("_uid"), F.col("user").alias("_user")), "_uid", "left")
-    name = normalize(F.element_at(F.split("_unit", "/"), -1))
+    # one after the other: each is mentioned more than once in the next
+    named = named.withColumn("_name", F.substring_index("_unit", "/", -1)).withColumn("_name", unescaped("_name")).withColumn("_name", stable_name("_name"))
     owner = F.coalesce("_user", F.col("_uid").cast("string"))
-    unit = F.when(F.col("_unit").isNull(), None).when(F.col("_uid").isNotNull(), F.concat(owner, F.lit("/"), name)).otherwise(name)
-    return named.withColumn("unit", unit).drop("_unit", "_uid", "_user")
+    return named.withColumn("unit", F.when(F.col("_uid").isNotNull(), F.concat(owner, F.lit("/"), "_name")).otherwise(F.col("_name"))).drop("_unit", "_uid", "_user", "_name")

@@ -41,6 +41,11 @@ def prefix_rates(readings: DataFrame, prefix: str, by=("host",), time: str = "ts
     return rates(readings.where(F.col(key).startswith(prefix)), (*by, key), time, value).groupBy(*by, time).agg(F.sum("rate").alias("rate"))
 
 
+def risen(counter: str, before: str, there) -> Column:
+    """What a group's counter rose by since the reading before: all of it where the group was not there; null where it was not read."""
+    return F.when(F.col(counter).isNotNull(), saturating(counter, F.when(there, F.coalesce(F.col(before), F.lit(0))).otherwise(F.lit(0))))
+
+
 def unit_deltas(readings: DataFrame, by=("host", "unit"), group: str = "path", time: str = "ts", columns=("usage",)) -> DataFrame:
     """by, time and for each counter what all control groups of a unit used in the interval.
 
@@ -51,9 +56,8 @@ def unit_deltas(readings: DataFrame, by=("host", "unit"), group: str = "path", t
     earlier = moments.withColumn("_earlier", F.lag(time).over(Window.partitionBy(*[b for b in by if b == "host"]).orderBy(time)))
     w = Window.partitionBy("host", group).orderBy(time)
     both = readings.withColumn("_at", F.lag(time).over(w)).withColumns({f"_b_{c}": F.lag(c).over(w) for c in columns}).join(earlier, ["host", time])
-    there = F.col("_at") == F.col("_earlier")
-    used = {c: F.sum(F.when(F.col(c).isNotNull(), saturating(c, F.when(there, F.coalesce(F.col(f"_b_{c}"), F.lit(0))).otherwise(F.lit(0))))).alias(c) for c in columns}
-    return both.where("_earlier is not null").groupBy(*by, time).agg(*used.values())
+    used = [F.sum(risen(c, f"_b_{c}", F.col("_at") == F.col("_earlier"))).alias(c) for c in columns]
+    return both.where("_earlier is not null").groupBy(*by, time).agg(*used)
 
 
 def totals(live: DataFrame, exited: DataFrame, by: str, columns=("cpu_seconds",)) -> DataFrame:

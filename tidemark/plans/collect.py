@@ -23,12 +23,13 @@ def _captures(spark, sf, files: dict[int, dict[str, str]]) -> DataFrame:
     """host, ts, path, content: for each order and each moment the files of templates.
 
     Numbers become text once for an order, and each moment is a branch of its own: in one branch the method made of all templates is too long to be compiled, and runs 10 times slower.
+    Orders are dealt to a number of tasks that is given, which adaptive execution leaves: by the size of orders it would make a few, and each becomes many files.
     """
-    orders = table(spark, sf, "orders").repartition("o_orderkey")
+    orders = table(spark, sf, "orders").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
     texts = orders.select(_text("h{h}").alias("host"), *[F.expr(f"cast({v} as string)").alias(k) for k, v in NUMBERS.items()])
     out = None
     for t, of in files.items():
-        for some in batched(of.items(), 6):
+        for some in batched(of.items(), 8):
             each = F.array(*[F.struct(_filled(path).alias("path"), _filled(content).alias("content")) for path, content in some])
             rows = texts.select("host", F.explode(each).alias("_file")).select("host", F.lit(t).cast("bigint").alias("ts"), "_file.*")
             out = rows if out is None else out.unionByName(rows)
